@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -167,3 +168,33 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
         j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + most, "right")))
         yield batch.slice(i, j - i)
         i = j
+
+
+def by_key(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    """function(columns as numpy arrays) -> DataFrame over each group of df, as applyInPandas does, but with many small
+    groups to a batch. Groups must be small enough for a task's memory."""
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            got = b.to_pandas()
+            pdf = got if rest is None or not len(rest) else pd.concat([rest, got], ignore_index=True)
+            new = np.zeros(len(pdf), bool)
+            new[:1] = True
+            for k in keys:
+                v = pdf[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            cut = np.flatnonzero(new)
+            rest = pdf.iloc[cut[-1] :] if len(cut) else pdf
+            yield from apply(pdf, cut)
+        if rest is not None and len(rest):
+            yield from apply(rest, np.array([0, len(rest)]))
+
+    def apply(pdf: pd.DataFrame, cut: np.ndarray):
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        out = [function({c: v[i:j] for c, v in columns.items()}) for i, j in zip(cut[:-1], cut[1:])]
+        out = [x for x in out if x is not None and len(x)]
+        if out:
+            yield pa.RecordBatch.from_pandas(pd.concat(out, ignore_index=True), preserve_index=False)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

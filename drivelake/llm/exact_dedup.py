@@ -129,3 +129,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = exact_groups(docs, id_col, text_col, bucket_bytes)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.regexp_replace(text_of(text_col), WHITE, " "), 256).alias("text_sha256"))
     return own.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of docs, unchanged, that exact_dedup keeps; of rows that repeat id and text, one."""
+    least = F.lit(-(2**63))
+    keys = ["__keep_id", "__keep_sha"]
+    kept = exact_groups(docs, id_col, text_col, bucket_bytes).select(F.coalesce("keep_id", least).alias(keys[0]), F.col("text_sha256").alias(keys[1]))
+    own = docs.withColumns({keys[0]: F.coalesce(F.col(id_col).cast("long"), least), keys[1]: F.sha2(F.regexp_replace(text_of(text_col), WHITE, " "), 256)})
+    return own.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)

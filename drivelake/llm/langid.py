@@ -136,6 +136,19 @@ def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", t
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
+def recognised(docs: DataFrame, model: Centroids | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, unchanged, whose text is neither `und` nor too far from every centroid."""
+
+    def keep(batches):
+        for b in batches:
+            for x in pieces(b, text_col):
+                tf, letter = counts(x.column(x.schema.get_field_index(text_col)))
+                far = model.predict(tf)[2] if model else ~letter
+                yield x.filter(pa.array(letter & ~far))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify_held_out(docs: DataFrame, **how) -> DataFrame:
     """identify() with a model learned from the rows whose crc32 of the id, modulo 3, is not 1; with held_out."""
     model = fit(docs.filter(part("doc_id", 3) != 1), **how)

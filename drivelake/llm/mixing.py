@@ -75,7 +75,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = F.when(size > 0, F.floor(took / size)).otherwise(F.lit(1)).cast("int")
     rest = F.when(size > 0, took % size).otherwise(F.lit(0)).cast("int")
     rows = j.withColumn("_rest", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
-    cut = F.regexp_extract(F.col(text_col), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit("{"), F.col("_rest").cast("string"), F.lit("}")), 0)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("_rest")), "")
     out = rows.withColumn(text_col, F.when(F.col("_rest") > 0, cut).otherwise(F.col(text_col)))
     columns = []
     for c, kind in docs.dtypes:

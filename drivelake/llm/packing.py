@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import pieces, stored
 
 ODD = re.compile("[\x1c-\x1f]")
+MARKS = ".,!|?;:#$%&*"
 
 
 class Ids(dict):
@@ -31,10 +32,37 @@ class Ids(dict):
     def learn(self, chunks: set[str]) -> None:
         if len(self) + len(chunks) > self.most:
             self.clear()
-        new = [c for c in chunks if c not in self]
+        split = []
+        words, others = set(), set()
+        for c in chunks:
+            if c not in self:
+                core = c.rstrip(MARKS)
+                if core.isascii() and core.isalpha():
+                    words.add(core)
+                    if len(core) < len(c):
+                        split.append((c, core))
+                        others.add(c[len(core) :])
+                else:
+                    others.add(c)
+        self.learn_words([c for c in words if c not in self])
+        new = [c for c in others if c not in self]
         for i in range(0, len(new), 20_000):
             for c, x in zip(new[i : i + 20_000], self.tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False)):
                 self[c] = np.array(x.ids, "<u4").tobytes()
+        for c, core in split:  # marks after letters are a token run of their own
+            self[c] = self[core] + self[c[len(core) :]]
+
+    def learn_words(self, words: list[str]) -> None:
+        """ids of ASCII words, many in one text: each is one word to the tokenizer."""
+        for i in range(0, len(words), 5000):
+            some = words[i : i + 5000]
+            x = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, word = np.array(x.ids, "<u4"), np.array(x.word_ids)
+            data = ids.tobytes()
+            cut = (4 * np.flatnonzero(np.diff(word, prepend=-1, append=-1))).tolist()
+            assert len(cut) == len(some) + 1
+            for c, a, b in zip(some, cut[:-1], cut[1:]):
+                self[c] = data[a:b]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         chunks = [None if ODD.search(t) else t.split() for t in texts]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, packing, quality
+from . import exact_dedup, jaccard, langid, lm, mixing, packing, quality
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,14 @@ def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, d, "documents"))
 
 
+def op4_lm(spark: SparkSession, d: str) -> DataFrame:
+    return lm.score_held_out(read(spark, d, "documents"))
+
+
+def op5_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.jaccard_groups(read(spark, d, "documents"))
+
+
 def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(read(spark, d, "documents"))
 
@@ -45,5 +53,5 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 FROM t JOIN g ON t.norm = g.norm
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op6_mixing, op9_packing, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_lm, op5_jaccard, op6_mixing, op9_packing, op10_langid)}
 SQL = {"op2_exact_dedup": EXACT_SQL}
