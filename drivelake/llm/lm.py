@@ -46,7 +46,7 @@ def expected(q: np.ndarray) -> np.ndarray:
 
 
 def _places(h: np.ndarray, level: int, probe: int, m: np.ndarray) -> np.ndarray:
-    return (mix(h + _U((level * 0x9E3779B97F4A7C15) & (2**64 - 1)) + _U(probe) * _U(0xD1B54A32D192ED03)) % m).astype(np.int64)
+    return (mix(h + _U((level * 0x9E3779B97F4A7C15 + probe * 0xD1B54A32D192ED03) & (2**64 - 1))) % m).astype(np.int64)
 
 
 def filter_of(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -106,14 +106,17 @@ class Pack:
 class Counter:
     """Sums counts of hashes, in sorted arrays."""
 
-    def __init__(self, most: int = 4_000_000) -> None:
+    def __init__(self, most: int = 1_000_000) -> None:
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.size, self.most = 0, most
 
     def add(self, h: np.ndarray) -> bool:
         self.held.append(np.unique(h, return_counts=True))
         self.size += len(self.held[-1][0])
-        return self.size > self.most
+        if self.size > self.most:
+            self.held = [merged(self.held)]
+            self.size = len(self.held[0][0])
+        return 2 * self.size > self.most
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         h, c = merged(self.held)
@@ -149,7 +152,7 @@ def tables(train: DataFrame, text_col: str, min_pair: int = 2, shard_chars: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {1: Counter(), 2: Counter()}
         for b in batches:
-            for x in pieces(b, "text"):
+            for x in pieces(b, "text", 4 << 20):
                 h, at = sequence(x.column(0))
                 for kind, v in ((1, h), (2, pairs(h, at))):
                     if held[kind].add(v):
@@ -222,7 +225,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for x in pieces(b, "text"):
+                for x in pieces(b, "text", 4 << 20):
                     h, at = sequence(x.column(1))
                     out = finish(at, pack.value.counts(h), pack.value.levels(pairs(h, at)))
                     yield pa.RecordBatch.from_arrays([x.column(0), *map(pa.array, out, kinds)], ["doc_id", *names])
@@ -236,7 +239,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
 
         def add(batches: Iterator[pa.RecordBatch], pack=pack) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for x in pieces(b, "text"):
+                for x in pieces(b, "text", 4 << 20):
                     h, at = sequence(x.column(1))
                     c, q = pack.value.counts(h), pack.value.levels(pairs(h, at))
                     if x.column(2).null_count == 0:
