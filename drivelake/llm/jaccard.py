@@ -30,9 +30,9 @@ def class_key(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """A bitmap of 256 bits or more, a power of two of at least twice the set's size."""
-    m = max(256, 1 << (2 * len(s) - 1).bit_length())
+def bitmap(s: np.ndarray, room: int = 4) -> np.ndarray:
+    """A bitmap of 256 bits or more, a power of two of at least `room` times the set's size."""
+    m = max(256, 1 << (room * len(s) - 1).bit_length())
     bits = np.zeros(m, bool)
     bits[s & _U(m - 1)] = True
     return np.packbits(bits, bitorder="little")
@@ -127,7 +127,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "k", "bits", "h", "c"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        held, seen = Counter(), set()
+        held, seen = Counter(4_000_000), set()
 
         def common() -> pa.RecordBatch:
             h, c = held.take()
@@ -249,10 +249,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
     reps = own_class.groupBy("k").agg(F.min("doc_id").alias("rep"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those pairs of classes that reach the similarity, by their whole sets."""
-        wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct().join(reps, "k").select("k", "rep")
-        wanted = stored(wanted)
+    def whole_sets(keys: DataFrame) -> DataFrame:
+        """k, s: the whole sets of those classes, made anew from one text of each."""
+        wanted = stored(keys.distinct().join(reps, "k").select("k", "rep"))
         small = wanted.count() <= most_broadcast
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +263,11 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
                     yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in keep], pa.int64()), pa.array([some[i].tobytes() for i in keep], pa.binary())], ["k", "s"])
 
         texts = own.join(F.broadcast(wanted) if small else wanted, own["doc_id"].eqNullSafe(wanted["rep"])).select("k", "text")
-        full = stored(texts.mapInArrow(whole, "k long, s binary").groupBy("k").agg(F.first("s").alias("s")))
+        return texts.mapInArrow(whole, "k long, s binary").dropDuplicates(["k"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those pairs of classes that reach the similarity, by their whole sets."""
+        full = stored(whole_sets(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))))
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -278,6 +281,42 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         x, y = full.select(F.col("k").alias("a"), F.col("s").alias("x")), full.select(F.col("k").alias("b"), F.col("s").alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
+    def across(near: DataFrame, label: DataFrame) -> DataFrame:
+        """Links between the components in near. The larger of two components owns the pair; its classes and those of all
+        its smaller neighbours meet once, in tasks of some hundred sets of either side, however many buckets they share."""
+        of = reps.join(label, reps["k"] == label["node"], "left").select("k", F.coalesce("component", "k").alias("g"))
+        of = stored(of.join(near.select(F.col("a").alias("g")).unionByName(near.select(F.col("b").alias("g"))).distinct(), "g"))
+        size = of.groupBy("g").agg(F.count("*").alias("size"))
+        sized = near.join(size.select(F.col("g").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("g").alias("b"), F.col("size").alias("nb")), "b")
+        big = F.col("na") >= F.col("nb")
+        owned = sized.select(F.when(big, F.col("a")).otherwise(F.col("b")).alias("owner"), F.when(big, F.col("b")).otherwise(F.col("a")).alias("g"), F.greatest("na", "nb").alias("own"), F.least("na", "nb").alias("n"))
+        shape = owned.groupBy("owner").agg(F.ceil(F.max("own") / block).alias("rows"), F.ceil(F.sum("n") / block).alias("columns"))
+        left = of.join(shape, of["g"] == shape["owner"]).select("owner", F.pmod(F.xxhash64("k"), F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j"), "k", "g")
+        right = owned.select("owner", "g").join(shape, "owner").join(of, "g").select("owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("k"), F.col("columns")).alias("j"), "k", "g")
+        met = left.unionByName(right).join(whole_sets(of.select("k")), "k")
+
+        def test(t: dict) -> pd.DataFrame | None:
+            every = [np.frombuffer(v, _U) for v in t["s"]]
+            mine = t["g"] == t["owner"][0]
+            sides = []
+            for side in (np.flatnonzero(mine), np.flatnonzero(~mine)):
+                if not len(side):
+                    return None
+                sides.append(side[np.argsort([len(every[x]) for x in side], kind="stable")])
+            bits = [bitmap(v, 16) for v in every]
+            width = min(map(len, bits))
+            x, y = (Tree(np.array([len(every[v]) for v in side]), np.stack([folded(bits[v].tobytes(), width) for v in side]).view(_U)) for side in sides)
+            forest, out = Forest(), []
+            for i, j in zip(*(side[v].tolist() for side, v in zip(sides, dual(x, y, percent, False)))):
+                if forest.root(int(t["g"][j])) != forest.root(int(t["owner"][0])):
+                    both = len(np.intersect1d(every[i], every[j], assume_unique=True))
+                    if 100 * both >= percent * (len(every[i]) + len(every[j]) - both):
+                        forest.join(int(t["g"][j]), int(t["owner"][0]))
+                        out.append((int(t["k"][i]), int(t["k"][j])))
+            return pd.DataFrame(out, columns=["a", "b"]) if out else None
+
+        return by_key(met, ["owner", "i", "j"], test, "a long, b long")
+
     links = stored(verified(stored(first)))
     label = components(links)
     labelled = in_tree.join(label, in_tree["k"] == label["node"], "left").select("bucket", "tree", "k", F.coalesce("component", "k").alias("g"))
@@ -295,11 +334,14 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         x, p = read_tree(g, np.flatnonzero(g["side"] == g["tree"][0]), size)
         y, q = (x, p) if same else read_tree(g, np.flatnonzero(g["side"] == g["other"][0]), size)
         i, j = dual(x, y, percent, bool(same), g["g"][p], g["g"][q])
-        return pd.DataFrame({"a": g["k"][p[i]], "b": g["k"][q[j]]}) if len(i) else None
+        if not len(i):
+            return None
+        i, j = g["g"][p[i]], g["g"][q[j]]
+        return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)}).drop_duplicates()
 
-    second = stored(by_key(dealt, ["bucket", "tree", "other"], cross, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not second.isEmpty():
-        more = stored(verified(second))
+    near = stored(by_key(dealt, ["bucket", "tree", "other"], cross, "a long, b long").distinct())
+    if not near.isEmpty():
+        more = stored(across(near, label))
         if not more.isEmpty():
             label = components(links.unionByName(more))
     named = reps.join(label, reps["k"] == label["node"], "left").select("k", "rep", F.coalesce("component", "k").alias("g"))
