@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, langid, lm, mixing, packing, quality
+from . import embedding_dedup, exact_dedup, jaccard, langid, line_dedup, lm, mixing, packing, pii, quality
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +25,10 @@ def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, d, "documents"))
 
 
+def op3_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read(spark, d, "embeddings"))
+
+
 def op4_lm(spark: SparkSession, d: str) -> DataFrame:
     return lm.score_held_out(read(spark, d, "documents"))
 
@@ -36,6 +41,16 @@ def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(read(spark, d, "documents"))
 
 
+def op7_pii(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    return pii.digested(pii.find_pii(docs, pii.fit(docs)))
+
+
+def op8_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = line_dedup.line_dedup(read(spark, d, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_words", "words_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(read(spark, d, "documents"), tokenizer_path())
 
@@ -53,5 +68,5 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 FROM t JOIN g ON t.norm = g.norm
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_lm, op5_jaccard, op6_mixing, op9_packing, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_embeddings, op4_lm, op5_jaccard, op6_mixing, op7_pii, op8_line_dedup, op9_packing, op10_langid)}
 SQL = {"op2_exact_dedup": EXACT_SQL}
