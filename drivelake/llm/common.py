@@ -30,12 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def store(df: DataFrame) -> str:
+    """Where df has been written as Parquet, in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(store(df))
 
 
 def part(column: str | Column, n: int) -> Column:

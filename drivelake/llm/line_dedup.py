@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, text_of
+from .common import WORD, store, stored, text_of
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,7 +35,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     """
     lines = stored(line_table(docs, id_col, text_col)) if lines is None else lines
     level = lines.select("doc_id", "row", "i", F.col("id").alias("r"), "at", (F.col("at") + F.col("words")).alias("until"))
-    runs, h = None, 1
+    runs, h = [], 1
     while True:
         level = stored(repeated(level))
         if level.isEmpty():
@@ -47,13 +47,14 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
         by = Window.partitionBy("row", "source", "shift").orderBy("i")
         island = later.withColumn("island", F.col("i") - F.row_number().over(by)).groupBy("doc_id", "row", "source", "shift", "island").agg(F.min("i").alias("a"), (F.max("i") + h).alias("b"), F.min("at").alias("at"), F.max("until").alias("until"))
         found = island.filter(F.col("until") - F.col("at") >= min_words).select("doc_id", "row", "a", "b")
-        runs = found if runs is None else runs.unionByName(found)
+        runs.append(store(found.distinct()))
         x, y = level.alias("x"), level.alias("y")
         level = x.join(y, (F.col("x.row") == F.col("y.row")) & (F.col("x.i") + h == F.col("y.i"))).select("x.doc_id", "x.row", "x.i", F.xxhash64("x.r", "y.r").alias("r"), "x.at", "y.until")
         h *= 2
-    if runs is None:
+    if not runs:
         return lines.select("doc_id", "row", "i").limit(0)
-    return runs.distinct().select("doc_id", "row", F.explode(F.sequence("a", F.col("b") - 1)).alias("i")).distinct()
+    every = docs.sparkSession.read.schema(found.schema).parquet(*runs)
+    return every.select("doc_id", "row", F.explode(F.sequence("a", F.col("b") - 1)).alias("i")).distinct()
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
