@@ -51,7 +51,7 @@ Weather_Suspension=137 Weather_Suspension_Mist=105 Weather_Suspension_Fog=106 We
 Weather_Snow_Light=108 Weather_Snow_Moderate=109 Weather_Snow_Heavy=110 Lighting_Day=139 Lighting_Day_ClearSky=111
 Lighting_Day_Cloudy=112 Lighting_Day_Overcast=113 Lighting_Twilight=140 Lighting_Twilight_Dawn=114 Lighting_Twilight_Dusk=115
 Lighting_Dark=141 Lighting_Dark_Streetlights=116 Lighting_Dark_NoStreetlights=117 Lighting_Glare=142 Lighting_Glare_Sun=118
-Lighting_Glare_OncomingTraffic=119 Communication_I2V=189 Communication_V2V=190 Communication_V2P=191
+Lighting_Glare_OncomingTraffic=119 Communication_V2V=189 Communication_I2V=190 Communication_V2X=191
 Communication_Network_Wifi=192 Communication_Network_Cellular=193 Communication_Network_Its=194
 """.split()
 )

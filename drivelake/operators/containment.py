@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,18 +91,22 @@ def matched(edges: DataFrame, sizes: DataFrame, mode: str = "reference") -> Data
     test = eliminate if mode == "reference" else assignable
     kinds = dict(sizes.dtypes)
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = {u: k for k, u in enumerate(sorted(pdf["own_uid"].unique()))}
-        rows: dict = {}
-        for o, u in zip(pdf["own_uid"], pdf["other_uid"]):
-            rows.setdefault(u, set()).add(own[o])
-        n_own, n_other = int(pdf["n_own"].iloc[0]), int(pdf["n_other"].iloc[0])
-        every = [rows[u] for u in sorted(rows)] + [set()] * (n_other - len(rows))
-        ok = len(own) == n_own and test(every, n_own)
-        return pdf[["category", "candidate"]].head(1) if ok else pdf[["category", "candidate"]].head(0)
+    def decide(batches):
+        for pdf in batches:
+            ok = []
+            for pair, n_own, n_other in zip(pdf["edges"], pdf["n_own"], pdf["n_other"]):
+                own = {u: k for k, u in enumerate(sorted({e["own_uid"] for e in pair}))}
+                rows: dict = {}
+                for e in pair:
+                    rows.setdefault(e["other_uid"], set()).add(own[e["own_uid"]])
+                every = [rows[u] for u in sorted(rows)] + [set()] * (n_other - len(rows))
+                ok.append(len(own) == n_own and test(every, n_own))
+            yield pdf.loc[ok, ["category", "candidate"]]
 
     schema = f"category {kinds['category']}, candidate {kinds['candidate']}"
-    return none.unionByName(some.groupBy("category", "candidate").applyInPandas(decide, schema))
+    # A pair's edges are bounded by the objects of one category and one candidate.
+    pairs = some.groupBy("category", "candidate").agg(F.first("n_own").alias("n_own"), F.first("n_other").alias("n_other"), F.collect_list(F.struct("own_uid", "other_uid")).alias("edges"))
+    return none.unionByName(pairs.mapInPandas(decide, schema))
 
 
 def contains(categories: DataFrame, candidates: DataFrame, mode: str = "reference", reflexive: bool = True) -> DataFrame:
