@@ -113,7 +113,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     signature trees of at most `block` sets, in order of size, and a dual traversal gives the pairs that may be
     similar. First each tree is joined with itself, and the first sets of all trees of a bucket; of these pairs only a
     spanning forest is verified, by the whole sets. Then, in buckets that still hold several components, all trees are
-    joined with each other and every pair across components is verified, so no link between components is lost.
+    joined with each other; components that may be near form zones, in which all pairs across components that the
+    bitmaps allow are verified within tasks of some hundred sets, so no link between components is lost.
     Shingles have 64-bit hashes. The list of common shingles is bounded by `most_common` and only changes the order;
     ids of classes to verify are broadcast up to `most_broadcast`, beyond it joined by shuffle.
 
@@ -282,40 +283,41 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
     def across(near: DataFrame, label: DataFrame) -> DataFrame:
-        """Links between the components in near. The larger of two components owns the pair; its classes and those of all
-        its smaller neighbours meet once, in tasks of some hundred sets of either side, however many buckets they share."""
-        of = reps.join(label, reps["k"] == label["node"], "left").select("k", F.coalesce("component", "k").alias("g"))
-        of = stored(of.join(near.select(F.col("a").alias("g")).unionByName(near.select(F.col("b").alias("g"))).distinct(), "g"))
-        size = of.groupBy("g").agg(F.count("*").alias("size"))
-        sized = near.join(size.select(F.col("g").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("g").alias("b"), F.col("size").alias("nb")), "b")
-        big = F.col("na") >= F.col("nb")
-        owned = sized.select(F.when(big, F.col("a")).otherwise(F.col("b")).alias("owner"), F.when(big, F.col("b")).otherwise(F.col("a")).alias("g"), F.greatest("na", "nb").alias("own"), F.least("na", "nb").alias("n"))
-        shape = owned.groupBy("owner").agg(F.ceil(F.max("own") / block).alias("rows"), F.ceil(F.sum("n") / block).alias("columns"))
-        left = of.join(shape, of["g"] == shape["owner"]).select("owner", F.pmod(F.xxhash64("k"), F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j"), "k", "g")
-        right = owned.select("owner", "g").join(shape, "owner").join(of, "g").select("owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("k"), F.col("columns")).alias("j"), "k", "g")
-        met = left.unionByName(right).join(whole_sets(of.select("k")), "k")
+        """Links between components, given a spanning forest of those that may be near each other. What it connects is a
+        zone; a zone's classes are dealt into blocks, small components whole, large ones in blocks of their own, and
+        every two blocks of a zone meet once whose sizes allow it and that aren't of one component."""
+        zone = components(near).select(F.col("node").alias("g"), F.col("component").alias("zone"))
+        of = reps.join(label, reps["k"] == label["node"], "left").select("k", F.coalesce("component", "k").alias("g")).join(zone, "g")
+        of = stored(of.join(signs.select("k", "n"), "k").select("zone", "g", "k", "n"))
+        size = of.groupBy("zone", "g").agg(F.count("*").alias("size"))
+        small = size.filter(F.col("size") < block // 2).groupBy("zone").agg(F.ceil(F.sum("size") / (block // 2)).alias("blocks"))
+        shaped = of.join(size, ["zone", "g"]).join(small, "zone", "left")
+        large = F.col("size") >= block // 2
+        at = F.when(large, F.concat_ws(":", F.col("g"), F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / (block // 2))))).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64("g"), F.col("blocks"))))
+        placed = stored(shaped.select("zone", at.alias("block"), F.when(large, F.col("g")).alias("whole"), "g", "k", "n"))
+        table = placed.groupBy("zone", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("whole").alias("whole"))
+        x, y = table.alias("x"), table.alias("y")
+        fits = (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
+        tasks = x.join(y, (F.col("x.zone") == F.col("y.zone")) & (F.col("x.block") <= F.col("y.block")) & fits & ~F.coalesce(F.col("x.whole") == F.col("y.whole"), F.lit(False))).select("x.zone", F.col("x.block").alias("x"), F.col("y.block").alias("y"))
+        met = tasks.select("zone", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")).join(placed.select("zone", "block", "g", "k"), ["zone", "block"]).join(whole_sets(placed.select("k")), "k")
 
         def test(t: dict) -> pd.DataFrame | None:
             every = [np.frombuffer(v, _U) for v in t["s"]]
-            mine = t["g"] == t["owner"][0]
-            sides = []
-            for side in (np.flatnonzero(mine), np.flatnonzero(~mine)):
-                if not len(side):
-                    return None
-                sides.append(side[np.argsort([len(every[x]) for x in side], kind="stable")])
-            bits = [bitmap(v, 16) for v in every]
+            order = np.lexsort((t["k"], [len(v) for v in every]))
+            bits = [bitmap(every[i], 16) for i in order]
             width = min(map(len, bits))
-            x, y = (Tree(np.array([len(every[v]) for v in side]), np.stack([folded(bits[v].tobytes(), width) for v in side]).view(_U)) for side in sides)
-            forest, out = Forest(), []
-            for i, j in zip(*(side[v].tolist() for side, v in zip(sides, dual(x, y, percent, False)))):
-                if forest.root(int(t["g"][j])) != forest.root(int(t["owner"][0])):
-                    both = len(np.intersect1d(every[i], every[j], assume_unique=True))
-                    if 100 * both >= percent * (len(every[i]) + len(every[j]) - both):
-                        forest.join(int(t["g"][j]), int(t["owner"][0]))
-                        out.append((int(t["k"][i]), int(t["k"][j])))
+            tree = Tree(np.array([len(every[i]) for i in order]), np.stack([folded(v.tobytes(), width) for v in bits]).view(_U))
+            g, k, forest, out = t["g"][order].tolist(), t["k"][order].tolist(), Forest(), []
+            for i, j in zip(*(v.tolist() for v in dual(tree, tree, percent, True, t["g"][order], t["g"][order]))):
+                if forest.root(g[i]) != forest.root(g[j]):
+                    a, b = every[order[i]], every[order[j]]
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * both >= percent * (len(a) + len(b) - both):
+                        forest.join(g[i], g[j])
+                        out.append((k[i], k[j]))
             return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
-        return by_key(met, ["owner", "i", "j"], test, "a long, b long")
+        return by_key(met, ["zone", "x", "y"], test, "a long, b long")
 
     links = stored(verified(stored(first)))
     label = components(links)
@@ -336,8 +338,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         i, j = dual(x, y, percent, bool(same), g["g"][p], g["g"][q])
         if not len(i):
             return None
-        i, j = g["g"][p[i]], g["g"][q[j]]
-        return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)}).drop_duplicates()
+        forest = Forest()
+        some = [(a, b) for a, b in zip(g["g"][p[i]].tolist(), g["g"][q[j]].tolist()) if forest.join(a, b)]
+        return pd.DataFrame(some, columns=["a", "b"])
 
     near = stored(by_key(dealt, ["bucket", "tree", "other"], cross, "a long, b long").distinct())
     if not near.isEmpty():
