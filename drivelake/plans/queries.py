@@ -58,11 +58,11 @@ def inside(spark: SparkSession, d: str) -> DataFrame:
 
 
 KEYS = ["actor", "run"]
-NO_PARAMETERS = {f: F.lit(None).cast(k) for f, k in (x.split(":") for x in models.PARAMETERS.removeprefix("struct<").removesuffix(">").split(","))}
+NO_PARAMETERS = {f: k for f, k in (x.split(":") for x in models.PARAMETERS.removeprefix("struct<").removesuffix(">").split(","))}
 
 
 def parameters(**known: Column) -> Column:
-    return F.struct(*((known.get(f, v)).alias(f) for f, v in NO_PARAMETERS.items()))
+    return F.struct(*(known.get(f, F.lit(None).cast(v)).alias(f) for f, v in NO_PARAMETERS.items()))
 
 
 def fitted_states(spark: SparkSession, d: str, model: str, dot: bool = False, **options) -> DataFrame:
