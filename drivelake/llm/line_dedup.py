@@ -9,13 +9,14 @@ from .common import WORD, store, stored, text_of
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, i, id, words, at of each line that isn't blank: row tells texts apart, i is the line's place among
-    those of its text, id a 64-bit hash of it, at the words before it. Equal rows give one."""
-    lines = F.filter(F.split(text_of(text_col), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("string"), text_of(text_col)).alias("row"), F.posexplode(lines).alias("i", "line"))
-    own = own.select("doc_id", "row", "i", F.xxhash64("line").alias("id"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words")).dropDuplicates(["row", "i"])
-    before = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return own.withColumn("at", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    """doc_id, row, p, id, words, i, at of each line that isn't blank: row tells texts apart, p is the line's place in its
+    text, i that among the lines that aren't blank, id a 64-bit hash of it, at the words before it. Equal rows give one."""
+    lines = F.split(text_of(text_col), "\n", -1)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("string"), text_of(text_col)).alias("row"), F.posexplode(lines).alias("p", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    own = own.select("doc_id", "row", "p", F.xxhash64("line").alias("id"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words")).dropDuplicates(["row", "p"])
+    in_text = Window.partitionBy("row").orderBy("p")
+    before = in_text.rowsBetween(Window.unboundedPreceding, -1)
+    return own.withColumns({"i": F.row_number().over(in_text) - 1, "at": F.coalesce(F.sum("words").over(before), F.lit(0))})
 
 
 def repeated(named: DataFrame) -> DataFrame:
@@ -66,20 +67,13 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
     """
     lines = stored(line_table(docs, id_col, text_col))
     gone = repeated_lines(docs, min_words, id_col, text_col, lines).select("row", "i", F.lit(True).alias("gone"))
-    per_row = lines.join(gone, ["row", "i"], "left").groupBy("row").agg(F.count("*").alias("n_lines"), F.count("gone").alias("n_removed"), F.sum("words").alias("n_words"), F.coalesce(F.sum(F.when(F.col("gone"), F.col("words"))), F.lit(0)).alias("words_removed"), F.array_compact(F.collect_list(F.when(F.col("gone"), F.col("i")))).alias("which"))
+    per_row = lines.join(gone, ["row", "i"], "left").groupBy("row").agg(F.count("*").alias("n_lines"), F.count("gone").alias("n_removed"), F.sum("words").alias("n_words"), F.coalesce(F.sum(F.when(F.col("gone"), F.col("words"))), F.lit(0)).alias("words_removed"), F.collect_list(F.when(F.col("gone"), F.col("p"))).alias("which"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_of(text_col)).alias("row"))
     j = own.join(per_row, "row", "left")
     parts = F.split("text", "\n", -1)
-    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
-    # The place of each line among those that aren't blank, by a running count over the array.
-    marked = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("i"), F.array().cast("array<string>").alias("kept")),
-        lambda s, x: F.when(blank(x), F.struct(s["i"].alias("i"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(
-            F.struct((s["i"] + 1).alias("i"), F.when(F.array_contains(F.col("which"), s["i"]), s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"))
-        ),
-        lambda s: F.array_join(s["kept"], "\n"),
-    )
+    # The places that stay, in order; array_except looks them up by hash, so that a long text costs no more than its length.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "which")
+    without = F.array_join(F.transform(stay, lambda p: F.element_at(parts, p + 1)), "\n")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    kept = F.when(F.coalesce(F.col("n_removed"), F.lit(0)) == 0, F.col("text")).when(F.col("n_removed") == F.col("n_lines"), F.array_join(F.filter(parts, blank), "\n")).otherwise(marked)
+    kept = F.when(F.coalesce(F.col("n_removed"), F.lit(0)) == 0, F.col("text")).otherwise(without)
     return j.select("doc_id", zero("n_lines"), zero("n_removed"), zero("n_words"), zero("words_removed"), kept.alias("text"))

@@ -15,7 +15,7 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, mo
 
     Sources by code point, null last, weigh `weights` in turn and together get `share` of all words; no target is above
     `most` times its source's words, and what is over goes to the others by weight. Within a source documents are
-    ordered by a hash of seed, id and text. Whole epochs take every document; in the last, unfinished epoch the
+    ordered by a SHA-256 of seed, id and text. Whole epochs take every document; in the last, unfinished epoch the
     documents before the cut are taken whole, the one at the cut in part, so that each source's total is the floor of
     its target. The prefix sums run in two steps, over ranges of the hash and within each, so no source is sorted in
     one task. Only one row per source passes through a single task.
@@ -26,8 +26,9 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, mo
     """
     if not 0 <= share <= most:
         raise ValueError("share must lie between 0 and most")
-    key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text_of(text_col))
-    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"), F.shiftrightunsigned(key, 1).alias("key")))
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), text_of(id_col), F.lit(":"), text_of(text_col)), 256)
+    key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"), key.alias("key")))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
 
     # The targets are min(most * size, level * weight), with the level at which they add up to share of all.
@@ -48,7 +49,7 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, mo
     )
     targets = stored(targets)
     # A source's row is small and there is one for each: the join is broadcast only where Spark finds it small enough.
-    ranged = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", sized["source"], "size", "key", "source_size", "target", F.floor(F.col("key") / F.lit(float(1 << 63)) * F.col("ranges")).alias("range"))
+    ranged = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", sized["source"], "size", "key", "source_size", "target", F.floor(F.col("key") / F.lit(float(1 << 60)) * F.col("ranges")).alias("range"))
     before = (
         ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
         .withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -68,5 +68,54 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 FROM t JOIN g ON t.norm = g.norm
 """
 
+# The links of op3 and op5 as pairs a < b, their components as the least id that a chain of links reaches.
+REACH = """
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, a AS b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)"""
+
+VECTORS_SQL = f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id < y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.9),
+{REACH},
+degree AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(l.m, e.vec_id) AS component_id, coalesce(l.m, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN least l ON l.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+"""
+
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM x JOIN x y ON x.g = y.g AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+{REACH}
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(l.m, s.doc_id) AS component_id FROM s LEFT JOIN least l ON l.a = s.doc_id
+"""
+
+MIXING_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    substr(sha256('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15) AS key FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, source_size * 2.0::DOUBLE AS cap, ([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1])::DOUBLE AS w FROM per),
+levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER f, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS own_level
+  FROM weighed WINDOW f AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (SELECT source, source_size, least(cap, max(own_level) OVER () * w) AS target FROM levels),
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized),
+budgets AS (
+  SELECT p.doc_id, p.source, p.size, t.source_size, t.target, p.before, CASE WHEN t.source_size > 0 THEN floor(floor(t.target) / t.source_size) ELSE 0 END AS epochs
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size, source_size, target,
+  (epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - before)))::BIGINT AS taken FROM budgets
+"""
+
 QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_embeddings, op4_lm, op5_jaccard, op6_mixing, op7_pii, op8_line_dedup, op9_packing, op10_langid)}
-SQL = {"op2_exact_dedup": EXACT_SQL}
+SQL = {"op2_exact_dedup": EXACT_SQL, "op3_embeddings": VECTORS_SQL, "op5_jaccard": JACCARD_SQL, "op6_mixing": MIXING_SQL}
