@@ -113,8 +113,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     signature trees of at most `block` sets, in order of size, and a dual traversal gives the pairs that may be
     similar. First each tree is joined with itself, and the first sets of all trees of a bucket; of these pairs only a
     spanning forest is verified, by the whole sets. Then, in buckets that still hold several components, all trees are
-    joined with each other; components that may be near form zones, in which all pairs across components that the
-    bitmaps allow are verified within tasks of some hundred sets, so no link between components is lost.
+    joined with each other, and all pairs across components that the bitmaps allow are verified, so that no link
+    between components is lost. Trees hold sets whose bitmaps have one width, a fourth to an eighth of it filled at most.
     Shingles have 64-bit hashes. The list of common shingles is bounded by `most_common` and only changes the order;
     ids of classes to verify are broadcast up to `most_broadcast`, beyond it joined by shuffle.
 
@@ -232,6 +232,18 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     heads = placed.filter(F.col("p") % block == 0).join(lists.filter(F.size("members") > block).select("bucket"), "bucket", "left_semi")
     signs = described.filter("h is null and n > 0").groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
+    def candidates(g: dict, x: np.ndarray, y: np.ndarray, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of g that may be similar, one of x and one of y. Sets whose bitmaps are of one width are in one tree, so
+        that no bitmap is folded onto much fewer bits than it has; trees meet where their widths allow the similarity."""
+        wide, same = np.array([len(b) for b in g["bits"]]), x is y
+        for w in np.unique(wide[x]):
+            for v in np.unique(wide[y]):
+                if same and v < w or 200 * min(v, w) < percent * max(v, w):
+                    continue
+                (t, p), (u, q) = (read_tree(g, z[wide[z] == own], min(v, w)) for z, own in ((x, w), (y, v)))
+                i, j = dual(t, u, percent, bool(same and v == w), *((group[p], group[q]) if group is not None else ()))
+                yield p[i], q[j]
+
     def read_tree(g: dict, keep: np.ndarray, size: int) -> tuple[Tree, np.ndarray]:
         order = keep[np.lexsort((g["k"][keep], g["n"][keep]))]
         return Tree(g["n"][order].astype(np.int64), np.stack([folded(b, size) for b in g["bits"][order]]).view(_U)), order
@@ -239,11 +251,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     def self_join(g: dict) -> pd.DataFrame | None:
         if len(g["k"]) < 2:
             return None
-        t, order = read_tree(g, np.arange(len(g["k"])), min(map(len, g["bits"])))
-        i, j = dual(t, t, percent, True)
-        forest, k = Forest(), g["k"][order]
-        keep = [x for x, (a, b) in enumerate(zip(i.tolist(), j.tolist())) if forest.join(a, b)]
-        return pd.DataFrame({"a": k[i[keep]], "b": k[j[keep]]}) if keep else None
+        every, forest, k = np.arange(len(g["k"])), Forest(), g["k"]
+        some = [(k[a], k[b]) for i, j in candidates(g, every, every) for a, b in zip(i.tolist(), j.tolist()) if forest.join(a, b)]
+        return pd.DataFrame(some, columns=["a", "b"]) if some else None
 
     blocks = in_tree.unionByName(heads.select("bucket", (-1 - F.floor(F.col("p") / (block * block))).cast("long").alias("tree"), "k"))
     first = by_key(blocks.join(signs, "k"), ["bucket", "tree"], self_join, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -282,44 +292,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         x, y = full.select(F.col("k").alias("a"), F.col("s").alias("x")), full.select(F.col("k").alias("b"), F.col("s").alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
-    def across(near: DataFrame, label: DataFrame) -> DataFrame:
-        """Links between components, given a spanning forest of those that may be near each other. What it connects is a
-        zone; a zone's classes are dealt into blocks, small components whole, large ones in blocks of their own, and
-        every two blocks of a zone meet once whose sizes allow it and that aren't of one component."""
-        zone = components(near).select(F.col("node").alias("g"), F.col("component").alias("zone"))
-        of = reps.join(label, reps["k"] == label["node"], "left").select("k", F.coalesce("component", "k").alias("g")).join(zone, "g")
-        of = stored(of.join(signs.select("k", "n"), "k").select("zone", "g", "k", "n"))
-        size = of.groupBy("zone", "g").agg(F.count("*").alias("size"))
-        small = size.filter(F.col("size") < block // 2).groupBy("zone").agg(F.ceil(F.sum("size") / (block // 2)).alias("blocks"))
-        shaped = of.join(size, ["zone", "g"]).join(small, "zone", "left")
-        large = F.col("size") >= block // 2
-        at = F.when(large, F.concat_ws(":", F.col("g"), F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / (block // 2))))).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64("g"), F.col("blocks"))))
-        placed = stored(shaped.select("zone", at.alias("block"), F.when(large, F.col("g")).alias("whole"), "g", "k", "n"))
-        table = placed.groupBy("zone", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("whole").alias("whole"))
-        x, y = table.alias("x"), table.alias("y")
-        fits = (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
-        tasks = x.join(y, (F.col("x.zone") == F.col("y.zone")) & (F.col("x.block") <= F.col("y.block")) & fits & ~F.coalesce(F.col("x.whole") == F.col("y.whole"), F.lit(False))).select("x.zone", F.col("x.block").alias("x"), F.col("y.block").alias("y"))
-        met = tasks.select("zone", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")).join(placed.select("zone", "block", "g", "k"), ["zone", "block"]).join(whole_sets(placed.select("k")), "k")
-
-        def test(t: dict) -> pd.DataFrame | None:
-            every = [np.frombuffer(v, _U) for v in t["s"]]
-            order = np.lexsort((t["k"], [len(v) for v in every]))
-            bits = [bitmap(every[i], 16) for i in order]
-            width = min(map(len, bits))
-            tree = Tree(np.array([len(every[i]) for i in order]), np.stack([folded(v.tobytes(), width) for v in bits]).view(_U))
-            g, k, forest, out = t["g"][order].tolist(), t["k"][order].tolist(), Forest(), []
-            for i, j in zip(*(v.tolist() for v in dual(tree, tree, percent, True, t["g"][order], t["g"][order]))):
-                if forest.root(g[i]) != forest.root(g[j]):
-                    a, b = every[order[i]], every[order[j]]
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * both >= percent * (len(a) + len(b) - both):
-                        forest.join(g[i], g[j])
-                        out.append((k[i], k[j]))
-            return pd.DataFrame(out, columns=["a", "b"]) if out else None
-
-        return by_key(met, ["zone", "x", "y"], test, "a long, b long")
-
-    links = stored(verified(stored(first)))
+    first = stored(first)
+    links = stored(verified(first))
     label = components(links)
     labelled = in_tree.join(label, in_tree["k"] == label["node"], "left").select("bucket", "tree", "k", F.coalesce("component", "k").alias("g"))
     open_buckets = labelled.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.max("tree").alias("trees")).filter("g0 <> g1").select("bucket", "trees")
@@ -332,19 +306,15 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     dealt = sides.join(held.select("bucket", F.col("tree").alias("side"), "k", "g"), ["bucket", "side"]).join(signs, "k")
 
     def cross(g: dict) -> pd.DataFrame | None:
-        size, same = min(map(len, g["bits"])), g["tree"][0] == g["other"][0]
-        x, p = read_tree(g, np.flatnonzero(g["side"] == g["tree"][0]), size)
-        y, q = (x, p) if same else read_tree(g, np.flatnonzero(g["side"] == g["other"][0]), size)
-        i, j = dual(x, y, percent, bool(same), g["g"][p], g["g"][q])
-        if not len(i):
-            return None
-        forest = Forest()
-        some = [(a, b) for a, b in zip(g["g"][p[i]].tolist(), g["g"][q[j]].tolist()) if forest.join(a, b)]
-        return pd.DataFrame(some, columns=["a", "b"])
+        x = np.flatnonzero(g["side"] == g["tree"][0])
+        y = x if g["tree"][0] == g["other"][0] else np.flatnonzero(g["side"] == g["other"][0])
+        some = [pd.DataFrame({"a": g["k"][i], "b": g["k"][j]}) for i, j in candidates(g, x, y, g["g"])]
+        return pd.concat(some) if some else None
 
-    near = stored(by_key(dealt, ["bucket", "tree", "other"], cross, "a long, b long").distinct())
+    crossing = by_key(dealt, ["bucket", "tree", "other"], cross, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = stored(crossing.join(first, ["a", "b"], "left_anti"))
     if not near.isEmpty():
-        more = stored(across(near, label))
+        more = stored(verified(near))
         if not more.isEmpty():
             label = components(links.unionByName(more))
     named = reps.join(label, reps["k"] == label["node"], "left").select("k", "rep", F.coalesce("component", "k").alias("g"))
