@@ -223,7 +223,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         for a, b in zip(cut[many].tolist(), cut[many + 1].tolist()):
             v = k[a:b]
             lists.setdefault(v.tobytes() if b - a < 9 else hashlib.blake2b(v.tobytes(), digest_size=16).digest(), v)
-        return pd.DataFrame({"bucket": [class_key(v) for v in lists.values()], "members": list(lists.values())})
+        return pd.DataFrame({"bucket": [class_key(v) for v in lists.values()], "members": pd.Series(list(lists.values()), dtype=object)})
 
     shuffled = own.select("text").mapInArrow(prefixes, "shard long, h binary, k binary, m binary").groupBy("shard")
     lists = stored(shuffled.applyInPandas(buckets, "bucket long, members array<long>").groupBy("bucket").agg(F.first("members").alias("members")))
