@@ -137,7 +137,7 @@ def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 COUNTS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("h", pa.binary()), ("c", pa.binary())])
 
 
-def tables(train: DataFrame, text_col: str, min_pair: int = 2, shard_chars: int = 16_000_000) -> tuple[DataFrame, int]:
+def tables(train: DataFrame, text_col: str, min_pair: int = 1, shard_chars: int = 16_000_000) -> tuple[DataFrame, int]:
     """The model's shards, written: kind 1, word hashes and counts; kind 2, filter segments over the pairs seen at least
     min_pair times. Tasks count their own rows first; what they found is shuffled in blocks, one for each shard."""
     chars = train.agg(F.sum(F.length(text_col))).first()[0] or 0
@@ -185,7 +185,7 @@ def packs(shards: DataFrame, limit: int) -> list[list[int]]:
     return out
 
 
-def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 256 << 20, prior: float = 20.0, min_pair: int = 2, shard_chars: int = 16_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 256 << 20, prior: float = 20.0, min_pair: int = 1, shard_chars: int = 16_000_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs, by counts of train.
 
     Tokens are the words, A-Z folded, and one end. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1))). score is the
