@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,7 +64,7 @@ def filter_of(h: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Pack:
     """Word counts and filter segments of some shards; a shard is a value of a hash's leading bits."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes, bytes]], bits: int) -> None:
+    def __init__(self, rows: Iterable[tuple[int, int, bytes, bytes]], bits: int) -> None:
         rows = sorted(rows, key=lambda r: r[:2])
         self.bits = bits
         self.h = np.concatenate([np.zeros(0, _U), *(np.frombuffer(r[2], _U) for r in rows if r[0] == 1)])
@@ -201,7 +201,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     n_train, v_train = (total[1]["n"], total[1]["v"]) if 1 in total else (0, 0)
     sc, runs = docs.sparkSession.sparkContext, packs(shards, limit)
     log_all, one = math.log10(n_train + 0.1 * (v_train + 1)), n_train + 0.1 * (v_train + 1)
-    pack_of = lambda run: sc.broadcast(Pack([tuple(r) for r in shards.filter(F.col("shard").isin(run)).select("kind", "shard", "h", "c").collect()], bits))  # noqa: E731  at most limit bytes
+    pack_of = lambda run: sc.broadcast(Pack(map(tuple, shards.filter(F.col("shard").isin(run)).select("kind", "shard", "h", "c").toLocalIterator()), bits))  # noqa: E731  at most limit bytes, fetched a partition at a time
 
     def finish(at: np.ndarray, c: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
         n = len(at) - 1
