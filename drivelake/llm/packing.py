@@ -17,40 +17,62 @@ ODD = re.compile("[\x1c-\x1f]")
 MARKS = ".,!|?;:#$%&*"
 
 
-class Ids(dict):
+class Ids:
     """Token ids, as little-endian 32-bit bytes, of the chunks between white space. The tokenizer treats those one by
-    one, for none of its rules reaches across white space. At most `most` chunks are remembered."""
+    one, for none of its rules reaches across white space. Chunks are remembered in two generations of about `most`
+    each: when the younger is full, the older is forgotten but for the chunks that came again."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self) + len(chunks) > self.most:
-            self.clear()
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        missed = chunks.difference(self.known)
+        new = missed.difference(self.older)
+        for c in missed.difference(new):
+            self.known[c] = self.older[c]
         split = []
         words, others = set(), set()
-        for c in chunks:
-            if c not in self:
-                core = c.rstrip(MARKS)
-                if core.isascii() and core.isalpha():
-                    words.add(core)
-                    if len(core) < len(c):
-                        split.append((c, core))
-                        others.add(c[len(core) :])
-                else:
-                    others.add(c)
-        self.learn_words([c for c in words if c not in self])
-        new = [c for c in others if c not in self]
-        for i in range(0, len(new), 20_000):
-            for c, x in zip(new[i : i + 20_000], self.tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False)):
-                self[c] = np.array(x.ids, "<u4").tobytes()
+        for c in new:
+            core = c.rstrip(MARKS)
+            if core.isascii() and core.isalpha():
+                words.add(core)
+                if len(core) < len(c):
+                    split.append((c, core))
+                    others.add(c[len(core) :])
+            else:
+                others.add(c)
+        self.learn_words([c for c in words if c not in self.known])
+        self.learn_others([c for c in others if c not in self.known])
         for c, core in split:  # marks after letters are a token run of their own
-            self[c] = self[core] + self[c[len(core) :]]
+            self.known[c] = self.known[core] + self.known[c[len(core) :]]
+
+    def learn_others(self, chunks: list[str]) -> None:
+        """ids of any chunks, many in one text with a bar between them; those with a bar of their own one by one."""
+        alone = [c for c in chunks if "|" in c]
+        plain = [c for c in chunks if "|" not in c]
+        for i in range(0, len(plain), 5000):
+            some = plain[i : i + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" | ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.bar[0]) if len(self.bar) == 1 else ()
+            if len(at) != len(some) - 1:
+                alone += some
+                continue
+            data = ids.tobytes()
+            for c, a, b in zip(some, [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(data)]):
+                self.known[c] = data[a:b]
+        for i in range(0, len(alone), 5000):
+            for c, x in zip(alone[i : i + 5000], self.tokenizer.encode_batch_fast(alone[i : i + 5000], add_special_tokens=False)):
+                self.known[c] = np.array(x.ids, "<u4").tobytes()
 
     def learn_words(self, words: list[str]) -> None:
         """ids of ASCII words, many in one text: each is one word to the tokenizer."""
@@ -62,12 +84,12 @@ class Ids(dict):
             cut = (4 * np.flatnonzero(np.diff(word, prepend=-1, append=-1))).tolist()
             assert len(cut) == len(some) + 1
             for c, a, b in zip(some, cut[:-1], cut[1:]):
-                self[c] = data[a:b]
+                self.known[c] = data[a:b]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         chunks = [None if ODD.search(t) else t.split() for t in texts]
         self.learn(set().union(*(c for c in chunks if c)))
-        return [self.encode(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, chunks)]
+        return [self.encode(t) if c is None else b"".join(map(self.known.__getitem__, c)) for t, c in zip(texts, chunks)]
 
 
 _ids: dict[str, Ids] = {}
