@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, stored
 
-ODD = re.compile("[\x1c-\x1f]")
+ODD = "\x1c\x1d\x1e\x1f"
 MARKS = ".,!|?;:#$%&*"
 
 
@@ -22,7 +21,7 @@ class Ids:
     one, for none of its rules reaches across white space. Chunks are remembered in two generations of about `most`
     each: when the younger is full, the older is forgotten but for the chunks that came again."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -33,14 +32,18 @@ class Ids:
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
+    def unknown(self, chunks: set[str]) -> set[str]:
+        """Those of neither generation; those of the older one alone are taken into the younger."""
         missed = chunks.difference(self.known)
         new = missed.difference(self.older)
         for c in missed.difference(new):
             self.known[c] = self.older[c]
-        split = []
+        return new
+
+    def learn(self, chunks: set[str]) -> None:
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        split, new = [], self.unknown(chunks)
         words, others = set(), set()
         for c in new:
             core = c.rstrip(MARKS)
@@ -51,8 +54,8 @@ class Ids:
                     others.add(c[len(core) :])
             else:
                 others.add(c)
-        self.learn_words([c for c in words if c not in self.known])
-        self.learn_others([c for c in others if c not in self.known])
+        self.learn_words(list(self.unknown(words)))
+        self.learn_others(list(self.unknown(others)))
         for c, core in split:  # marks after letters are a token run of their own
             self.known[c] = self.known[core] + self.known[c[len(core) :]]
 
@@ -87,7 +90,7 @@ class Ids:
                 self.known[c] = data[a:b]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if ODD.search(t) else t.split() for t in texts]
+        chunks = [None if any(c in t for c in ODD) else t.split() for t in texts]
         self.learn(set().union(*(c for c in chunks if c)))
         return [self.encode(t) if c is None else b"".join(map(self.known.__getitem__, c)) for t, c in zip(texts, chunks)]
 
