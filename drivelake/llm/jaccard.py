@@ -103,7 +103,7 @@ def _signed(k: np.ndarray) -> np.ndarray:
     return k.astype(np.int64)
 
 
-def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 512, most_common: int = 1_000_000, shard_chars: int = 16_000_000, most_broadcast: int = 1_000_000) -> DataFrame:
+def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 512, most_common: int = 1_000_000, shard_chars: int = 16_000_000, most_broadcast: int = 1_000_000, leading: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs: documents link when their sets of n-word shingles have
     100 * intersection >= percent * union; a component is named by its least doc_id.
 
@@ -111,7 +111,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     first size - ceil(percent % of size) + 1 of each; the order here is common shingles last, and by hash within both, so
     classes meet in the buckets of rare shingles. Buckets with equal members are one. Each bucket's sets go into
     signature trees of at most `block` sets, in order of size, and a dual traversal gives the pairs that may be
-    similar. First each tree is joined with itself, and the first sets of all trees of a bucket; of these pairs only a
+    similar. First each tree is joined with itself, and the first sets of all trees of a bucket, in the buckets of
+    shingles that stand among the first `leading` for half of the bucket's classes or more; of these pairs only a
     spanning forest is verified, by the whole sets. Then, in buckets that still hold several components, all trees are
     joined with each other, and all pairs across components that the bitmaps allow are verified, so that no link
     between components is lost. Trees hold sets whose bitmaps have one width, a fourth to an eighth of it filled at most.
@@ -204,7 +205,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
                     is_hot = hot.value[np.minimum(i, len(hot.value) - 1)] == s if len(hot.value) else np.zeros(len(s), bool)
                     rare = s[~is_hot][:want]
                     first = np.concatenate([rare, s[is_hot][: want - len(rare)]]) if len(rare) < want else rare
-                    held.append((mixed(first), np.full(len(first), k), np.full(len(first), len(s), np.int32)))
+                    # The size, and in the lowest bit whether the shingle is none of the leading ones.
+                    held.append((mixed(first), np.full(len(first), k), 2 * np.int32(len(s)) + (np.arange(len(first)) >= leading).astype(np.int32)))
                     total += len(first)
                 if total > 2_000_000:
                     yield from flush()
@@ -213,23 +215,24 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
     def buckets(pdf: pd.DataFrame) -> pd.DataFrame:
         h, k, m = (np.concatenate([np.frombuffer(v, t) for v in pdf[c]]) for c, t in (("h", _U), ("k", np.int64), ("m", np.int32)))
-        order = np.lexsort((k, m, h))
+        order = np.lexsort((k, m >> 1, h))
         h, k, m = h[order], k[order], m[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
-        h, k = h[new], k[new]
+        h, k, late = h[new], k[new], m[new] & 1
         cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
         many = np.flatnonzero(np.diff(cut) > 1)
         lists = {}
         for a, b in zip(cut[many].tolist(), cut[many + 1].tolist()):
-            v = k[a:b]
-            lists.setdefault(v.tobytes() if b - a < 9 else hashlib.blake2b(v.tobytes(), digest_size=16).digest(), v)
-        return pd.DataFrame({"bucket": [class_key(v) for v in lists.values()], "members": pd.Series(list(lists.values()), dtype=object)})
+            v, leads = k[a:b], 2 * int(late[a:b].sum()) <= b - a
+            own = lists.setdefault(v.tobytes() if b - a < 9 else hashlib.blake2b(v.tobytes(), digest_size=16).digest(), [v, leads])
+            own[1] |= leads
+        return pd.DataFrame({"bucket": [class_key(v) for v, _ in lists.values()], "members": pd.Series([v for v, _ in lists.values()], dtype=object), "leads": [x for _, x in lists.values()]}).astype({"leads": bool})
 
     shuffled = own.select("text").mapInArrow(prefixes, "shard long, h binary, k binary, m binary").groupBy("shard")
-    lists = stored(shuffled.applyInPandas(buckets, "bucket long, members array<long>").groupBy("bucket").agg(F.first("members").alias("members")))
-    placed = lists.select("bucket", F.posexplode("members").alias("p", "k"))
-    in_tree = placed.select("bucket", F.floor(F.col("p") / block).cast("long").alias("tree"), "k")
-    heads = placed.filter(F.col("p") % block == 0).join(lists.filter(F.size("members") > block).select("bucket"), "bucket", "left_semi")
+    lists = stored(shuffled.applyInPandas(buckets, "bucket long, members array<long>, leads boolean").groupBy("bucket").agg(F.first("members").alias("members"), F.max("leads").alias("leads")))
+    placed = lists.select("bucket", "leads", F.posexplode("members").alias("p", "k"))
+    in_tree = placed.select("bucket", F.floor(F.col("p") / block).cast("long").alias("tree"), "k", "leads")
+    heads = placed.filter((F.col("p") % block == 0) & F.col("leads")).join(lists.filter(F.size("members") > block).select("bucket"), "bucket", "left_semi")
     signs = described.filter("h is null and n > 0").groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
     def candidates(g: dict, x: np.ndarray, y: np.ndarray, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -255,7 +258,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         some = [(k[a], k[b]) for i, j in candidates(g, every, every) for a, b in zip(i.tolist(), j.tolist()) if forest.join(a, b)]
         return pd.DataFrame(some, columns=["a", "b"]) if some else None
 
-    blocks = in_tree.unionByName(heads.select("bucket", (-1 - F.floor(F.col("p") / (block * block))).cast("long").alias("tree"), "k"))
+    blocks = in_tree.filter("leads").drop("leads").unionByName(heads.select("bucket", (-1 - F.floor(F.col("p") / (block * block))).cast("long").alias("tree"), "k"))
     first = by_key(blocks.join(signs, "k"), ["bucket", "tree"], self_join, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     reps = own_class.groupBy("k").agg(F.min("doc_id").alias("rep"))
