@@ -19,43 +19,60 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return own.withColumns({"i": F.row_number().over(in_text) - 1, "at": F.coalesce(F.sum("words").over(before), F.lit(0))})
 
 
-def repeated(named: DataFrame) -> DataFrame:
-    """The rows of named (doc_id, row, i, r, at, until) whose r occurs again, with the first place of it in `first`."""
-    groups = named.groupBy("r").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "i")).alias("first")).filter("n > 1").select("r", "first")
-    return named.join(groups, "r")
+def repeated(level: DataFrame) -> DataFrame:
+    """The rows of level (row, i, r) whose r occurs again."""
+    return level.join(level.groupBy("r").count().filter("count > 1"), "r", "left_semi").select("row", "i", "r")
+
+
+def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, row, a, b: for each line the shortest run [a, b) of at least min_words words that begins with it, and the
+    shortest that ends with it where that is another. As each line has a word, none is longer than min_words lines."""
+    ended = lines.withColumn("until", F.col("at") + F.col("words"))
+    on, back = Window.partitionBy("row").orderBy("at").rangeBetween(0, min_words - 1), Window.partitionBy("row").orderBy("until").rangeBetween(1 - min_words, 0)
+    frames = ended.withColumns({"n": F.count("*").over(on), "to": F.max("until").over(on), "m": F.count("*").over(back), "since": F.min("at").over(back)})
+    begun = F.when(F.col("to") - F.col("at") >= min_words, F.struct(F.col("i").alias("a"), (F.col("i") + F.col("n")).alias("b")))
+    # One that is long enough without its last line isn't the shortest from where it begins.
+    closed = F.when(F.col("at") - F.col("since") >= min_words, F.struct((F.col("i") + 1 - F.col("m")).alias("a"), (F.col("i") + 1).alias("b")))
+    return frames.select("doc_id", "row", F.explode(F.array_compact(F.array(begun, closed))).alias("run")).select("doc_id", "row", F.col("run.a").cast("long").alias("a"), F.col("run.b").cast("long").alias("b"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", lines: DataFrame | None = None) -> DataFrame:
-    """doc_id, row, i of every line that lies in a later copy of a run of lines with at least min_words words.
+    """row, i of every line that lies in a later copy of a run of lines with at least min_words words.
 
     Ranks of runs of 1, 2, 4, ... lines come from each other by prefix doubling: a run of 2h lines is ranked by the pair
     of ranks of its halves, and runs that occur once leave. Ranks are 64-bit names of the pairs, which tell runs apart
-    as sorted ranks would but need no global sort. At each length, neighbouring starts that repeat one earlier place
-    at the same distance are one interval: a maximal repeated run. The number of rounds is the logarithm of the
-    longest repeated run. An earlier place is one with a lesser id, or in the same text further up.
+    as sorted ranks would but need no global sort. A run of n lines, h <= n < 2h, is named by n and the ranks of its
+    first and last h lines. The shortest runs of min_words words that begin or end with a line are named so; each that
+    has an earlier place is removed whole. These cover every longer run with an earlier place: the shortest one from its
+    first line, and for each line after that the shortest one that ends with it, lie in it. So their union is that of the
+    intervals from each start over its longest match with any earlier place, and doubling ends at min_words lines. An
+    earlier place is one with a lesser id, or in the same text further up.
     """
     lines = stored(line_table(docs, id_col, text_col)) if lines is None else lines
-    level = lines.select("doc_id", "row", "i", F.col("id").alias("r"), "at", (F.col("at") + F.col("words")).alias("until"))
-    runs, h = [], 1
-    while True:
+    runs = stored(shortest_runs(lines, max(min_words, 1)))
+    size = F.col("b") - F.col("a")
+    longest = runs.agg(F.max(size)).first()[0] or 0
+    level = lines.select("row", F.col("i").cast("long").alias("i"), F.col("id").alias("r"))
+    named, h = [], 1
+    while h <= longest:
         level = stored(repeated(level))
         if level.isEmpty():
             break
-        first = level.filter(~((F.col("first.row") == F.col("row")) & (F.col("first.i") == F.col("i")))).select("doc_id", "row", "i", "at", "until", F.col("first.row").alias("source"), (F.col("first.i") - F.col("i")).alias("shift"))
-        # Within a text the copy just before counts too, so that a repeated line or verse is one run.
-        near = level.withColumn("before", F.lag("i").over(Window.partitionBy("row", "r").orderBy("i"))).filter("before is not null").select("doc_id", "row", "i", "at", "until", F.col("row").alias("source"), (F.col("before") - F.col("i")).alias("shift"))
-        later = first.unionByName(near).distinct()
-        by = Window.partitionBy("row", "source", "shift").orderBy("i")
-        island = later.withColumn("island", F.col("i") - F.row_number().over(by)).groupBy("doc_id", "row", "source", "shift", "island").agg(F.min("i").alias("a"), (F.max("i") + h).alias("b"), F.min("at").alias("at"), F.max("until").alias("until"))
-        found = island.filter(F.col("until") - F.col("at") >= min_words).select("doc_id", "row", "a", "b")
-        runs.append(store(found.distinct()))
         x, y = level.alias("x"), level.alias("y")
-        level = x.join(y, (F.col("x.row") == F.col("y.row")) & (F.col("x.i") + h == F.col("y.i"))).select("x.doc_id", "x.row", "x.i", F.xxhash64("x.r", "y.r").alias("r"), "x.at", "y.until")
+        own = runs.filter((size >= h) & (size < 2 * h)).alias("own")
+        own = own.join(x, (F.col("own.row") == F.col("x.row")) & (F.col("own.a") == F.col("x.i"))).join(y, (F.col("own.row") == F.col("y.row")) & (F.col("own.b") - h == F.col("y.i")))
+        named.append(store(own.select("own.doc_id", "own.row", "own.a", "own.b", F.xxhash64(size, "x.r", "y.r").alias("r"))))
+        level = x.join(y, (F.col("x.row") == F.col("y.row")) & (F.col("x.i") + h == F.col("y.i"))).select("x.row", "x.i", F.xxhash64("x.r", "y.r").alias("r"))
         h *= 2
-    if not runs:
-        return lines.select("doc_id", "row", "i").limit(0)
-    every = docs.sparkSession.read.schema(found.schema).parquet(*runs)
-    return every.select("doc_id", "row", F.explode(F.sequence("a", F.col("b") - 1)).alias("i")).distinct()
+    if not named:
+        return lines.select("row", "i").limit(0)
+    every = docs.sparkSession.read.schema("doc_id long, row long, a long, b long, r long").parquet(*named)
+    first = every.groupBy("r").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "a")).alias("first")).filter("n > 1").select("r", "first")
+    later = every.join(first, "r").filter(~((F.col("first.row") == F.col("row")) & (F.col("first.a") == F.col("a"))))
+    by = Window.partitionBy("row").orderBy("a", "b")
+    gap = F.coalesce(F.col("a") > F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    islands = later.select("row", "a", "b", gap.cast("long").alias("gap")).withColumn("island", F.sum("gap").over(by)).groupBy("row", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return islands.select("row", F.explode(F.sequence("a", F.col("b") - 1)).alias("i"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -88,3 +88,31 @@ def test_line_dedup(spark):
     out = {r["doc_id"]: r for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert {k: r["text"] for k, r in out.items()} == {1: docs[0][1], 2: "two\n \nlast", 3: docs[2][1], 4: docs[3][1], 5: "x\ny", 6: "", 7: ""}
     assert (out[5]["n_lines"], out[5]["n_removed"]) == (14, 12)
+
+
+def test_line_dedup_sources(spark):
+    """A passage whose beginning an earlier document has too, one with lines of very different lengths, and random texts
+    against brute force: every line in a run of min_words words that stands at an earlier place goes, and no other."""
+
+    def brute(docs, least):
+        lines = {d: [x for x in t.split("\n") if x.split()] for d, t in docs}
+        places = [(d, i) for d in sorted(lines) for i in range(len(lines[d]))]
+        gone = {d: set() for d in lines}
+        for k, (d, i) in enumerate(places):
+            for e, j in places[:k]:
+                n = 0
+                while i + n < len(lines[d]) and j + n < len(lines[e]) and lines[d][i + n] == lines[e][j + n]:
+                    n += 1
+                if sum(len(x.split()) for x in lines[d][i : i + n]) >= least:
+                    gone[d] |= set(range(i, i + n))
+        return {d: "\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d in lines}
+
+    line = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(5)]
+    docs = [(1, "\n".join(line[:4])), (2, "\n".join(line)), (3, "a\n" + "\n".join(line) + "\nb")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == brute(docs, 50) == {1: docs[0][1], 2: docs[1][1], 3: "a\nb"}
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"v{k}x{j}" for j in range([1, 2, 3, 9, 14][k % 5])) for k in range(7)]
+    docs = [(d, "\n".join(lines[k] for k in rng.integers(0, 7, rng.integers(1, 30)))) for d in range(40)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), 12).collect()}
+    assert out == brute(docs, 12)
