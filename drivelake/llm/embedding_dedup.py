@@ -56,6 +56,21 @@ def prune(v: np.ndarray, own: np.ndarray, cand: np.ndarray, degree: int, alpha:
     return out
 
 
+def starts(v: np.ndarray, q: np.ndarray, itself: np.ndarray, most: int = 24) -> np.ndarray:
+    """The nodes each query starts from (-1: none): the medoid and the query itself where it is a node (itself >= 0), else
+    its nearest nodes, by one product per block as in `graph`: from the medoid alone a search ends in a dense blob."""
+    out = np.full((len(q), max(2, min(most, len(v)))), -1, np.int64)
+    medoid = int((v @ v.mean(0)).argmax())
+    out[:, 0], out[:, 1] = medoid, np.where(itself == medoid, -1, itself)
+    other = np.flatnonzero(itself < 0)
+    for a in range(0, len(other), 500):
+        rows = other[a : a + 500]
+        k = min(most, len(v))
+        out[rows, :2] = -1
+        out[rows, :k] = np.argpartition(-(q[rows] @ v.T), k - 1, 1)[:, :k]
+    return out
+
+
 def search(v: np.ndarray, adjacent: np.ndarray, q: np.ndarray, start: np.ndarray, least: float, slack: float = 0.12, beam: int = 24, hops: int = 16):
     """Pairs (query, node) with cosine >= least, as they are found: a greedy search from the start nodes with a beam, and
     from all that it finds within `slack` of the range, over their neighbours again and again until none is new."""
@@ -107,8 +122,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     Equal vectors are one class. Shards are cells of centres fitted to a sample of about `sample_rows` vectors; each
     class is indexed in its `index_shards` nearest cells and searched in its `query_shards` nearest. A cell of over
     `most_rows` classes is cut by a hash, and its queries go to every cut. Each shard builds a robust-pruned graph;
-    the adjacency lists of a class's shards are united; queries start from the shard's medoid and, where the query is
-    itself a node, from there, and expand over everything in range. What is found is verified in double precision.
+    the adjacency lists of a class's shards are united; a query that is itself a
+    node starts from there and the shard's medoid, any other from its nearest nodes (`starts`), and both expand over
+    everything in range. What is found is verified in double precision.
     Counts are not sent as pairs: of the shards where a pair meets, the first one counts it. See `recall`.
 
     Null vectors, zero vectors and those with a null or non-finite component, or of another length than most, have no
@@ -174,11 +190,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
         for i, x in enumerate(g["near"][nodes]):
             at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
             adj[i, : len(x)] = np.where(keys[at] == x, at, -1)
-        medoid = int((v @ v.mean(0)).argmax())
         q = _unit(g["v"][ask])
         at = np.minimum(np.searchsorted(keys, g["k"][ask]), len(keys) - 1)
-        itself = np.where(keys[at] == g["k"][ask], at, -1)
-        start = np.stack([np.full(len(ask), medoid), np.where(itself == medoid, -1, itself)], 1)
+        start = starts(v, q, np.where(keys[at] == g["k"][ask], at, -1))
         total, forest, links = np.zeros(len(ask), np.int64), Forest(), []
         cell = int(g["cell"][0])
         index_of = [[int(c) for c in g["cells"][i][:index_shards]] for i in nodes]
