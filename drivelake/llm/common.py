@@ -164,19 +164,19 @@ def row_of(at: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(at) - 1), np.diff(at))
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
-    """The batch in runs of rows whose texts hold about `most` bytes; one longer text comes alone."""
+def pieces(batch: pa.RecordBatch, text: str, most: int = 8 << 20, rows: int = 1 << 20):
+    """The batch in runs of at most `rows` rows whose texts hold about `most` bytes; one longer text comes alone."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
     while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + most, "right")))
+        j = min(i + rows, max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + most, "right"))))
         yield batch.slice(i, j - i)
         i = j
 
 
 def by_key(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
-    """function(columns as numpy arrays) -> DataFrame over each group of df, as applyInPandas does, but with many small
-    groups to a batch. Groups must be small enough for a task's memory."""
+    """function(columns as numpy arrays) -> columns by name, or None, over each group of df, as applyInPandas does, but with
+    many small groups to a batch. Groups must be small enough for a task's memory."""
 
     def run(batches):
         rest = None

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import part, pieces, raw, row_of
 
 DIM = 2048
+#: Bytes and rows counted at once: a row's counts are dense, so that short texts need a bound of their own.
+PIECE = 1 << 20, 512
 _CODE = np.zeros(256, np.uint32)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = np.arange(27, 155)
@@ -49,7 +51,8 @@ def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Centroids:
-    """Several unit centroids for each language, the cosine below which a text is rejected, and the idf weights."""
+    """Several unit centroids for each language, the idf weights, and the cosine below which a text is rejected, by the
+    binary logarithm of its number of n-grams."""
 
     langs: list[str]
     idf: np.ndarray
@@ -61,7 +64,11 @@ class Centroids:
         cos = vectors(tf, self.idf) @ self.centre.T
         best = cos.argmax(1)
         score = cos[np.arange(len(cos)), best]
-        return self.owner[best], np.clip(score, 0, 1).astype(float), score < self.least[self.owner[best]]
+        return self.owner[best], np.clip(score, 0, 1).astype(float), score < self.least[_length(tf)]
+
+
+def _length(tf: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(tf.sum(1, dtype=np.int64), 1)).astype(int)
 
 
 def _clusters(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -77,20 +84,21 @@ def _clusters(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centre
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 6000, clusters: int = 3, rejection: float = 0.1) -> Centroids | None:
-    """Centroids from rows with a language, from a sample by a hash of the id of about `sample_rows` rows, an equal share
-    for each language. A language rejects what lies below `rejection` times its median cosine. None without such rows."""
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 6000, clusters: int = 3, rejection: float = 0.7) -> Centroids | None:
+    """Centroids from rows with a language, from a sample by a hash of id and text of about `sample_rows` rows, an equal
+    share for each language. A text is rejected where its cosine is below `rejection` times that which 99 in 100 texts of
+    its length or longer reach in training. None without such rows."""
     train = train.filter(F.col(lang_col).isNotNull())
     n = {r[0]: r[1] for r in train.groupBy(lang_col).count().collect()}  # a row per language
     if not n:
         return None
     share = max(50, sample_rows // len(n))
     rate = F.element_at(F.create_map(*(F.lit(x) for k, v in n.items() for x in (k, min(1.0, share / v)))), F.col(lang_col))
-    drawn = train.filter(F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1_000_000)) < rate * 1_000_000)
+    drawn = train.filter(F.pmod(F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)), F.lit(1_000_000)) < rate * 1_000_000)
 
     def count(batches):
         for b in batches:
-            for x in pieces(b, "text"):
+            for x in pieces(b, "text", *PIECE):
                 tf, letter = counts(x.column(1))
                 keep = np.flatnonzero(letter)
                 yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(keep)), pa.array([np.minimum(tf[i], 65535).astype(np.uint16).tobytes() for i in keep], pa.binary())], ["lang", "tf"])
@@ -102,14 +110,20 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     tf = np.frombuffer(b"".join(got["tf"]), np.uint16).reshape(len(got), DIM)
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
     langs, own = np.unique(got["lang"].to_numpy(dtype=str), return_inverse=True)
-    centre, owner, least = [], [], []
+    centre, owner, near = [], [], np.zeros(len(tf))
     for i in range(len(langs)):
         v = vectors(tf[own == i], idf)
         c = _clusters(v, clusters)
         centre.append(c)
         owner += [i] * len(c)
-        least.append(rejection * float(np.median((v @ c.T).max(1))))
-    return Centroids([str(x) for x in langs], idf, np.concatenate(centre).astype(np.float32), np.array(owner), np.array(least))
+        near[own == i] = (v @ c.T).max(1)
+    size, least = _length(tf), np.full(64, np.inf)
+    for k in np.unique(size):
+        if (size == k).sum() >= 5:
+            least[k] = rejection * np.quantile(near[size == k], 0.01)
+    least = np.minimum.accumulate(least[::-1])[::-1]
+    least = np.where(np.isinf(least), least[np.isfinite(least)].max(initial=0), least)
+    return Centroids([str(x) for x in langs], idf, np.concatenate(centre).astype(np.float32), np.array(owner), least)
 
 
 def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +137,7 @@ def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", t
 
     def predict(batches):
         for b in batches:
-            for x in pieces(b, "text"):
+            for x in pieces(b, "text", *PIECE):
                 tf, letter = counts(x.column(1))
                 if model is None:
                     best, score, far, names = np.zeros(len(tf), int), np.zeros(len(tf)), ~letter, ["und"]
@@ -141,7 +155,7 @@ def recognised(docs: DataFrame, model: Centroids | None, text_col: str = "text")
 
     def keep(batches):
         for b in batches:
-            for x in pieces(b, text_col):
+            for x in pieces(b, text_col, *PIECE):
                 tf, letter = counts(x.column(x.schema.get_field_index(text_col)))
                 far = model.predict(tf)[2] if model else ~letter
                 yield x.filter(pa.array(letter & ~far))
