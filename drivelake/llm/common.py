@@ -197,8 +197,10 @@ def by_key(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
     def apply(pdf: pd.DataFrame, cut: np.ndarray):
         columns = {c: pdf[c].to_numpy() for c in pdf.columns}
         out = [function({c: v[i:j] for c, v in columns.items()}) for i, j in zip(cut[:-1], cut[1:])]
-        out = [x for x in out if x is not None and len(x)]
+        out = [x for x in out if x]
         if out:
-            yield pa.RecordBatch.from_pandas(pd.concat(out, ignore_index=True), preserve_index=False)
+            joined = {c: np.concatenate([x[c] for x in out]) if isinstance(out[0][c], np.ndarray) else [v for x in out for v in x[c]] for c in out[0]}
+            if len(next(iter(joined.values()))):
+                yield pa.RecordBatch.from_pydict(joined)
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -51,7 +51,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component for every node in links (a long, b long); component is the least node reachable.
 
     Each round is two aggregations by node and their joins, written to the shared folder; hot nodes are pre-aggregated
-    and their joins split by Spark's skew join. The rounds grow with the logarithm of the longest path.
+    and their joins split by Spark's skew join. The rounds grow with the logarithm of the longest path; RuntimeError if
+    `most_rounds` don't suffice.
     """
     edges = stored(thinned(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct())
     before = None
@@ -67,4 +68,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
