@@ -87,19 +87,17 @@ def _dispatch(modelname: Column, of, p: Column, s: Column) -> Column:
     for name, m in MODELS.items():
         if of(m):
             out = (F if out is None else out).when(modelname == name, of(m)(p, s))
-    known = modelname.isin(list(MODELS))
-    return out.when(~known, F.raise_error(F.concat(F.lit("no model named "), modelname)).cast("double"))
+    return out.when(modelname.isNotNull(), F.raise_error(F.concat(F.lit("no scalar state of a model named "), modelname)).cast("double"))
 
 
-# Fits. y over t for each group of keys; x is a regressor made from t. Sums are explicit, so that groups with one
-# distinct instant get the mean rather than a null or NaN.
+# Fits. y over t for each group of keys; x is a regressor made from t. Groups with one distinct instant get the mean. The
+# moments are central ones, as sums of squares of times since some epoch would lose their digits.
 
 
 def _ols(df: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
     own = df.withColumns({"_x": x, "_y": y})
-    g = own.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.sum("_x").alias("sx"), F.sum("_y").alias("sy"), F.sum(F.col("_x") * F.col("_y")).alias("sxy"), F.sum(F.col("_x") * F.col("_x")).alias("sxx"), F.min("t_fit").alias("t0"), F.max("t_fit").alias("t1"))
-    den = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    slope = F.when(F.col("t0") == F.col("t1"), F.lit(0.0)).otherwise((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.when(den != 0, den))
+    g = own.groupBy(*keys).agg(F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.covar_pop("_x", "_y").alias("sxy"), F.var_pop("_x").alias("sxx"), F.min("t_fit").alias("t0"), F.max("t_fit").alias("t1"))
+    slope = F.when(F.col("t0") == F.col("t1"), F.lit(0.0)).otherwise(F.col("sxy") / F.when(F.col("sxx") != 0, F.col("sxx")))
     return g.withColumn("slope", slope).withColumn("icpt", F.col("my") - F.col("slope") * F.col("mx"))
 
 
@@ -179,21 +177,36 @@ def bspline_basis(knots: np.ndarray, degree: int, s: np.ndarray) -> np.ndarray:
 
 def fit_splines(df: DataFrame, keys: list[str], t: str = "t", y: str = "y", degree: int = 3, n_knots: int = 3) -> DataFrame:
     """knots, coefficients, degree for each group, of a least-squares B-spline with n_knots equally spaced inner knots;
-    coefficients are padded with zeros to the number of knots. A group is one activity, and must fit a task."""
-    kinds = dict(df.dtypes)
+    coefficients are padded with zeros to the number of knots, and null where a group has one instant. Each batch of rows gives
+    its part of the normal equations, Spark adds them up, and only the small systems are solved for a group."""
+    knots = np.concatenate([np.zeros(degree + 1), np.arange(1, n_knots + 1) / (n_knots + 1), np.ones(degree + 1)])
+    m = len(knots) - degree - 1
+    own = normalised(df, keys, t).select(*keys, "s", F.col(y).cast("double").alias("_y"))
+    kinds = dict(own.dtypes)
+    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def sums(batches):
+        for pdf in batches:
+            ok = pdf["s"].notna() & pdf["_y"].notna()
+            some = pdf[ok]
+            basis = bspline_basis(knots, degree, some["s"].to_numpy(float))
+            rows = np.concatenate([(basis[:, :, None] * basis[:, None, :]).reshape(len(some), -1), basis * some["_y"].to_numpy(float)[:, None]], 1)
+            every = np.zeros((len(pdf), rows.shape[1]))
+            every[ok.to_numpy()] = rows
+            code, first = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy(), ~pdf.duplicated(keys).to_numpy()
+            total = np.zeros((int(first.sum()), rows.shape[1]))
+            np.add.at(total, code, every)
+            yield pdf.loc[first, keys].reset_index(drop=True).assign(z=list(total), n=np.bincount(code, ok, len(total)).astype(int))
+
+    part = own.mapInPandas(sums, f"{head}, z array<double>, n long")
+    g = part.groupBy(*keys).agg(F.array(*(F.sum(F.col("z")[i]) for i in range(m * m + m))).alias("z"), F.sum("n").alias("n"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[keys].head(1).copy()
-        x, v = pdf[t].to_numpy(float), pdf[y].to_numpy(float)
-        if not len(x) or x.max() == x.min():
-            return out.assign(knots=[None], coefficients=[None], degree=degree)
-        s = (x - x.min()) / (x.max() - x.min())
-        knots = np.concatenate([np.zeros(degree + 1), np.arange(1, n_knots + 1) / (n_knots + 1), np.ones(degree + 1)])
-        c = np.linalg.lstsq(bspline_basis(knots, degree, s), v, rcond=None)[0]
-        return out.assign(knots=[knots.tolist()], coefficients=[[*c.tolist(), *[0.0] * (degree + 1)]], degree=degree)
+    def solve(batches):
+        for pdf in batches:
+            c = [[*np.linalg.lstsq(z[: m * m].reshape(m, m), z[m * m :], rcond=None)[0].tolist(), *[0.0] * (degree + 1)] if n else None for z, n in zip(map(np.asarray, pdf["z"]), pdf["n"])]
+            yield pdf[keys].assign(knots=[knots.tolist() if n else None for n in pdf["n"]], coefficients=c, degree=degree)
 
-    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["knots array<double>", "coefficients array<double>", "degree int"])
-    return df.groupBy(*keys).applyInPandas(fit, schema)
+    return g.mapInPandas(solve, f"{head}, knots array<double>, coefficients array<double>, degree int")
 
 
 def fit_multi_splines(df: DataFrame, keys: list[str], t: str = "t", y: str = "y", **how) -> DataFrame:
@@ -231,17 +244,34 @@ def fit(modelname: str, df: DataFrame, keys: list[str], t: str = "t", y: str = "
 
 def fit_shared(df: DataFrame, keys: list[str], design: list[Column], y: str = "y") -> DataFrame:
     """Least squares for any model that is linear in shared parameters, given each sample's row of the design: sums are
-    native, only the small systems are solved in Python. Returns the parameters p and the root mean squared error."""
+    native, only the small systems are solved in Python. Returns the parameters p and the root mean squared error, which
+    comes from the residuals."""
     m = len(design)
     own = df.withColumns({f"_d{i}": d for i, d in enumerate(design)}).withColumn("_y", F.col(y))
     d = [F.col(f"_d{i}") for i in range(m)]
-    g = own.groupBy(*keys).agg(F.array(*(F.sum(d[i] * d[j]) for i in range(m) for j in range(m))).alias("m"), F.array(*(F.sum(v * F.col("_y")) for v in d)).alias("v"), F.sum(F.col("_y") * F.col("_y")).alias("yy"), F.count("*").alias("n"))
+    g = own.groupBy(*keys).agg(F.array(*(F.sum(d[i] * d[j]) for i in range(m) for j in range(m))).alias("m"), F.array(*(F.sum(v * F.col("_y")) for v in d)).alias("v"))
     kinds = dict(g.dtypes)
 
     def solve(batches):
         for pdf in batches:
-            p = [np.linalg.lstsq(np.array(a).reshape(m, m), np.array(b), rcond=None)[0] for a, b in zip(pdf["m"], pdf["v"])]
-            sse = [max(0.0, yy - 2 * x @ np.array(b) + x @ np.array(a).reshape(m, m) @ x) for a, b, yy, x in zip(pdf["m"], pdf["v"], pdf["yy"], p)]
-            yield pdf[keys].assign(p=[x.tolist() for x in p], rmse=np.sqrt(np.array(sse) / pdf["n"].to_numpy()))
+            yield pdf[keys].assign(p=[np.linalg.lstsq(np.array(a).reshape(m, m), np.array(b), rcond=None)[0].tolist() for a, b in zip(pdf["m"], pdf["v"])])
+
+    p = g.mapInPandas(solve, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["p array<double>"]))
+    e = F.col("_y") - sum((F.col("p")[i] * d[i] for i in range(m)), F.lit(0.0))
+    return own.join(p, keys).groupBy(*keys).agg(F.first("p").alias("p"), F.sqrt(F.avg(e * e)).alias("rmse"))
+
+
+def message_parameters(defaults: Column, overrides: Column) -> Column:
+    """A message activity's parameters: JSON texts laid over each other, field by field, as a map; a field of the overrides
+    wins, a null one too. A network given as an object counts by its uid."""
+    kind = "map<string,string>"
+    over = F.transform_values(F.from_json(overrides, kind), lambda k, v: F.when(k == "network", F.coalesce(F.get_json_object(v, "$.uid"), v)).otherwise(v))
+    base = F.coalesce(F.from_json(defaults, kind), F.create_map().cast(kind))
+    over = F.coalesce(over, F.create_map().cast(kind))
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(over, k)), over)
+
 
-    return g.mapInPandas(solve, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["p array<double>", "rmse double"]))
+def message_struct(parameters: Column) -> Column:
+    """The fields that messages have, from a map of parameters."""
+    fields = (x.split(":") for x in MESSAGE_PARAMETERS.removeprefix("struct<").removesuffix(">").split(","))
+    return F.struct(*(parameters[f].cast(kind).alias(f) for f, kind in fields))

@@ -88,9 +88,12 @@ def actor_type_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, TAGS[v]) for k, v in ACTOR_TYPES.items()], "name string, value int")
 
 
+def covers(sup: str, sub: str) -> bool:
+    """Whether a tag covers another: itself, those whose name it begins, and for a vehicle its kinds."""
+    return sub.startswith(sup) or (sup == "RoadUserType_Vehicle" and sub in VEHICLES)
+
+
 def tag_closure(spark: SparkSession) -> DataFrame:
-    """sup, sub: every tag with each tag that it covers: itself, those whose name it begins, and for a vehicle its kinds.
-    Containment by hierarchy is then an equi-join with this small table."""
-    sup, sub = tag_table(spark).select(F.col("name").alias("sup")), tag_table(spark).select(F.col("name").alias("sub"))
-    covers = F.col("sub").startswith(F.col("sup")) | ((F.col("sup") == "RoadUserType_Vehicle") & F.col("sub").isin(VEHICLES))
-    return sup.join(F.broadcast(sub), covers)  # 159 rows on either side
+    """sup, sub: every tag with each tag that it covers, some hundred rows. Containment by hierarchy is then an equi-join with
+    this small table."""
+    return spark.createDataFrame([(a, b) for a in TAGS for b in TAGS if covers(a, b)], "sup string, sub string")

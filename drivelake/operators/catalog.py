@@ -34,10 +34,13 @@ REFERENCES = [
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "uid", overwrite: bool = True) -> DataFrame:
-    """old with new's rows, which replace those of the same key, or with overwrite=False only fill gaps."""
+    """old with new's rows, which replace those of the same key, or with overwrite=False only fill gaps. Of rows of new that
+    repeat a key the greatest counts."""
+    rest = [c for c in new.columns if c != key]
+    one = new.groupBy(key).agg(F.max(F.struct(*rest)).alias("_rest")).select(key, "_rest.*") if rest else new.distinct()
     if overwrite:
-        return old.join(new, key, "left_anti").unionByName(new)
-    return old.unionByName(new.join(old, key, "left_anti"))
+        return old.join(one, key, "left_anti").unionByName(one)
+    return old.unionByName(one.join(old, key, "left_anti"))
 
 
 def delete(old: DataFrame, keys: DataFrame, key: str = "uid") -> DataFrame:
@@ -57,8 +60,13 @@ def append_missing(members: DataFrame, acts: DataFrame, column: str) -> DataFram
     return members.select("owner", "pos", "uid").unionByName(named.join(last, "owner", "left").select("owner", (F.coalesce("m", F.lit(-1)) + F.row_number().over(w)).alias("pos"), "uid"))
 
 
-def resolve_acts(acts: DataFrame, actors: DataFrame, activities: DataFrame) -> DataFrame:
-    """acts (owner, pos, actor, activity) whose both members are there."""
+def resolve_acts(acts: DataFrame, actors: DataFrame, activities: DataFrame, strict: bool = False) -> DataFrame:
+    """acts (owner, pos, actor, activity) whose both members are there; with strict, one whose member is missing raises when
+    the frame is computed."""
+    if strict:
+        known = acts.join(actors.select(F.col("uid").alias("actor"), F.lit(True).alias("_a")).distinct(), "actor", "left").join(activities.select(F.col("uid").alias("activity"), F.lit(True).alias("_b")).distinct(), "activity", "left")
+        lost = F.raise_error(F.concat(F.lit("no such member: "), F.when(F.col("_a").isNull(), F.col("actor").cast("string")).otherwise(F.col("activity").cast("string"))))
+        return known.withColumn("owner", F.when(F.col("_a") & F.col("_b"), F.col("owner")).otherwise(lost.cast(dict(acts.dtypes)["owner"]))).select(*acts.columns)
     return acts.join(actors.select(F.col("uid").alias("actor")), "actor", "left_semi").join(activities.select(F.col("uid").alias("activity")), "activity", "left_semi")
 
 
@@ -123,6 +131,9 @@ class Catalog:
         return a.join(h, "activity").select("scenario", "actor", "state_variable", "act_pos", "modelname", "parameters", "t_start", "t_end")
 
     def hydrated(self, collection: str) -> DataFrame:
+        """The items with what they refer to. A scenario has its times and, in order, its actors, activities and physical
+        elements; a scenario category likewise its categories. An item whose category is missing is left out, and so is a
+        missing member (see dangling)."""
         df = self[collection]
         if collection in ("actor", "physical_element"):
             c = self[f"{collection}_category"]
@@ -132,7 +143,32 @@ class Catalog:
             return df.join(self["model"].select(F.col("uid").alias("model_uid"), "modelname", "default_options"), "model_uid")
         if collection == "activity":
             c = self.hydrated("activity_category").select(F.col("uid").alias("category_uid"), F.col("name").alias("category_name"), F.col("tags").alias("category_tags"), "state", "modelname")
-            t = F.get_json_object("conditions", "$.time").cast("double")
-            ends = [self["event"].select(F.col("uid").alias(f"{x}_uid"), t.alias(f"t_{x}")) for x in ("start", "end")]
-            return df.join(c, "category_uid").join(ends[0], "start_uid", "left").join(ends[1], "end_uid", "left").withColumn("all_tags", F.concat("tags", "category_tags")).withColumn("duration", F.col("t_end") - F.col("t_start"))
+            out = self._times(df.join(c, "category_uid"))
+            return out.withColumn("all_tags", F.concat("tags", "category_tags")).withColumn("duration", F.col("t_end") - F.col("t_start"))
+        if collection == "scenario":
+            out = self._times(df)
+            for column, kind, fields in (("actors", "actor", ["uid", "name", "category_name", "actor_type", "all_tags"]), ("activities", "activity", ["uid", "name", "category_name", "state", "modelname", "parameters", "t_start", "t_end", "all_tags"]), ("physical_elements", "physical_element", ["uid", "name", "category_name", "all_tags"])):
+                out = self._members(out, column, self.hydrated(kind), fields)
+            return out
+        if collection == "scenario_category":
+            out = df
+            for column, kind, fields in (("actor_categories", "actor_category", ["uid", "name", "tags", "actor_type"]), ("activity_categories", "activity_category", ["uid", "name", "tags", "state", "modelname"]), ("physical_element_categories", "physical_element_category", ["uid", "name", "tags"])):
+                out = self._members(out, column, self.hydrated(kind), fields)
+            return out
         return df
+
+    def _times(self, df: DataFrame) -> DataFrame:
+        """df with t_start and t_end, the times of its start and end events; null where one has none."""
+        t = F.get_json_object("conditions", "$.time").cast("double")
+        for x in ("start", "end"):
+            df = df.join(self["event"].select(F.col("uid").alias(f"{x}_uid"), t.alias(f"t_{x}")), f"{x}_uid", "left")
+        return df
+
+    @staticmethod
+    def _members(df: DataFrame, column: str, of: DataFrame, fields: list[str]) -> DataFrame:
+        """df with structs of those fields in place of a column's ids, in their order. An owner's members are its own."""
+        some = df.select(F.col("uid").alias("owner"), F.posexplode(column).alias("pos", "uid")).join(of.select(*fields), "uid")
+        per = some.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("_m"))
+        joined = df.join(per, df["uid"] == per["owner"], "left").drop("owner")
+        plain = F.transform(F.coalesce("_m", F.array().cast(per.schema["_m"].dataType)), lambda m: F.struct(*(m[f].alias(f) for f in fields)))
+        return joined.withColumn(column, plain).drop("_m")

@@ -9,7 +9,7 @@ from ..functions.vocabulary import tag_closure
 
 
 def derived_actor_tags(actors: DataFrame, acts: DataFrame, activity_tags: DataFrame, kind: str = "Actor") -> DataFrame:
-    """owner, class, key, object_uid, tags: an actor's own tags and those of the activities it performs, each once.
+    """owner, class, key, object_uid, pos, tags: an actor's own tags and those of the activities it performs, each once.
 
     actors: owner, pos, uid, name, tags; acts: owner, actor, activity; activity_tags: activity, tags. Actors without tags
     are left out; of several with a name, the second and later get its number in the key."""
@@ -19,14 +19,14 @@ def derived_actor_tags(actors: DataFrame, acts: DataFrame, activity_tags: DataFr
     w = Window.partitionBy("owner", "name").orderBy("pos")
     tagged = actors.select("owner", "pos", "uid", "name").join(tags, ["owner", "uid"]).withColumn("i", F.row_number().over(w))
     suffix = F.when(F.col("i") > 1, F.col("i").cast("string")).otherwise(F.lit(""))
-    return tagged.select("owner", F.lit(kind).alias("class"), F.concat("name", suffix, F.lit(f"::{kind}")).alias("key"), F.col("uid").alias("object_uid"), "tags")
+    return tagged.select("owner", F.lit(kind).alias("class"), F.concat("name", suffix, F.lit(f"::{kind}")).alias("key"), F.col("uid").alias("object_uid"), F.col("pos").cast("long").alias("pos"), "tags")
 
 
 def derived_own_tags(things: DataFrame, kind: str) -> DataFrame:
     """The same for things (owner, pos, uid, name, tags) that only have tags of their own; of those with one name the
     last stays."""
     some = things.filter(F.size("tags") > 0).withColumn("last", F.max("pos").over(Window.partitionBy("owner", "name"))).filter("pos = last")
-    return some.select("owner", F.lit(kind).alias("class"), F.concat("name", F.lit(f"::{kind}")).alias("key"), F.col("uid").alias("object_uid"), "tags")
+    return some.select("owner", F.lit(kind).alias("class"), F.concat("name", F.lit(f"::{kind}")).alias("key"), F.col("uid").alias("object_uid"), F.col("pos").cast("long").alias("pos"), "tags")
 
 
 def covered(own: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -81,7 +81,8 @@ def assignable(rows: list[set[int]], columns: int) -> bool:
 
 
 def matched(edges: DataFrame, sizes: DataFrame, mode: str = "reference") -> DataFrame:
-    """category, candidate of the pairs whose objects can be assigned. sizes: category, candidate, n_own, n_other.
+    """category, candidate of the pairs whose objects can be assigned. edges: category, candidate, own_uid, own_pos, other_uid,
+    other_pos, where the positions give the order of the steps; sizes: category, candidate, n_own, n_other.
     mode `reference` goes step by step, and an unmatched candidate object fails the pair; `assignment` asks only that
     each category object has a candidate object of its own."""
     if mode not in ("reference", "assignment"):
@@ -95,40 +96,80 @@ def matched(edges: DataFrame, sizes: DataFrame, mode: str = "reference") -> Data
         for pdf in batches:
             ok = []
             for pair, n_own, n_other in zip(pdf["edges"], pdf["n_own"], pdf["n_other"]):
-                own = {u: k for k, u in enumerate(sorted({e["own_uid"] for e in pair}))}
+                own = {u: k for k, (_, u) in enumerate(sorted({(e["own_pos"], e["own_uid"]) for e in pair}))}
                 rows: dict = {}
                 for e in pair:
-                    rows.setdefault(e["other_uid"], set()).add(own[e["own_uid"]])
+                    rows.setdefault((e["other_pos"], e["other_uid"]), set()).add(own[e["own_uid"]])
                 every = [rows[u] for u in sorted(rows)] + [set()] * (n_other - len(rows))
                 ok.append(len(own) == n_own and test(every, n_own))
             yield pdf.loc[ok, ["category", "candidate"]]
 
     schema = f"category {kinds['category']}, candidate {kinds['candidate']}"
     # A pair's edges are bounded by the objects of one category and one candidate.
-    pairs = some.groupBy("category", "candidate").agg(F.first("n_own").alias("n_own"), F.first("n_other").alias("n_other"), F.collect_list(F.struct("own_uid", "other_uid")).alias("edges"))
+    pairs = some.groupBy("category", "candidate").agg(F.first("n_own").alias("n_own"), F.first("n_other").alias("n_other"), F.collect_list(F.struct("own_uid", "own_pos", "other_uid", "other_pos")).alias("edges"))
     return none.unionByName(pairs.mapInPandas(decide, schema))
 
 
+def objects(tags: DataFrame, kind: str) -> DataFrame:
+    """owner, uid, pos, tag of the objects of a class, told apart by its begin. Without a column pos all have 0, and objects
+    come in order of their uid."""
+    pos = F.col("pos").cast("long") if "pos" in tags.columns else F.lit(0).cast("long")
+    return tags.filter(F.col("class").isin(kind, f"{kind}Category")).select("owner", F.col("object_uid").alias("uid"), pos.alias("pos"), F.explode("tags").alias("tag"))
+
+
 def contains(categories: DataFrame, candidates: DataFrame, mode: str = "reference", reflexive: bool = True) -> DataFrame:
     """category, candidate: the candidates that a category comprises (scenarios) or includes (categories).
 
-    Both have rows owner, class, object_uid, tags, with class Scenario or ScenarioCategory for the owner's own tags,
-    Actor or ActorCategory, and PhysicalElement or PhysicalElementCategory; classes are told apart by their begin, and
-    an owner without tags of a class has no row of it. Categories are many fewer than candidates and are broadcast
-    below Spark's own threshold. The cheap tests, own tags and numbers, go before the joins of tags."""
-    cats, cands = categories.select("owner").distinct(), candidates.select("owner").distinct()
-    pairs = cats.select(F.col("owner").alias("category")).join(cands.select(F.col("owner").alias("candidate")))
-    if not reflexive:
-        pairs = pairs.filter("category <> candidate")
-    long = lambda df, c, u, kind: df.filter(F.col("class").isin(kind, f"{kind}Category")).select(F.col("owner").alias(c), F.col("object_uid").alias(u), F.explode("tags").alias("tag"))
-    own_tags = covered(long(categories, "category", "own_uid", "Scenario"), long(candidates, "candidate", "other_uid", "Scenario")).select("category", "candidate")
-    need = long(categories, "category", "own_uid", "Scenario").select("category").distinct()
-    ok = pairs.join(need, "category", "left_anti").unionByName(pairs.join(own_tags.distinct(), ["category", "candidate"]))
-    for kind in ("Actor", "PhysicalElement"):
-        a, b = long(categories, "category", "own_uid", kind), long(candidates, "candidate", "other_uid", kind)
-        n = ok.join(a.groupBy("category").agg(F.count_distinct("own_uid").alias("n_own")), "category", "left").join(b.groupBy("candidate").agg(F.count_distinct("other_uid").alias("n_other")), "candidate", "left").fillna(0, ["n_own", "n_other"])
-        ok = matched(covered(a, b), n, mode)
-    return ok
+    Both have rows owner, class, object_uid, tags and, for the order of the reference mode, pos, with class Scenario or
+    ScenarioCategory for the owner's own tags, Actor or ActorCategory, and PhysicalElement or PhysicalElementCategory; an
+    owner without tags of a class has no row of it. Every class of which a category has objects gives the pairs that it
+    allows, by an equi-join over tags; a pair stands where all classes of the category give it. Only a category that asks
+    for nothing goes with all candidates."""
+    asked, given = [], []
+    for kind in ("Scenario", "Actor", "PhysicalElement"):
+        a, b = objects(categories, kind), objects(candidates, kind)
+        wanted = a.groupBy(F.col("owner").alias("category")).agg(F.count_distinct("uid").alias("n_own"))
+        edges = covered(a.select(F.col("owner").alias("category"), F.col("uid").alias("own_uid"), "tag"), b.select(F.col("owner").alias("candidate"), F.col("uid").alias("other_uid"), "tag"))
+        if kind == "Scenario":
+            pairs = edges.select("category", "candidate").distinct()
+        else:
+            held = b.groupBy(F.col("owner").alias("candidate")).agg(F.count_distinct("uid").alias("n_other"))
+            places = lambda df, owner, side: df.groupBy(F.col("owner").alias(owner), F.col("uid").alias(f"{side}_uid")).agg(F.min("pos").alias(f"{side}_pos"))
+            if "pos" in categories.columns or "pos" in candidates.columns:
+                edges = edges.join(places(a, "category", "own"), ["category", "own_uid"]).join(places(b, "candidate", "other"), ["candidate", "other_uid"])
+            else:
+                edges = edges.withColumns({"own_pos": F.lit(0), "other_pos": F.lit(0)})
+            sizes = edges.select("category", "candidate").distinct().join(wanted, "category").join(held, "candidate")
+            pairs = matched(edges, sizes, mode)
+        asked.append(wanted.select("category", F.lit(kind).alias("kind")))
+        given.append(pairs.select("category", "candidate"))
+    asks = asked[0].unionByName(asked[1]).unionByName(asked[2]).groupBy("category").agg(F.count("*").alias("n"))
+    gives = given[0].unionByName(given[1]).unionByName(given[2]).groupBy("category", "candidate").agg(F.count("*").alias("m"))
+    found = gives.join(asks, "category").filter("m = n").select("category", "candidate")
+    open_ones = categories.select(F.col("owner").alias("category")).distinct().join(asks, "category", "left_anti")
+    found = found.unionByName(open_ones.join(candidates.select(F.col("owner").alias("candidate")).distinct()))
+    return found if reflexive else found.filter("category <> candidate")
+
+
+def derived_tags(catalog, collection: str = "scenario") -> DataFrame:
+    """owner, class, key, object_uid, pos, tags of all scenarios, or scenario categories, of a catalog: their own tags where
+    they have some, those of their actors with what these do, and those of their physical elements."""
+    full = collection == "scenario_category"
+    more = "Category" if full else ""
+    name = lambda kind: f"{kind}_category" if full else kind
+    plural = {"actor": "actor_categories" if full else "actors", "physical_element": "physical_element_categories" if full else "physical_elements"}
+    df = catalog[collection]
+    own = derived_own_tags(df.select(F.col("uid").alias("owner"), F.lit(0).cast("long").alias("pos"), "uid", "name", "tags"), f"Scenario{more}")
+    tagged = lambda c: catalog.hydrated(c).select("uid", "name", (F.col("tags") if full else F.col("all_tags")).alias("tags"))
+
+    def members(kind: str) -> DataFrame:
+        some = df.select(F.col("uid").alias("owner"), F.posexplode(plural[kind]).alias("pos", "uid"))
+        return some.join(tagged(name(kind)), "uid").select("owner", F.col("pos").cast("long").alias("pos"), "uid", "name", "tags")
+
+    acts = df.select(F.col("uid").alias("owner"), F.explode("acts").alias("act")).select("owner", "act.actor", "act.activity")
+    did = tagged(name("activity")).select(F.col("uid").alias("activity"), "tags")
+    actors = derived_actor_tags(members("actor"), acts, did, f"Actor{more}")
+    return own.unionByName(actors).unionByName(derived_own_tags(members("physical_element"), f"PhysicalElement{more}"))
 
 
 def supertag_counts(facts: DataFrame, tag: str = "tag") -> DataFrame:

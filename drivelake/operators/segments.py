@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,10 +21,40 @@ def segments(samples: DataFrame, actor: str = "actor", t: str = "t", label: str
     return starts.select(actor, F.row_number().over(w).alias("run"), label, F.col(t).alias("t_start"), F.coalesce(F.lead(t).over(w), F.col("_last")).alias("t_end"))
 
 
-def samples_in(samples: DataFrame, runs: DataFrame, actor: str = "actor", t: str = "t") -> DataFrame:
-    """Each sample with every run of its actor that holds its instant, both ends included."""
-    r = runs.select(F.col(actor).alias("_a"), "run", F.col("label").alias("run_label"), "t_start", "t_end")
-    return samples.join(r, (F.col(actor) == F.col("_a")) & F.col(t).between(F.col("t_start"), F.col("t_end"))).drop("_a")
+def samples_in(samples: DataFrame, runs: DataFrame, actor: str = "actor", t: str = "t", width: float | None = None) -> DataFrame:
+    """Each sample with every run of its actor that holds its instant, both ends included, for any runs (see in_runs for
+    the samples' own). Time is cut into pieces of `width`, by default a run's mean length, and the join is by piece."""
+    width = width or mean_length(runs)
+    r = runs.select(F.col(actor).alias("_a"), "run", F.col("label").alias("run_label"), "t_start", "t_end", pieces("t_start", "t_end", width))
+    s = samples.withColumn("_s", F.floor(F.col(t) / width))
+    return s.join(r, (F.col(actor) == F.col("_a")) & (F.col("_s") == F.col("_piece")) & F.col(t).between(F.col("t_start"), F.col("t_end"))).drop("_a", "_s", "_piece")
+
+
+def mean_length(intervals: DataFrame, start: str = "t_start", end: str = "t_end") -> float:
+    """Cut by this length, the pieces of all intervals are no more than three times their number."""
+    got = intervals.agg(F.avg(F.col(end) - F.col(start))).first()[0]
+    return got if got and got > 0 else 1.0
+
+
+def pieces(start: str, end: str, width: float) -> Column:
+    """The numbers of the pieces of time that an interval touches, a row for each."""
+    return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("_piece")
+
+
+def in_runs(samples: DataFrame, actor: str = "actor", t: str = "t", label: str = "label") -> DataFrame:
+    """samples with run, run_label, t_start and t_end: each sample in its run, and those at a run's first instant also in the
+    run before, which ends there. One sort of an actor's samples and no join."""
+    w = Window.partitionBy(actor).orderBy(t)
+    sofar, later = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    marked = samples.withColumns({"_i": F.row_number().over(w), "_p": F.lag(label).over(w), "_last": F.max(t).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    marked = marked.withColumn("_new", (F.col("_i") == 1) | ~F.col("_p").eqNullSafe(F.col(label)))
+    starts = F.when(F.col("_new"), F.col(t))
+    runs = marked.withColumns({"_run": F.sum(F.col("_new").cast("int")).over(sofar), "_from": F.max(starts).over(sofar), "_to": F.coalesce(F.min(starts).over(later), F.col("_last"))})
+    runs = runs.withColumn("_lag", F.lag("_from").over(w)).withColumn("_b", F.last(F.when(F.col("_new"), F.struct(F.col("_p").alias("label"), F.col("_lag").alias("since"))), ignorenulls=True).over(sofar))
+    own = F.struct(F.col("_run").alias("run"), F.col(label).alias("run_label"), F.col("_from").alias("t_start"), F.col("_to").alias("t_end"))
+    ended = F.when((F.col("_run") > 1) & (F.col(t) == F.col("_from")), F.struct((F.col("_run") - 1).alias("run"), F.col("_b.label").alias("run_label"), F.col("_b.since").alias("t_start"), F.col("_from").alias("t_end")))
+    out = runs.withColumn("_r", F.explode(F.array_compact(F.array(own, ended))))
+    return out.select(*samples.columns, "_r.*")
 
 
 def adjacent(runs: DataFrame, actor: str = "actor") -> DataFrame:

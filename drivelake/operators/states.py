@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.models import derivative, value
+from ..functions.models import PARAMETERS, derivative, multi_value, value
+from .segments import mean_length, pieces
+
+VECTOR_DDL = "xstart array<double>, knots array<array<double>>, coefficients array<array<double>>, degree array<int>"
 
 
 def grid(t0: Column, t1: Column, n: int = 100) -> Column:
@@ -27,28 +30,47 @@ def activity_states(activities: DataFrame, n: int = 100) -> DataFrame:
     return activities.select("*", s).withColumns({"state": value(F.col("modelname"), F.col("p"), F.col("s")), "state_dot": derivative(F.col("modelname"), F.col("p"), F.col("s")) / F.when(length != 0, length)})
 
 
-def scenario_states(acts: DataFrame, instants: DataFrame, dot: bool = False) -> DataFrame:
+def scenario_states(acts: DataFrame, instants: DataFrame, dot: bool = False, width: float | None = None) -> DataFrame:
     """scenario, actor, state_variable, t and state (or state_dot) for each instant.
 
     acts: scenario, actor, state_variable, act_pos, modelname, p, t_start, t_end; those without both ends are left out.
     instants: scenario, actor, state_variable, t. Both ends of an act belong to it; where acts meet, the later in the
-    scenario's order wins. An instant that no act covers has NaN; an actor without any act of that variable has no row.
+    scenario's order wins. An instant that no act covers has NaN. An actor without any act of that variable has no row, nor
+    has one none of whose acts covers any of the asked instants. Time is cut
+    into pieces of `width`, by default an act's mean length, and acts and instants meet by piece.
     """
     keys = ["scenario", "actor", "state_variable"]
     known = acts.filter(F.col("t_start").isNotNull() & F.col("t_end").isNotNull())
-    any_act = known.select(*keys).distinct()
-    asked = instants.select(*keys, "t").distinct().join(any_act, keys)
-    a, i = known.alias("a"), asked.alias("i")
-    on = [F.col(f"a.{k}") == F.col(f"i.{k}") for k in keys] + [F.col("i.t").between(F.col("a.t_start"), F.col("a.t_end"))]
-    joined = i.join(a, on, "left")
+    width = width or mean_length(known)
+    a = known.select("*", pieces("t_start", "t_end", width)).alias("a")
+    i = instants.select(*keys, "t").distinct().withColumn("_piece", F.floor(F.col("t") / width)).alias("i")
+    on = [F.col(f"a.{k}") == F.col(f"i.{k}") for k in [*keys, "_piece"]] + [F.col("i.t").between(F.col("a.t_start"), F.col("a.t_end"))]
     s = normal_time(F.col("i.t"), F.col("a.t_start"), F.col("a.t_end"))
-    of = derivative if dot else value
-    v = F.when(F.col("a.act_pos").isNotNull(), of(F.col("a.modelname"), F.col("a.p"), s))
+    length = F.col("a.t_end") - F.col("a.t_start")
+    v = (derivative if dot else value)(F.col("a.modelname"), F.col("a.p"), s)
     if dot:
-        v = v / (F.col("a.t_end") - F.col("a.t_start"))
-    out = joined.select(*(F.col(f"i.{k}").alias(k) for k in keys), F.col("i.t").alias("t"), "a.act_pos", v.alias("v"))
-    won = out.groupBy(*keys, "t").agg(F.max_by("v", "act_pos").alias("v"), F.count("act_pos").alias("n"))
-    return won.select(*keys, "t", F.when(F.col("n") == 0, F.lit(float("nan"))).otherwise(F.col("v")).alias("state_dot" if dot else "state"))
+        v = v / F.when(length != 0, length)
+    won = i.join(a, on, "left").groupBy(*(F.col(f"i.{k}").alias(k) for k in keys), F.col("i.t").alias("t")).agg(F.max_by(v, "a.act_pos").alias("v"), F.count("a.act_pos").alias("n"))
+    some = won.filter("n > 0").select(*keys).distinct()
+    return won.join(some, keys, "left_semi").select(*keys, "t", F.when(F.col("n") == 0, F.lit(float("nan"))).otherwise(F.col("v")).alias("state_dot" if dot else "state"))
+
+
+def with_parameters(acts: DataFrame, schema: str = PARAMETERS) -> DataFrame:
+    """acts of a catalog with p, the struct of their parameters, read from their JSON. What isn't a number of its kind is
+    null; vector and message activities, which these parameters can't hold, are left out (see vector_states)."""
+    return acts.filter(~F.col("modelname").isin("MultiBSplines", "Messages")).withColumn("p", F.from_json("parameters", schema.removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")))
+
+
+def vector_states(activities: DataFrame, n: int = 100, dot: bool = False) -> DataFrame:
+    """activities (modelname, parameters, t_start, t_end) of vector models with s and state, an array over the components, at
+    n instants; with dot the derivative. Constants with a vector as xstart count as such."""
+    own = activities.filter(F.col("modelname").isin("MultiBSplines", "Constant")).withColumn("p", F.from_json("parameters", VECTOR_DDL))
+    s = F.explode(grid(F.lit(0.0), F.lit(1.0), n)).alias("s")
+    own = own.filter((F.col("modelname") == "MultiBSplines") | F.col("p.xstart").isNotNull()).select("*", s)
+    constant = F.transform("p.xstart", lambda x: F.lit(0.0)) if dot else F.col("p.xstart")
+    v = F.when(F.col("modelname") == "Constant", constant).otherwise(multi_value(F.col("p"), F.col("s"), dot))
+    length = F.coalesce(F.col("t_end") - F.col("t_start"), F.lit(1.0))
+    return own.withColumn("state_dot" if dot else "state", F.transform(v, lambda x: x / F.when(length != 0, length)) if dot else v)
 
 
 def rmse(df: DataFrame, keys: list[str], found: str, truth: str) -> DataFrame:

@@ -40,7 +40,7 @@ marked AS (SELECT *, lag(label) OVER (PARTITION BY actor ORDER BY t) AS p, max(t
 starts AS (SELECT * FROM marked WHERE p IS NULL OR p <> label),
 runs AS (SELECT actor, row_number() OVER (PARTITION BY actor ORDER BY t) AS run, label, t AS t_start, coalesce(lead(t) OVER (PARTITION BY actor ORDER BY t), last_t) AS t_end FROM starts)"""
 INSIDE = f"{RUNS},\ninside AS (SELECT s.actor, s.t, s.y, r.run, r.label, r.t_start, r.t_end FROM samples s JOIN runs r ON s.actor = r.actor AND s.t BETWEEN r.t_start AND r.t_end)"
-OLS = """o AS (SELECT actor, run, min(t) AS t0, max(t) AS t1, avg(y) AS my, avg(x) AS mx, count(*) * sum(x * y) - sum(x) * sum(y) AS num, count(*) * sum(x * x) - sum(x) * sum(x) AS den FROM z GROUP BY actor, run),
+OLS = """o AS (SELECT actor, run, min(t) AS t0, max(t) AS t1, avg(y) AS my, avg(x) AS mx, covar_pop(y, x) AS num, var_pop(x) AS den FROM z GROUP BY actor, run),
 ab AS (SELECT actor, run, t0, t1, CASE WHEN t0 = t1 THEN 0 ELSE num / nullif(den, 0) END AS b, my - (CASE WHEN t0 = t1 THEN 0 ELSE num / nullif(den, 0) END) * mx AS a FROM o)"""
 LINEAR = f"{INSIDE},\nz AS (SELECT *, t AS x FROM inside),\n{OLS},\nfitted AS (SELECT actor, run, b * t0 + a AS xstart, b * t1 + a AS xend FROM ab)"
 SINE = f"{INSIDE},\nz AS (SELECT *, cos(pi() * (t - min(t) OVER (PARTITION BY actor, run)) / nullif(max(t) OVER (PARTITION BY actor, run) - min(t) OVER (PARTITION BY actor, run), 0)) AS x FROM inside),\n{OLS},\nfitted AS (SELECT actor, run, CASE WHEN t0 < t1 THEN a + b END AS xstart, CASE WHEN t0 < t1 THEN a - b END AS xend FROM ab)"
@@ -53,8 +53,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inside(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d)
-    return segments.samples_in(s, segments.segments(s)).select("actor", "t", "y", "run", F.col("run_label").alias("label"), "t_start", "t_end")
+    return segments.in_runs(samples(spark, d)).select("actor", "t", "y", "run", F.col("run_label").alias("label"), "t_start", "t_end")
 
 
 KEYS = ["actor", "run"]
@@ -81,6 +80,19 @@ def segment_runs(spark, d):
     return inside(spark, d).groupBy("actor", "run", "label", "t_start", "t_end").agg(F.count("*").alias("n")).select("actor", F.col("run").cast("long"), "label", r6("t_start").alias("t_start"), r6("t_end").alias("t_end"), "n")
 
 
+@query(f"WITH {INSIDE} SELECT actor, run, count(*) AS n, round(sum(y), 6) AS total FROM inside GROUP BY actor, run")
+def samples_in_runs(spark, d):
+    """As segment_runs, by a join with runs that need not be the samples' own."""
+    s = samples(spark, d)
+    return segments.samples_in(s, segments.segments(s)).groupBy("actor", F.col("run").cast("long").alias("run")).agg(F.count("*").alias("n"), r6(F.sum("y")).alias("total"))
+
+
+@query(f"WITH {SAMPLES} SELECT label, round(avg(-y), 6) AS mean FROM samples WHERE t BETWEEN 86400 AND 864000 GROUP BY label")
+def negated_slice(spark, d):
+    """A signal's slice between two instants, both included, with its sign changed."""
+    return samples(spark, d).filter(F.col("t").between(86400, 864000)).groupBy("label").agg(r6(F.avg(-F.col("y"))).alias("mean"))
+
+
 @query(f"WITH {RUNS} SELECT label, count(*) AS n, round(avg(t_end - t_start), 6) AS mean, round(max(t_end - t_start), 6) AS longest FROM runs GROUP BY label")
 def segment_durations(spark, d):
     length = F.col("t_end") - F.col("t_start")
@@ -225,7 +237,7 @@ def fit_rmse(spark, d):
     return states.rmse(own, ["label"], "state", "y").select("label", r6("rmse").alias("rmse"))
 
 
-@query(f"WITH {SAMPLES}, z AS (SELECT actor, t AS x, y FROM samples), o AS (SELECT actor, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy FROM z GROUP BY actor) SELECT actor, round(sqrt(greatest(0, syy - sy * sy / n - (n * sxy - sx * sy) * (n * sxy - sx * sy) / (n * (n * sxx - sx * sx))) / n), 4) AS rmse FROM o WHERE n > 5")
+@query(f"WITH {SAMPLES}, z AS (SELECT actor, t AS x, y FROM samples), o AS (SELECT actor, count(*) AS n, covar_pop(y, x) AS sxy, var_pop(x) AS sxx, var_pop(y) AS syy FROM z GROUP BY actor) SELECT actor, round(sqrt(greatest(0, syy - sxy * sxy / sxx)), 4) AS rmse FROM o WHERE n > 5")
 def fit_shared_rmse(spark, d):
     own = samples(spark, d)
     many = own.groupBy("actor").count().filter("count > 5").select("actor")
@@ -370,15 +382,7 @@ def includes_pairs(spark, d):
     return containment.contains(own, own, "assignment")
 
 
-# The store: orders as scenarios, with customers, nations and lines as parts.
-
-
-@query("SELECT o.o_orderkey, c.c_name, n.n_name, r.r_name, count(*) AS n_lines, round(sum(l.l_quantity), 6) AS quantity, count(DISTINCT p.p_brand) AS brands FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey GROUP BY ALL")
-def hydrate_scenario(spark, d):
-    lines = read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_partkey").join(read(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    per = lines.groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), r6(F.sum("l_quantity")).alias("quantity"), F.count_distinct("p_brand").alias("brands"))
-    who = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "c_name", "n_name", "r_name")
-    return read(spark, d, "orders").select("o_orderkey", "o_custkey").join(per, F.col("o_orderkey") == F.col("l_orderkey")).join(who, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "n_name", "r_name", "n_lines", "quantity", "brands")
+# Parts of the store on their own; whole catalogs are in store_queries.
 
 
 def _order_acts(spark, d):
@@ -391,11 +395,6 @@ def acts_resolve(spark, d):
     return store.resolve_acts(_order_acts(spark, d), actors, read(spark, d, "supplier").select(F.col("s_suppkey").alias("uid"))).groupBy("owner").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey AS uid FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def dangling_refs(spark, d):
-    return store.delete(read(spark, d, "customer").select(F.col("c_custkey").alias("uid")), read(spark, d, "orders").select(F.col("o_custkey").alias("uid")).distinct())
-
-
 @query("""WITH m AS (SELECT l_orderkey AS owner, l_partkey AS uid, min(l_linenumber) AS pos FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
 x AS (SELECT l_orderkey AS owner, l_partkey AS uid, min(l_linenumber) AS p FROM lineitem WHERE (l_orderkey, l_partkey) NOT IN (SELECT owner, uid FROM m) GROUP BY ALL)
 SELECT owner, count(*) AS n, count(*) FILTER (NOT own) AS added FROM (SELECT owner, uid, true AS own FROM m UNION ALL SELECT owner, uid, false FROM x) GROUP BY owner""")

@@ -3,7 +3,7 @@
 import pytest
 from oracle import SMALL, agree
 
-from drivelake.plans import queries
+from drivelake.plans import queries, store_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
