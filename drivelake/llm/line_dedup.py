@@ -1,4 +1,4 @@
-"""Line dedup: repeated runs of lines, by prefix doubling over sequences of line ids."""
+"""Line dedup: a suffix array over line ids by distributed prefix doubling, and the repeated runs that its intervals show."""
 
 from __future__ import annotations
 
@@ -19,9 +19,33 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return own.withColumns({"i": F.row_number().over(in_text) - 1, "at": F.coalesce(F.sum("words").over(before), F.lit(0))})
 
 
-def repeated(level: DataFrame) -> DataFrame:
-    """The rows of level (row, i, r) whose r occurs again."""
-    return level.join(level.groupBy("r").count().filter("count > 1"), "r", "left_semi").select("row", "i", "r")
+def first_ranks(lines: DataFrame) -> DataFrame:
+    """row, i, r, left, open of the lines that occur again: r is one more than the number of such lines with a lesser id, left
+    the number of them in a row from there on. The sums run over 512 ranges of the id and within each."""
+    n = lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").withColumn("range", F.shiftright("id", 55))
+    within = Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    before = n.groupBy("range").agg(F.sum("n").alias("m")).select("range", F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = n.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(before, "range").select("id", (1 + F.col("before") + F.col("inner")).alias("r"))
+    own = lines.join(ranked, "id").select("row", F.col("i").cast("long").alias("i"), "r")
+    gap = F.col("i") - F.row_number().over(Window.partitionBy("row").orderBy("i"))
+    left = F.max("i").over(Window.partitionBy("row", "gap")) - F.col("i") + 1
+    return own.withColumn("gap", gap).select("row", "i", "r", left.alias("left"), F.lit(True).alias("open"))
+
+
+def doubled(level: DataFrame, h: int, ranks_per_range: int = 20_000) -> DataFrame:
+    """The ranks of suffixes by their first 2h lines from those by their first h: suffixes of one rank are sorted by the rank
+    that stands h lines further on, 0 where no line that occurs again is there. A rank is one more than the number of
+    lesser suffixes, so what no other suffix shares keeps its place; open says that others share the rank and that all its
+    2h lines occur again. Equal pairs of ranks are counted before they are sorted, over ranges of the second rank and
+    within each, so that a line that many texts have is sorted by what follows it, not by its places."""
+    x, y = level.filter("open").alias("x"), level.alias("y")
+    pairs = stored(x.join(y, (F.col("x.row") == F.col("y.row")) & (F.col("x.i") + h == F.col("y.i")), "left").select("x.row", "x.i", "x.r", "x.left", F.coalesce("y.r", F.lit(0)).alias("r2")))
+    n = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("r2") / ranks_per_range))
+    above = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    before = n.groupBy("r", "range").agg(F.sum("n").alias("m")).select("r", "range", F.coalesce(F.sum("m").over(above("r", "range")), F.lit(0)).alias("before"))
+    ranked = n.withColumn("inner", F.coalesce(F.sum("n").over(above("r", "range", "r2")), F.lit(0))).join(before, ["r", "range"])
+    ranked = ranked.select("r", "r2", (F.col("r") + F.col("before") + F.col("inner")).alias("to"), (F.col("n") > 1).alias("shared"))
+    return pairs.join(ranked, ["r", "r2"]).select("row", "i", F.col("to").alias("r"), "left", (F.col("shared") & (F.col("left") >= 2 * h)).alias("open")).unionByName(level.filter("not open"))
 
 
 def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -36,39 +60,45 @@ def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
     return frames.select("doc_id", "row", F.explode(F.array_compact(F.array(begun, closed))).alias("run")).select("doc_id", "row", F.col("run.a").cast("long").alias("a"), F.col("run.b").cast("long").alias("b"))
 
 
+def suffix_ranks(lines: DataFrame, depth: int) -> list[tuple[int, DataFrame]]:
+    """h and the ranks (row, i, r, open) of suffixes by their first h lines, for h = 1, 2, 4, ... up to depth, or until no
+    rank is open. The last ones are the suffix array of the lines that occur again, inverted and sorted to that depth:
+    r is a suffix's place in it, and equal suffixes share the first of their places."""
+    out, h = [(1, stored(first_ranks(lines)))], 1
+    while 2 * h <= depth and not out[-1][1].filter("open").isEmpty():
+        out.append((2 * h, stored(doubled(out[-1][1], h))))
+        h *= 2
+    return out
+
+
 def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", lines: DataFrame | None = None) -> DataFrame:
     """row, i of every line that lies in a later copy of a run of lines with at least min_words words.
 
-    Ranks of runs of 1, 2, 4, ... lines come from each other by prefix doubling: a run of 2h lines is ranked by the pair
-    of ranks of its halves, and runs that occur once leave. Ranks are 64-bit names of the pairs, which tell runs apart
-    as sorted ranks would but need no global sort. A run of n lines, h <= n < 2h, is named by n and the ranks of its
-    first and last h lines. The shortest runs of min_words words that begin or end with a line are named so; each that
-    has an earlier place is removed whole. These cover every longer run with an earlier place: the shortest one from its
-    first line, and for each line after that the shortest one that ends with it, lie in it. So their union is that of the
-    intervals from each start over its longest match with any earlier place, and doubling ends at min_words lines. An
-    earlier place is one with a lesser id, or in the same text further up.
+    The suffix array over line ids comes from distributed prefix doubling (suffix_ranks). The longest common prefix of two
+    suffixes has n lines or more, h <= n < 2h, just where they agree in the ranks by h lines of their beginnings and of the
+    places n - h further on, so an interval of the array with that common prefix is known by n and these two ranks. Intervals
+    are asked for the shortest runs of min_words words that begin or end with a line; of each interval the first place
+    stays and the runs at all others are removed. These cover every longer run with an earlier place: the shortest one from
+    its first line, and for each line after that the shortest one that ends with it, lie in it. So their union is that of
+    the intervals from each start over its longest common prefix with any earlier place, and doubling ends at min_words
+    lines. An earlier place is one with a lesser id, or in the same text further up.
     """
     lines = stored(line_table(docs, id_col, text_col)) if lines is None else lines
     runs = stored(shortest_runs(lines, max(min_words, 1)))
     size = F.col("b") - F.col("a")
     longest = runs.agg(F.max(size)).first()[0] or 0
-    level = lines.select("row", F.col("i").cast("long").alias("i"), F.col("id").alias("r"))
-    named, h = [], 1
-    while h <= longest:
-        level = stored(repeated(level))
-        if level.isEmpty():
-            break
-        x, y = level.alias("x"), level.alias("y")
+    if not longest:
+        return lines.select("row", "i").limit(0)
+    named = []
+    for h, level in suffix_ranks(lines, longest):
+        x, y = (level.filter("open").alias(k) for k in "xy")
         own = runs.filter((size >= h) & (size < 2 * h)).alias("own")
         own = own.join(x, (F.col("own.row") == F.col("x.row")) & (F.col("own.a") == F.col("x.i"))).join(y, (F.col("own.row") == F.col("y.row")) & (F.col("own.b") - h == F.col("y.i")))
-        named.append(store(own.select("own.doc_id", "own.row", "own.a", "own.b", F.xxhash64(size, "x.r", "y.r").alias("r"))))
-        level = x.join(y, (F.col("x.row") == F.col("y.row")) & (F.col("x.i") + h == F.col("y.i"))).select("x.row", "x.i", F.xxhash64("x.r", "y.r").alias("r"))
-        h *= 2
-    if not named:
-        return lines.select("row", "i").limit(0)
-    every = docs.sparkSession.read.schema("doc_id long, row long, a long, b long, r long").parquet(*named)
-    first = every.groupBy("r").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "a")).alias("first")).filter("n > 1").select("r", "first")
-    later = every.join(first, "r").filter(~((F.col("first.row") == F.col("row")) & (F.col("first.a") == F.col("a"))))
+        named.append(store(own.select("own.doc_id", "own.row", "own.a", "own.b", size.alias("n"), F.col("x.r").alias("head"), F.col("y.r").alias("tail"))))
+    every = docs.sparkSession.read.schema("doc_id long, row long, a long, b long, n long, head long, tail long").parquet(*named)
+    interval = ["n", "head", "tail"]
+    first = every.groupBy(*interval).agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "row", "a")).alias("first")).filter("m > 1").drop("m")
+    later = every.join(first, interval).filter(~((F.col("first.row") == F.col("row")) & (F.col("first.a") == F.col("a"))))
     by = Window.partitionBy("row").orderBy("a", "b")
     gap = F.coalesce(F.col("a") > F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     islands = later.select("row", "a", "b", gap.cast("long").alias("gap")).withColumn("island", F.sum("gap").over(by)).groupBy("row", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
