@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stored, text_of
@@ -24,10 +22,19 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, mo
     count of their own, so one may be taken more often than its twin; an empty table gives no rows; other columns are
     ignored. Raises ValueError unless 0 <= share <= most.
     """
+    return _taken(docs, weights, share, most, seed, rows_per_range, id_col, text_col, source_col).drop("key")
+
+
+def _key(seed: int, id_col: str, text_col: str) -> Column:
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), text_of(id_col), F.lit(":"), text_of(text_col)), 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def _taken(docs: DataFrame, weights, share: float, most: float, seed: int, rows_per_range: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """mix_sources with the key that orders the rows."""
     if not 0 <= share <= most:
         raise ValueError("share must lie between 0 and most")
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), text_of(id_col), F.lit(":"), text_of(text_col)), 256)
-    key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    key = _key(seed, id_col, text_col)
     sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"), key.alias("key")))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
 
@@ -62,45 +69,28 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, mo
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     left = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("at")))
-    return at.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), taken.cast("long").alias("taken"))
+    return at.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), taken.cast("long").alias("taken"), "key")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 7, rows_per_range: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix, with the columns of docs: a row for each whole time a document is taken, and for the
     part at a source's cut a row with its first words. n_chars, where there is such a column, is that of the row's text.
-    Rows that share an id share one decision, that of the row with the most words taken."""
-    taken = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).groupBy("doc_id").agg(F.max_by(F.struct("size", "taken"), "taken").alias("_mix"))
-    own = docs.withColumnRenamed(id_col, "_mix_id")
-    j = own.join(taken, own["_mix_id"].eqNullSafe(taken["doc_id"]))
-    size, took = F.col("_mix.size"), F.col("_mix.taken")
-    whole = F.when(size > 0, F.floor(took / size)).otherwise(F.lit(1)).cast("int")
-    rest = F.when(size > 0, took % size).otherwise(F.lit(0)).cast("int")
-    rows = j.withColumn("_rest", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("_rest")), "")
-    out = rows.withColumn(text_col, F.when(F.col("_rest") > 0, cut).otherwise(F.col(text_col)))
-    columns = []
-    for c, kind in docs.dtypes:
-        if c == id_col:
-            columns.append(F.col("_mix_id").alias(c))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("_rest") > 0, F.length(text_col)).otherwise(F.col(c)).cast(kind).alias(c))
-        else:
-            columns.append(F.col(c))
-    return out.select(*columns)
-
 
-def levels(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
-    """The targets by repeated resharing, for tests."""
-    target, free, left = [0.0] * len(sizes), set(range(len(sizes))), share * sum(sizes)
-    while free:
-        total = sum(weights[i] for i in free)
-        over = {i for i in free if left * weights[i] / total > most * sizes[i] + 1e-9}
-        if not over:
-            for i in free:
-                target[i] = left * weights[i] / total
-            break
-        for i in over:
-            target[i] = most * sizes[i]
-        left -= math.fsum(target[i] for i in over)
-        free -= over
-    return target
+    Each row of docs comes as often as mix_sources takes it; of rows with one id, text and source, the words that all of them
+    are to give are dealt in any order. Rows without words are kept once. Other columns may have any names; an empty table
+    gives no rows."""
+    taken = _taken(docs, weights, share, most, seed, rows_per_range, id_col, text_col, source_col).groupBy("key", "source").agg(F.sum("taken").alias("total"), F.count("*").alias("twins"), F.first("size").alias("size"))
+    own = docs.select(F.struct("*").alias("row"), _key(seed, id_col, text_col).alias("own_key"), F.col(source_col).cast("string").alias("own_source"))
+    j = own.join(taken, (F.col("own_key") == F.col("key")) & F.col("own_source").eqNullSafe(F.col("source"))).withColumn("twin", F.row_number().over(Window.partitionBy("own_key", "own_source").orderBy(F.xxhash64("row"))))
+    each = F.floor(F.col("total") / (F.col("twins") * F.col("size")))
+    over = F.col("total") - each * F.col("twins") * F.col("size")
+    whole = each + (F.col("twin") <= F.floor(over / F.col("size"))).cast("int")
+    rest = F.when(F.col("twin") == F.floor(over / F.col("size")) + 1, over % F.col("size")).otherwise(F.lit(0))
+    some = F.col("size") > 0
+    cuts = F.concat(F.array_repeat(F.lit(0), F.when(some, whole).otherwise(F.lit(1)).cast("int")), F.when(some & (rest > 0), F.array(rest.cast("int"))).otherwise(F.array().cast("array<int>")))
+    rows = j.select("row", F.explode(cuts).alias("words"))
+    text = F.col("row").getField(text_col)
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("words")), "")
+    cut = F.when(F.col("words") > 0, first).otherwise(text)
+    new = {text_col: cut, "n_chars": F.when(F.col("words") > 0, F.length(cut)).otherwise(F.col("row").getField("n_chars"))} if "n_chars" in docs.columns else {text_col: cut}
+    return rows.select(*(new.get(c, F.col("row").getField(c)).cast(kind).alias(c) for c, kind in docs.dtypes))

@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and long texts, repeated rows, empty tables and columns with clashing names."""
 
+import math
+
 import pytest
 
 from drivelake.llm import embedding_dedup, exact_dedup, jaccard, langid, line_dedup, lm, mixing, packing, pii, quality
@@ -49,3 +51,80 @@ def test_exact_groups_spill(spark):
     df = spark.createDataFrame([(i, f"text  {i % 700}\n" + "x" * 2000) for i in range(3000)], "doc_id long, text string").coalesce(1)
     out = exact_dedup.exact_dedup(df, bucket_bytes=100_000).collect()
     assert len(out) == 3000 and sum(r["kept"] for r in out) == 700 and all(r["keep_id"] == r["doc_id"] % 700 for r in out)
+
+
+def rows(spark, name):
+    return OPERATORS[name](frame(spark, TEXTS), spark).collect()
+
+
+def by_id(found, *fields):
+    """The distinct values of each id; null is an id like any other."""
+    out = {}
+    for r in found:
+        out.setdefault(r["doc_id"], set()).add(tuple(r[f] for f in fields))
+    return out
+
+
+def test_exact_values(spark):
+    found = by_id(rows(spark, "exact"), "keep_id", "group_size", "kept")
+    assert {k: {v[:2] for v in x} for k, x in found.items()} == {1: {(1, 3)}, None: {(1, 3)}, 2: {(2, 2)}, 3: {(2, 2)}, 4: {(4, 1)}, 5: {(5, 2)}, 6: {(5, 2)}, 7: {(7, 1)}, 8: {(8, 1)}}
+    assert {i for i, x in found.items() if (True,) in {v[2:] for v in x}} >= {1, 2, 4, 5, 7, 8}
+
+
+def test_jaccard_values(spark):
+    found = by_id(rows(spark, "jaccard"), "n_shingles", "component_id")
+    assert found == {1: {(2, 1)}, None: {(2, 1)}, 2: {(0, 2)}, 3: {(0, 3)}, 4: {(0, 4)}, 5: {(8, 5)}, 6: {(8, 5)}, 7: {(1, 7)}, 8: {(1, 8)}}
+
+
+def test_mixing_values(spark):
+    found = rows(spark, "mixing")
+    words = {1: 6, None: 6, 2: 0, 3: 0, 4: 0, 5: 24000, 6: 24000, 7: 2, 8: 4}
+    assert all(r["size"] == words[r["doc_id"]] and 0 <= r["taken"] <= 2 * r["size"] for r in found)
+    total = sum(r["size"] for r in found)
+    assert sum(r["taken"] for r in found) == math.floor(1.5 * total)
+    assert {(r["source"], r["target"]) for r in found if r["doc_id"] == 3} == {(None, 0.0)}
+
+
+def test_mixed_documents(spark):
+    """Rows that share an id are taken each by its own words, and so often as the mix says; columns keep their names."""
+    data = [(1, "a b c d", "x", None, "k"), (1, "e", "x", None, "k"), (2, "same words", "y", 10, "k"), (2, "same words", "y", 10, "k"), (2, "same words", "y", 10, "k"), (3, None, "y", None, "k")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars int, key string")
+    out = mixing.mixed_documents(docs).collect()
+    per = {}
+    for r in mixing.mix_sources(docs).collect():
+        per[r["source"]] = per.get(r["source"], 0) + r["taken"]
+    got = {}
+    for r in out:
+        got[r["source"]] = got.get(r["source"], 0) + len((r["text"] or "").split())
+        assert r["n_chars"] in (None, len(r["text"] or "")) and r["key"] == "k"
+    assert got == per and sum(r["doc_id"] == 3 for r in out) == 1
+
+
+def test_pii_values(spark):
+    found = by_id(rows(spark, "pii"), "n_email", "n_ip", "n_card", "n_phone")
+    assert found == {i: {(0, 3000 if i in (5, 6) else 0, 0, 0)} for i in (1, None, 2, 3, 4, 5, 6, 7, 8)}
+
+
+def test_lines_values(spark):
+    found = by_id(rows(spark, "lines"), "n_lines", "n_removed", "n_words", "words_removed")
+    assert found[1] == {(1, 0, 6, 0)} and found[2] == found[3] == found[4] == {(0, 0, 0, 0)}
+    assert found[6] == {(3000, 3000, 24000, 24000)}
+    (lines, removed, n, gone), = found[5]
+    assert lines == 3000 and removed < 3000 and n - gone < 120  # its own beginning stays
+
+
+def test_langid_values(spark):
+    found = by_id(rows(spark, "langid"), "lang_pred")
+    assert all(found[i] == {("und",)} for i in (2, 3, 4, 7)) and found[5] == found[6] and found[5] <= {("en",), ("de",)}
+
+
+def test_lm_values(spark):
+    found = by_id(rows(spark, "lm"), "n_tokens")
+    assert found == {1: {(7,)}, None: {(7,)}, 2: {(1,)}, 3: {(1,)}, 4: {(1,)}, 5: {(24001,)}, 6: {(24001,)}, 7: {(3,)}, 8: {(5,)}}
+
+
+def test_quality_values(spark):
+    found = rows(spark, "quality")
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found)
+    same = by_id(found, "score")
+    assert same[2] == same[3] and same[5] == same[6] and len(same[1]) == 1
