@@ -1,4 +1,7 @@
-"""A corpus pipeline: each stage's result is written as Parquet and read again as the documents of the next."""
+"""A corpus pipeline: each stage's result is written as Parquet and read again as the documents of the next.
+
+In every stage a null text counts as empty, ids may repeat or be null, other columns pass through under any names, and an
+empty table gives an empty one. Texts without a letter, null and empty ones among them, end at the first stage."""
 
 from __future__ import annotations
 

@@ -234,7 +234,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "k", "bits", "h", "c"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        held, seen = Counter(4_000_000), set()
+        held, seen = Counter(1_500_000), set()
 
         def common() -> pa.RecordBatch:
             h, c = held.take()
@@ -322,7 +322,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
                         part = np.concatenate([part, np.where(many > 1, np.int64(k & 0x7FFFFFFF) % many, -1)])
                     held.append((mix(rare * _U(0x9E3779B97F4A7C15)), np.full(len(rare), k), np.full(len(rare), len(s), np.int32), part))
                     total += len(rare)
-                if total > 2_000_000:
+                if total > 1_000_000:
                     yield from flush()
                     total = 0
         yield from flush()

@@ -116,6 +116,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity:
                     ids += end
                     out += [(doc, copy, i // step, i // 4, len(p) // 4, zlib.crc32(p)) for i in range(0, len(ids), step) if (p := ids[i : i + step])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (x.column(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
+        encode.older = {}  # the worker may live on with other tasks
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("copy"))
