@@ -36,7 +36,7 @@ def covered(own: DataFrame, candidate: DataFrame) -> DataFrame:
     wanted = own.groupBy("category", "own_uid").agg(F.count_distinct("tag").alias("wanted"))
     closure = tag_closure(own.sparkSession)
     hits = own.join(F.broadcast(closure), own["tag"] == closure["sup"]).select("category", "own_uid", F.col("tag").alias("own_tag"), "sub").join(candidate, F.col("sub") == candidate["tag"])
-    n = hits.groupBy("category", "candidate", "own_uid", "other_uid").agg(F.count_distinct("own_tag").alias("n"))
+    n = hits.groupBy("category", "candidate", "own_uid", "other_uid").agg(F.size(F.collect_set("own_tag")).alias("n"))
     return n.join(wanted, ["category", "own_uid"]).filter("n = wanted").select("category", "candidate", "own_uid", "other_uid")
 
 
@@ -80,17 +80,15 @@ def assignable(rows: list[set[int]], columns: int) -> bool:
     return all(place(c, set()) for c in range(columns))
 
 
-def matched(edges: DataFrame, sizes: DataFrame, mode: str = "reference") -> DataFrame:
+def matched(edges: DataFrame, n_own: DataFrame, n_other: DataFrame, mode: str = "reference") -> DataFrame:
     """category, candidate of the pairs whose objects can be assigned. edges: category, candidate, own_uid, own_pos, other_uid,
-    other_pos, where the positions give the order of the steps; sizes: category, candidate, n_own, n_other.
-    mode `reference` goes step by step, and an unmatched candidate object fails the pair; `assignment` asks only that
-    each category object has a candidate object of its own."""
+    other_pos, where the positions give the order of the steps; n_own and n_other have the numbers of objects by category and
+    by candidate. mode `reference` goes step by step, and an unmatched candidate object fails the pair; `assignment` asks only
+    that each category object has a candidate object of its own."""
     if mode not in ("reference", "assignment"):
         raise ValueError(mode)
-    none = sizes.filter("n_own = 0").select("category", "candidate")
-    some = sizes.filter("n_own > 0 and n_own <= n_other").join(edges, ["category", "candidate"])
     test = eliminate if mode == "reference" else assignable
-    kinds = dict(sizes.dtypes)
+    kinds = dict(edges.dtypes)
 
     def decide(batches):
         for pdf in batches:
@@ -104,10 +102,10 @@ def matched(edges: DataFrame, sizes: DataFrame, mode: str = "reference") -> Data
                 ok.append(len(own) == n_own and test(every, n_own))
             yield pdf.loc[ok, ["category", "candidate"]]
 
-    schema = f"category {kinds['category']}, candidate {kinds['candidate']}"
     # A pair's edges are bounded by the objects of one category and one candidate.
-    pairs = some.groupBy("category", "candidate").agg(F.first("n_own").alias("n_own"), F.first("n_other").alias("n_other"), F.collect_list(F.struct("own_uid", "own_pos", "other_uid", "other_pos")).alias("edges"))
-    return none.unionByName(pairs.mapInPandas(decide, schema))
+    pairs = edges.groupBy("category", "candidate").agg(F.collect_list(F.struct("own_uid", "own_pos", "other_uid", "other_pos")).alias("edges"))
+    some = pairs.join(n_own, "category").join(n_other, "candidate").filter("n_own <= n_other")
+    return some.select("category", "candidate", "n_own", "n_other", "edges").mapInPandas(decide, f"category {kinds['category']}, candidate {kinds['candidate']}")
 
 
 def objects(tags: DataFrame, kind: str) -> DataFrame:
@@ -133,14 +131,14 @@ def contains(categories: DataFrame, candidates: DataFrame, mode: str = "referenc
         if kind == "Scenario":
             pairs = edges.select("category", "candidate").distinct()
         else:
-            held = b.groupBy(F.col("owner").alias("candidate")).agg(F.count_distinct("uid").alias("n_other"))
+            tagged = candidates.filter(F.col("class").isin(kind, f"{kind}Category") & (F.size("tags") > 0))
+            held = tagged.groupBy(F.col("owner").alias("candidate")).agg(F.count_distinct("object_uid").alias("n_other"))
             places = lambda df, owner, side: df.groupBy(F.col("owner").alias(owner), F.col("uid").alias(f"{side}_uid")).agg(F.min("pos").alias(f"{side}_pos"))
             if "pos" in categories.columns or "pos" in candidates.columns:
                 edges = edges.join(places(a, "category", "own"), ["category", "own_uid"]).join(places(b, "candidate", "other"), ["candidate", "other_uid"])
             else:
                 edges = edges.withColumns({"own_pos": F.lit(0), "other_pos": F.lit(0)})
-            sizes = edges.select("category", "candidate").distinct().join(wanted, "category").join(held, "candidate")
-            pairs = matched(edges, sizes, mode)
+            pairs = matched(edges, wanted, held, mode)
         asked.append(wanted.select("category", F.lit(kind).alias("kind")))
         given.append(pairs.select("category", "candidate"))
     asks = asked[0].unionByName(asked[1]).unionByName(asked[2]).groupBy("category").agg(F.count("*").alias("n"))
