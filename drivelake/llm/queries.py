@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, jaccard, langid, line_dedup, lm, mixing, packing, pii, quality
+from . import embedding_dedup, exact_dedup, filter_audit, jaccard, langid, line_dedup, lm, mixing, packing, phrases, pieces, pii, quality
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -59,6 +60,18 @@ def op10_langid(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify_held_out(read(spark, d, "documents"))
 
 
+def op11_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.digested(pieces.encode_texts(read(spark, d, "documents"), tokenizer_path(PIECES)))
+
+
+def op12_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
+def op13_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.collocations(read(spark, d, "documents"))
+
+
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 EXACT_SQL = f"""
@@ -117,5 +130,45 @@ SELECT doc_id, source, size, source_size, target,
   (epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - before)))::BIGINT AS taken FROM budgets
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_embeddings, op4_lm, op5_jaccard, op6_mixing, op7_pii, op8_line_dedup, op9_packing, op10_langid)}
-SQL = {"op2_exact_dedup": EXACT_SQL, "op3_embeddings": VECTORS_SQL, "op5_jaccard": JACCARD_SQL, "op6_mixing": MIXING_SQL}
+AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM t),
+m AS (SELECT part,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask,
+    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic FROM w),
+c AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+f(x, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a JOIN f b ON a.b & b.b = 0 JOIN f c ON (a.b | b.b) & c.b = 0 JOIN f d ON (a.b | b.b | c.b) & d.b = 0 JOIN f e ON (a.b | b.b | c.b | d.b) & e.b = 0),
+s AS (SELECT filter_order, step::INTEGER AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS seen FROM o, (SELECT unnest(range(1, 6)) AS step) k),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (seen | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & seen = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & seen <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (mask & seen = 0 AND mask & bit <> 0 AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (mask & seen = 0 AND mask & bit <> 0 AND toxic), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+PHRASES_SQL = r"""
+WITH p AS (SELECT doc_id, lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM x),
+total AS (SELECT lang, count(*) AS n FROM g GROUP BY lang),
+f1 AS (SELECT lang, x, count(*) AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, x, y, count(*) AS f FROM g WHERE y IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, x, y, z, count(*) AS a FROM g WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, x, y, max(a) AS most FROM (SELECT lang, x, y, a FROM f3 UNION ALL SELECT lang, y, z, a FROM f3) u GROUP BY ALL),
+two AS (SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, f2.f AS a, l.f AS l, r.f AS r FROM f2 JOIN f1 l ON l.lang = f2.lang AND l.x = f2.x JOIN f1 r ON r.lang = f2.lang AND r.x = f2.y
+  LEFT JOIN longer m ON m.lang = f2.lang AND m.x = f2.x AND m.y = f2.y WHERE f2.f >= 10 AND (m.most IS NULL OR 100 * m.most < 50 * f2.f)),
+cuts AS (SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z AS phrase, a, 1 AS k, l.f AS l, r.f AS r FROM f3 JOIN f1 l ON l.lang = f3.lang AND l.x = f3.x JOIN f2 r ON r.lang = f3.lang AND r.x = f3.y AND r.y = f3.z
+  UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, a, 2, l.f, r.f FROM f3 JOIN f2 l ON l.lang = f3.lang AND l.x = f3.x AND l.y = f3.y JOIN f1 r ON r.lang = f3.lang AND r.x = f3.z
+  UNION ALL SELECT lang, phrase, a, 1, l, r FROM two),
+scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+one AS (SELECT lang, phrase, a, arg_min(l, score * 10 + k) AS l, arg_min(r, score * 10 + k) AS r, min(score) AS score FROM scored GROUP BY lang, phrase, a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM one)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_embeddings, op4_lm, op5_jaccard, op6_mixing, op7_pii, op8_line_dedup, op9_packing, op10_langid, op11_pieces, op12_filter_audit, op13_phrases)}
+SQL = {"op2_exact_dedup": EXACT_SQL, "op3_embeddings": VECTORS_SQL, "op5_jaccard": JACCARD_SQL, "op6_mixing": MIXING_SQL, "op12_filter_audit": AUDIT_SQL, "op13_phrases": PHRASES_SQL}
