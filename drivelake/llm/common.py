@@ -55,6 +55,18 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many _ before each as it takes to be none of df's columns, in upper case or lower."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # Word hashes. A word's hash is a polynomial of its bytes (A-Z folded to a-z) modulo 2**64, mixed at the end, so that
 # whole batches are hashed from prefix sums without making one Python object per word.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, text_of
+from .common import WHITE, text_of, unused
 
 RECORD = pa.schema([("h", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("keep_id", pa.int64()), ("n", pa.int64())])
 FANOUT = 16
@@ -132,9 +132,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 64 << 20) -> DataFrame:
-    """The rows of docs, unchanged, that exact_dedup keeps; of rows that repeat id and text, one."""
+    """The rows of docs, unchanged, that exact_dedup keeps; of rows that repeat id and text, one. All columns stay, whatever
+    their names; an empty table gives an empty one; a null id counts as less than any other only where all of a text's are."""
     least = F.lit(-(2**63))
-    keys = ["__keep_id", "__keep_sha"]
+    keys = unused(docs, "keep_id", "keep_sha")
     kept = exact_groups(docs, id_col, text_col, bucket_bytes).select(F.coalesce("keep_id", least).alias(keys[0]), F.col("text_sha256").alias(keys[1]))
     own = docs.withColumns({keys[0]: F.coalesce(F.col(id_col).cast("long"), least), keys[1]: F.sha2(F.regexp_replace(text_of(text_col), WHITE, " "), 256)})
     return own.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)

@@ -19,10 +19,13 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return own.withColumns({"i": F.row_number().over(in_text) - 1, "at": F.coalesce(F.sum("words").over(before), F.lit(0))})
 
 
-def first_ranks(lines: DataFrame) -> DataFrame:
+def first_ranks(lines: DataFrame, ids_per_range: int = 20_000) -> DataFrame:
     """row, i, r, left, open of the lines that occur again: r is one more than the number of such lines with a lesser id, left
-    the number of them in a row from there on. The sums run over 512 ranges of the id and within each."""
-    n = lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").withColumn("range", F.shiftright("id", 55))
+    the number of them in a row from there on. The sums run over ranges of the id, of about ids_per_range ids, and within
+    each."""
+    n = stored(lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"))
+    ranges = max(1, (n.count() // ids_per_range).bit_length())
+    n = n.withColumn("range", F.shiftright("id", 64 - ranges))
     within = Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     before = n.groupBy("range").agg(F.sum("n").alias("m")).select("range", F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = n.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(before, "range").select("id", (1 + F.col("before") + F.col("inner")).alias("r"))
@@ -78,10 +81,11 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     suffixes has n lines or more, h <= n < 2h, just where they agree in the ranks by h lines of their beginnings and of the
     places n - h further on, so an interval of the array with that common prefix is known by n and these two ranks. Intervals
     are asked for the shortest runs of min_words words that begin or end with a line; of each interval the first place
-    stays and the runs at all others are removed. These cover every longer run with an earlier place: the shortest one from
-    its first line, and for each line after that the shortest one that ends with it, lie in it. So their union is that of
-    the intervals from each start over its longest common prefix with any earlier place, and doubling ends at min_words
-    lines. An earlier place is one with a lesser id, or in the same text further up.
+    stays and the runs at all others are removed, but for lines of the first place itself, which a copy that overlaps it has:
+    of one line ten times over as many stay as make a run. These cover every longer run with an earlier place: the shortest
+    one from its first line, and for each line after that the shortest one that ends with it, lie in it and have first places
+    that end no later. So their union is that of the intervals from each start over its longest common prefix with any earlier
+    place, and doubling ends at min_words lines. An earlier place is one with a lesser id, or in the same text further up.
     """
     lines = stored(line_table(docs, id_col, text_col)) if lines is None else lines
     runs = stored(shortest_runs(lines, max(min_words, 1)))
@@ -98,7 +102,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     every = docs.sparkSession.read.schema("doc_id long, row long, a long, b long, n long, head long, tail long").parquet(*named)
     interval = ["n", "head", "tail"]
     first = every.groupBy(*interval).agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "row", "a")).alias("first")).filter("m > 1").drop("m")
-    later = every.join(first, interval).filter(~((F.col("first.row") == F.col("row")) & (F.col("first.a") == F.col("a"))))
+    ended = F.when(F.col("first.row") == F.col("row"), F.col("first.a") + F.col("n")).otherwise(F.lit(0))
+    later = every.join(first, interval).withColumn("a", F.greatest("a", ended)).filter("a < b")
     by = Window.partitionBy("row").orderBy("a", "b")
     gap = F.coalesce(F.col("a") > F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     islands = later.select("row", "a", "b", gap.cast("long").alias("gap")).withColumn("island", F.sum("gap").over(by)).groupBy("row", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
@@ -109,7 +114,7 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
     """doc_id, n_lines, n_removed, n_words, words_removed, text for each row of docs: the text without the lines that
     lie in later copies of repeated runs (see repeated_lines); blank lines stay.
 
-    A null text is empty, and has no lines; equal rows lose the same lines, none to each other; an empty table gives no
+    A null text is empty, and has no lines; equal rows lose the same lines, none to each other; copies that overlap the first place lose only what lies beyond it; an empty table gives no
     rows; other columns are ignored; a very long text is one row per line throughout. Only DataFrame functions run.
     """
     lines = stored(line_table(docs, id_col, text_col))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_LINE, hashes, mix, part, pieces, raw, spans
+from .common import IS_LINE, hashes, mix, part, pieces, raw, spans, stored
 
 SYMBOLS = "!|#$%&*.,\n@<>{}/:;?-_\"'"
 
@@ -107,7 +107,8 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: fl
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 20_000, **how) -> Forest:
     """Trees from labelled documents. About `sample_rows` of the labelled rows are drawn by a hash of the id where there
-    are more, so that what reaches the driver is bounded: one short row of statistics each."""
+    are more, and where many documents share a drawn id, about as many of those documents, so that what reaches the driver is
+    bounded: one short row of statistics each, equal ones as one with their number."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     n = known.count()
     drawn = known.filter(F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample_rows / max(n, 1))).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("y")).groupBy("_id").agg(F.max("y").alias("y"))
@@ -120,7 +121,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for x in pieces(b, "text"):
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array([r.tobytes() for r in statistics(x.column(1))], pa.binary())], ["y", "x"])
 
-    got = train.mapInArrow(stats, "y int, x binary").toPandas().sort_values(["y", "x"], kind="stable")
+    rows = stored(train.mapInArrow(stats, "y int, x binary").groupBy("y", "x").agg(F.count("*").alias("n")))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    rate = sample_rows / total if total > 2 * sample_rows else 1.0
+    # Each distinct row as often as its share of the sample, rounded up or down by a hash.
+    often = F.floor(F.col("n") * rate + F.pmod(F.xxhash64("y", "x"), F.lit(1_000_000)) / 1_000_000 * int(rate < 1))
+    got = rows.select("y", "x", often.cast("int").alias("n")).filter("n > 0").toPandas().sort_values(["y", "x"], kind="stable")
+    got = got.loc[got.index.repeat(got["n"])]
     if not len(got):
         return Forest(0.0, np.zeros((0, 1), np.int64), np.zeros((0, 1), np.float32), np.zeros((0, 2)))
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1)

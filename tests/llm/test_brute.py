@@ -89,6 +89,36 @@ def test_personal_data_long_tokens():
         assert time.process_time() - began < 4
 
 
+def test_personal_data_many_tokens():
+    """Memory for a long text of little but numbers: all edges of a kind share their potential."""
+    import tracemalloc
+
+    field = pii.Field(np.ones((len(pii.features("0", 0, 1)), pii.LABELS)), np.eye(pii.LABELS), np.eye(pii.LABELS))
+    text = "1 a " * 100_000
+    tracemalloc.start()
+    pii.added_spans(text, [], field)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_personal_data_by_hand(spark):
+    """Mentions that no generator wrote: each is near or far from a clear one of the same form, and is found for it."""
+    field = pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    filler = " and the committee met again in the old town hall" * 30
+    for kind, clear, mention in (
+        ("email", "jane.roe@example.org", "jane.roe [at] example.org"),
+        ("email", "sales@shop.example.com", "sales (at) shop (dot) example (dot) com"),
+        ("ip", "192.168.10.77", "192[.]168[.]10[.]77"),
+        ("phone", "+44 20 7946 0958", "(020) 7946-0958"),
+    ):
+        text = f"You can reach it as {clear} at all times.{filler} Old notes say {mention} instead."
+        a = text.index(mention)
+        added = pii.added_spans(text, pii.base_spans(text), field)
+        assert any(k == KINDS[kind] and s < a + len(mention) and a < e for s, k, e in added), (mention, added)
+    plain = f"In 2019 there were 12,400 visits, 3.5 per day more than in 1998.{filler} Room 214 holds 80."
+    assert pii.added_spans(plain, pii.base_spans(plain), field) == []
+
+
 def test_personal_data_field(spark):
     """On texts it hasn't learned from: weaker mentions of what a text also has in clear are found, other numbers aren't; and
     a mention counts because of a clear one far off, not without it."""
@@ -154,19 +184,19 @@ def test_line_dedup(spark):
 
 def test_line_dedup_sources(spark):
     """A passage whose beginning an earlier document has too, one with lines of very different lengths, and random texts
-    against brute force: every line in a run of min_words words that stands at an earlier place goes, and no other."""
+    against brute force: of every run of min_words words the first place stays, and the lines of all others that aren't of
+    that first place go."""
 
     def brute(docs, least):
         lines = {d: [x for x in t.split("\n") if x.split()] for d, t in docs}
-        places = [(d, i) for d in sorted(lines) for i in range(len(lines[d]))]
-        gone = {d: set() for d in lines}
-        for k, (d, i) in enumerate(places):
-            for e, j in places[:k]:
-                n = 0
-                while i + n < len(lines[d]) and j + n < len(lines[e]) and lines[d][i + n] == lines[e][j + n]:
-                    n += 1
-                if sum(len(x.split()) for x in lines[d][i : i + n]) >= least:
-                    gone[d] |= set(range(i, i + n))
+        first, gone = {}, {d: set() for d in lines}
+        for d in sorted(lines):
+            for i in range(len(lines[d])):
+                for j in range(i + 1, len(lines[d]) + 1):
+                    run = tuple(lines[d][i:j])
+                    if sum(len(x.split()) for x in run) >= least:
+                        e, k = first.setdefault(run, (d, i))
+                        gone[d] |= {n for n in range(i, j) if not (e == d and k <= n < k + j - i)}
         return {d: "\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d in lines}
 
     line = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(5)]
@@ -180,6 +210,27 @@ def test_line_dedup_sources(spark):
     assert out == brute(docs, 12)
 
 
+def test_line_dedup_overlaps(spark):
+    """Copies that overlap the one that stays."""
+    one, two = (" ".join(f"{c}{j}" for j in range(20)) for c in "xy")
+    docs = [(1, "\n".join([one] * 10)), (2, "\n".join([one, two] * 6)), (3, "\n".join([two, two])), (4, "\n".join([one] * 2))]
+    out = {r["doc_id"]: r["text"].split("\n") for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {1: [one] * 3, 2: [one, two, one], 3: [two, two], 4: [one] * 2}
+    many = [(d, "\n".join(f"a{k} b c" for k in range(d, d + 40))) for d in range(0, 100, 10)]
+    few = line_dedup(spark.createDataFrame(many, "doc_id long, text string"), 6)
+    assert sorted(x for r in few.collect() for x in r["text"].split("\n") if x) == sorted(f"a{k} b c" for k in range(130))
+
+
+def test_first_ranks_ranges(spark):
+    """The same ranks by one range of ids and by many."""
+    from drivelake.llm import line_dedup as own
+
+    docs = [(d, "\n".join(f"line {k % 97}" for k in range(d, d + 60))) for d in range(40)]
+    lines = own.line_table(spark.createDataFrame(docs, "doc_id long, text string"))
+    few, many = ({(r["row"], r["i"]): r["r"] for r in own.first_ranks(lines, n).collect()} for n in (1, 20_000))
+    assert few == many and len(few) == 2400 and min(few.values()) == 1
+
+
 def test_suffix_array(spark):
     """Ranks by 1, 2, 4 and 8 lines are places in the sorted suffixes, cut to as many lines; a line that occurs once ends one."""
     rng = np.random.default_rng(11)

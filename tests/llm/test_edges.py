@@ -128,3 +128,27 @@ def test_quality_values(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found)
     same = by_id(found, "score")
     assert same[2] == same[3] and same[5] == same[6] and len(same[1]) == 1
+
+
+def test_quality_sample_is_bounded(spark):
+    """Many documents, and many copies, under one id: about as many rows as asked for are learned from."""
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    grow, quality.grow = quality.grow, lambda x, y, **how: seen.append(len(y)) or grow(x, y, **how)
+    try:
+        for rows in ([(1, f"text {'word ' * (k % 50)} {k}") for k in range(3000)] + [(2, "other")], [(1, "same")] * 3000 + [(2, "other")] * 3000):
+            quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample_rows=100)
+    finally:
+        quality.grow = grow
+    assert all(20 < n < 300 for n in seen) and len(seen) == 2
+
+
+def test_a_tokenizer_that_splits_words(tmp_path):
+    """Chunks of which the tokenizer makes several words are encoded one by one."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"ab": 0, "c": 1, "[UNK]": 2, "|": 3}, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Split("b", "merged_with_previous")])
+    t.save(str(tmp_path / "t.json"))
+    own = packing.Ids(str(tmp_path / "t.json"))
+    assert own(["abc ab c", "abcc x"]) == [own.encode("abc ab c"), own.encode("abcc x")]

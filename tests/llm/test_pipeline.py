@@ -59,6 +59,23 @@ def test_stages(spark, folder):
     assert max(full.values()) <= 4096 and tokenizer_path()
 
 
+@pytest.mark.parametrize("names", [("_id", "keep_id", "keep_sha", "kept_id"), ("_ID", "Keep_Id", "__keep_id", "__keep_sha")])
+def test_clashing_names(spark, names):
+    """Every stage but the last gives back all columns, whatever they are called."""
+    text = "the committee met again in the old town hall and spoke of the new bridge over the river "
+    rows = [(k, f"{text}{k // 2}", "en", "s", 1, *(f"{n}{k}" for n in names)) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, "")
+        assert kept.dtypes == docs.dtypes
+        for r in kept.collect():
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names]
+        if name == "exact_dedup":
+            assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6]
+    assert kept.count() > 0
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
