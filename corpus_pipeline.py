@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drivelake.llm import exact_dedup, jaccard, langid, mixing, packing
-from drivelake.llm.common import stored
+from drivelake.llm.common import stored, unused
 from drivelake.llm.queries import tokenizer_path
 
 
@@ -25,8 +25,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the least id. Rows that share an id stay together."""
-    kept = jaccard.jaccard_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    (own,) = unused(docs, "kept_id")
+    kept = jaccard.jaccard_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own))
+    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col(own)), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
