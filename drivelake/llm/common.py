@@ -33,16 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def store(df: DataFrame) -> str:
+def store(df: DataFrame, compression: str = "snappy") -> str:
     """Where df has been written as Parquet, in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends there, and lost executors lose nothing."""
-    return df.sparkSession.read.schema(df.schema).parquet(store(df))
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, compression))
 
 
 def part(column: str | Column, n: int) -> Column:

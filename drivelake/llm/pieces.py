@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import codecs
-import heapq
 import re
 from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
 from itertools import chain, groupby
-from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +17,8 @@ from .common import pieces as batch_pieces
 SPACE = "▁"
 #: Chunks of more characters are not remembered.
 LONG = 64
+#: The places that a note can hold; texts in Arrow batches are shorter.
+PLACE = (1 << 32) - 1
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
 codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
@@ -38,6 +39,26 @@ def linked(texts: Iterable[str]) -> list[set[str]]:
     return sorted({id(g): g for g in group.values()}.values(), key=lambda g: (-len(g), min(g)))
 
 
+class _Chars(dict):
+    """The piece of a character, -1 where it has none."""
+
+    def __missing__(self, c: str) -> int:
+        return -1
+
+
+class _Known(dict):
+    """ids of chunks; what is asked for the first time is looked up in the older generation or merged."""
+
+    def __init__(self, of: Pieces) -> None:
+        self.of = of
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        found = self.of.older.get(chunk) or self.of.agenda(chunk)
+        if len(chunk) <= LONG:
+            self[chunk] = found
+        return found
+
+
 class Pieces:
     """A merge-type vocabulary: encodes texts to ids and decodes them, as the file's own settings say.
 
@@ -48,7 +69,7 @@ class Pieces:
     Vocabularies of another type, with a table that rewrites characters, with pieces of the user's own or unused ones, or
     without a piece for every byte, or with a space inside a piece, raise ValueError: their rules aren't those written here."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -59,8 +80,17 @@ class Pieces:
         kinds = {p.type for p in model.pieces}
         if model.trainer_spec.model_type != pb.TrainerSpec.BPE or rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix or {USER, UNUSED} & kinds or sum(p.type == BYTE for p in model.pieces) != 256:
             raise ValueError(f"not a plain merge-type vocabulary with byte fallback: {path}")
-        self.prefix = SPACE if rules.add_dummy_prefix else ""
-        self.rank = {p.piece: (-p.score, i) for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        self.prefix = " " if rules.add_dummy_prefix else ""
+        # Spaces stand for themselves here, as texts then stay short in memory.
+        self.rank = {p.piece.replace(SPACE, " "): (-p.score, i) for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        order = {score: k << PLACE.bit_length() for k, score in enumerate(sorted({score for score, _ in self.rank.values()}), 1)}
+        # For the id of a left piece, the rank and the id of what it forms with the ids of right ones; -1 are characters without one.
+        self.merge: list[dict] = [{} for _ in range(len(model.pieces) + 1)]
+        for piece, (score, i) in self.rank.items():
+            for k in range(1, len(piece)):
+                if (a := self.rank.get(piece[:k])) and (b := self.rank.get(piece[k:])):
+                    self.merge[a[1]][b[1]] = order[score], i
+        self.of_char = _Chars({c: i for c, (_, i) in self.rank.items() if len(c) == 1}).__getitem__
         self.of_byte = [0] * 256
         self.surface = []
         for i, p in enumerate(model.pieces):
@@ -70,53 +100,48 @@ class Pieces:
             else:
                 self.surface.append(b"" if p.type == CONTROL else (model.trainer_spec.unk_surface if p.type == UNKNOWN else p.piece.replace(SPACE, " ")).encode())
         self.silent = {i for i, p in enumerate(model.pieces) if p.type == CONTROL}
-        self.spaced = {i for p, (_, i) in self.rank.items() if p.startswith(SPACE)}
+        self.spaced = {i for p, (_, i) in self.rank.items() if p.startswith(" ")}
         long = [p for p in self.rank if len(p) > 1]
-        if any(SPACE in p.lstrip(SPACE) for p in long):
+        if any(" " in p.lstrip(" ") for p in long):
             raise ValueError(f"a piece of {path} has a space inside")
-        kinds = [f"{SPACE}*[{''.join(map(re.escape, sorted(k)))}]+" for k in linked(p.lstrip(SPACE) for p in long)]
-        self.chunks = re.compile("|".join([*kinds, f"{SPACE}*[^{SPACE}]|{SPACE}+"]), re.S).findall
-        self.most, self.known, self.older = most, {}, {}
+        kinds = [f" *[{''.join(map(re.escape, sorted(k)))}]+" for k in linked(p.lstrip(" ") for p in long)]
+        self.chunks = re.compile("|".join([*kinds, " *[^ ]| +"]), re.S).findall
+        self.most, self.known, self.older = most, _Known(self), {}
 
     def agenda(self, chunk: str) -> tuple[int, ...]:
         """ids of a chunk: of all adjacent pairs of symbols that form a piece, the one of the best score, of equal ones the
-        leftmost, is merged, until none is left. A pair whose symbols have changed since it was noted is passed over."""
-        rank, symbols, n = self.rank, list(chunk), len(chunk)
+        leftmost, is merged, until none is left. The agenda holds the score's rank and the left symbol's place in one number; a
+        note whose pair has another rank by now is passed over."""
+        merge, n = self.merge, len(chunk)
+        symbols = list(map(self.of_char, chunk))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        notes = [(r[0], i, i + 1, s) for i, s in enumerate(map(add, chunk, chunk[1:])) if (r := rank.get(s))]
-        heapq.heapify(notes)
+        notes = [f[0] + i for i, (s, t) in enumerate(zip(symbols, symbols[1:])) if (f := merge[s].get(t))]
+        heapify(notes)
         while notes:
-            _, i, j, s = heapq.heappop(notes)
-            if not symbols[i] or not symbols[j] or symbols[i] + symbols[j] != s or after[i] != j:
+            note = heappop(notes)
+            i = note & PLACE
+            j = after[i]
+            if j >= n or (s := symbols[i]) is None or not (f := merge[s].get(symbols[j])) or f[0] + i != note:
                 continue
-            symbols[i], symbols[j] = s, ""
+            symbols[i] = s = f[1]
+            symbols[j] = None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if r := rank.get(t := s + symbols[k]):
-                    heapq.heappush(notes, (r[0], i, k, t))
-            if (h := before[i]) >= 0 and (r := rank.get(t := symbols[h] + s)):
-                heapq.heappush(notes, (r[0], h, i, t))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                out.extend([rank[s][1]] if s in rank else map(self.of_byte.__getitem__, s.encode()))
-        return tuple(out)
+                if f := merge[s].get(symbols[k]):
+                    heappush(notes, f[0] + i)
+            if (h := before[i]) >= 0 and (f := merge[symbols[h]].get(s)):
+                heappush(notes, f[0] + h)
+        if -1 not in symbols:
+            return tuple([s for s in symbols if s is not None])
+        return tuple(chain.from_iterable([s] if s >= 0 else map(self.of_byte.__getitem__, c.encode()) for s, c in zip(symbols, chunk) if s is not None))
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        known, long = self.known, {}
-        chunks = self.chunks(self.prefix + text.replace(" ", SPACE))
-        for c in set(chunks).difference(known):
-            if len(c) > LONG:
-                long[c] = self.agenda(c)
-            else:
-                known[c] = self.older.get(c) or self.agenda(c)
-        found = map(known.__getitem__, chunks) if not long else (long[c] if c in long else known[c] for c in chunks)
-        return list(chain.from_iterable(found))
+            self.known, self.older = _Known(self), self.known
+        return list(chain.from_iterable(map(self.known.__getitem__, self.chunks(self.prefix + text.replace(SPACE, " ")))))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that form no character are U+FFFD each, and the space put before the text goes."""

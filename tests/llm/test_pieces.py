@@ -77,8 +77,8 @@ def test_other_vocabularies(tmp_path):
 
 
 def test_rows_that_differ_are_found(own):
-    texts = ["one two", "", "three"]
+    texts = ["one two", "", "three of them"]
     ids = [own.encode(t) for t in texts]
     assert own.differing(texts, ids, texts) == []
     assert own.differing(texts, [ids[0], [5], ids[2][::-1]], texts) == [1, 2]
-    assert own.differing(texts, ids, ["one two", "", "tree"]) == [2]
+    assert own.differing(texts, ids, ["one two", "", "tree of them"]) == [2]
