@@ -46,6 +46,78 @@ def _spline_slope(knots: Column, coefficients: Column, degree: Column, s: Column
     return F.when(degree < 1, F.lit(0.0)).otherwise(_spline_value(F.slice(knots, F.lit(2), F.size(knots) - 2), slopes, degree - 1, s))
 
 
+#: A spline as one polynomial for each interval between knots: starts has where the intervals begin, c their coefficients in powers of
+#: the distance from there, the highest first, d those of the derivative.
+PIECES = "struct<starts:array<double>,c:array<array<double>>,d:array<array<double>>>"
+
+
+def power_form(knots: np.ndarray, coefficients: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """starts, c and d (see PIECES) of a B-spline. The derivative of a spline is one of the coefficients' differences, and c has
+    its values at each start over the factorials. Coefficients beyond the basis are ignored; an interval without length, which
+    no value falls in, has zeros."""
+    n = len(knots) - degree - 1
+    at = np.arange(degree, n)
+    c, t, w, factorial = np.zeros((len(at), degree + 1)), knots, np.asarray(coefficients[:n], float), 1.0
+    long = knots[at + 1] > knots[at]
+    for k in range(degree + 1):
+        if k:
+            gap = t[degree - k + 2 : degree - k + 2 + len(w) - 1] - t[1 : len(w)]
+            w = np.where(gap > 0, (degree - k + 1) * (w[1:] - w[:-1]) / np.where(gap > 0, gap, 1), 0)
+            t, factorial = t[1:-1], factorial * k
+        p = degree - k
+        # de Boor's triangle at the start of each interval, for all of them at once.
+        d = np.stack([w[at - k - p + j] for j in range(p + 1)], 1)
+        for r in range(1, p + 1):
+            for j in range(p, r - 1, -1):
+                lo, hi = t[at - k + j - p], t[at - k + 1 + j - r]
+                a = np.where(hi > lo, (knots[at] - lo) / np.where(hi > lo, hi - lo, 1), 0)
+                d[:, j] = (1 - a) * d[:, j - 1] + a * d[:, j]
+        c[:, degree - k] = np.where(long, d[:, p] / factorial, 0)
+    return knots[at], c, c[:, :-1] * np.arange(degree, 0, -1) if degree else np.zeros((len(at), 1))
+
+
+def _spline_pieces(knots: pd.Series, coefficients: pd.Series, degree: pd.Series) -> pd.DataFrame:
+    """PIECES of each row's B-spline, null where a parameter is: once an activity, in place of a recursion at each instant."""
+    known: dict = {}
+
+    def one(t, c, p) -> tuple:
+        if t is None or c is None or p is None or p != p:
+            return None, None, None
+        key = (np.asarray(t, float).tobytes(), np.asarray(c, float).tobytes(), int(p))
+        if key not in known:
+            known[key] = tuple(x.tolist() for x in power_form(np.asarray(t, float), np.asarray(c, float), int(p)))
+        return known[key]
+
+    return pd.DataFrame([one(*x) for x in zip(knots, coefficients, degree)], columns=["starts", "c", "d"])
+
+
+def piece_value(pieces: Column, s: Column, slope: bool = False) -> Column:
+    """The value, or slope, at s: the interval by its start, the outer ones going on beyond the ends, then Horner's rule."""
+    k = F.greatest(F.size(F.filter(pieces["starts"], lambda t: t <= s)), F.lit(1))
+    start, c = F.element_at(pieces["starts"], k), F.element_at(pieces["d" if slope else "c"], k)
+    return F.aggregate(c, F.lit(0.0), lambda sum_, x: sum_ * (s - start) + x)
+
+
+def with_pieces(df: DataFrame, p: str = "p") -> DataFrame:
+    """df with `pieces`, the PIECES of the splines in its struct of parameters p, or null for other models."""
+    return df.withColumn("pieces", F.pandas_udf(_spline_pieces, PIECES)(F.col(f"{p}.knots"), F.col(f"{p}.coefficients"), F.col(f"{p}.degree")))
+
+
+def with_multi_pieces(df: DataFrame, p: str = "p") -> DataFrame:
+    """df with `pieces`, an array with the PIECES of each component of a vector model."""
+    return df.withColumn("pieces", F.pandas_udf(_multi_pieces, f"array<{PIECES}>")(F.col(f"{p}.knots"), F.col(f"{p}.coefficients"), F.col(f"{p}.degree")))
+
+
+def _multi_pieces(knots: pd.Series, coefficients: pd.Series, degree: pd.Series) -> pd.Series:
+    def one(t, c, p):
+        if t is None or c is None or p is None:
+            return None
+        each = (power_form(np.asarray(a, float), np.asarray(b, float), int(n)) for a, b, n in zip(t, c, p))
+        return [dict(zip(("starts", "c", "d"), (x.tolist() for x in v))) for v in each]
+
+    return pd.Series([one(*x) for x in zip(knots, coefficients, degree)])
+
+
 def _cubic(p: Column, side: str, s: Column) -> Column:
     return ((p[f"a{side}"] * s + p[f"b{side}"]) * s + p[f"c{side}"]) * s + p[f"d{side}"]
 
@@ -63,6 +135,8 @@ class Model:
     dot: Callable[[Column, Column], Column] | None = None
     fit: Callable[..., DataFrame] | None = None
     options: tuple[str, ...] = ()
+    #: Whether its p has knots, coefficients and degree, and can be evaluated by PIECES.
+    piecewise: bool = False
 
 
 MODELS: dict[str, Model] = {}
@@ -74,19 +148,21 @@ def register(model: Model) -> Model:
     return model
 
 
-def value(modelname: Column, p: Column, s: Column) -> Column:
-    return _dispatch(modelname, lambda m: m.state, p, s)
+def value(modelname: Column, p: Column, s: Column, pieces: Column | None = None) -> Column:
+    """The state at s of a model with parameters p. pieces (see with_pieces) stand for splines' knots where they are at hand."""
+    return _dispatch(modelname, lambda m: m.state, p, s, pieces)
 
 
-def derivative(modelname: Column, p: Column, s: Column) -> Column:
-    return _dispatch(modelname, lambda m: m.dot, p, s)
+def derivative(modelname: Column, p: Column, s: Column, pieces: Column | None = None) -> Column:
+    return _dispatch(modelname, lambda m: m.dot, p, s, pieces)
 
 
-def _dispatch(modelname: Column, of, p: Column, s: Column) -> Column:
+def _dispatch(modelname: Column, of, p: Column, s: Column, pieces: Column | None = None) -> Column:
     out = None
     for name, m in MODELS.items():
         if of(m):
-            out = (F if out is None else out).when(modelname == name, of(m)(p, s))
+            v = piece_value(pieces, s, of(m) is m.dot) if m.piecewise and pieces is not None else of(m)(p, s)
+            out = (F if out is None else out).when(modelname == name, v)
     return out.when(modelname.isNotNull(), F.raise_error(F.concat(F.lit("no scalar state of a model named "), modelname)).cast("double"))
 
 
@@ -221,13 +297,16 @@ register(Model("Constant", lambda p, s: p["xstart"] + 0 * s, lambda p, s: 0.0 *
 register(Model("Linear", lambda p, s: p["xstart"] + s * (p["xend"] - p["xstart"]), lambda p, s: p["xend"] - p["xstart"] + 0 * s, fit_linear, ("endpoints",)))
 register(Model("Sinusoidal", lambda p, s: (p["xstart"] - p["xend"]) / 2 * F.cos(F.pi() * s) + (p["xstart"] + p["xend"]) / 2, lambda p, s: -F.pi() * (p["xstart"] - p["xend"]) / 2 * F.sin(F.pi() * s), fit_sinusoidal))
 register(Model("Spline3Knots", lambda p, s: F.when(s < 0.5, _cubic(p, "1", s)).otherwise(_cubic(p, "2", s)), lambda p, s: F.when(s < 0.5, _cubic_slope(p, "1", s)).otherwise(_cubic_slope(p, "2", s)), fit_spline3knots, ("endpoints",)))
-register(Model("Splines", lambda p, s: _spline_value(p["knots"], p["coefficients"], p["degree"], s), lambda p, s: _spline_slope(p["knots"], p["coefficients"], p["degree"], s), fit_splines, ("degree", "n_knots")))
+register(Model("Splines", lambda p, s: _spline_value(p["knots"], p["coefficients"], p["degree"], s), lambda p, s: _spline_slope(p["knots"], p["coefficients"], p["degree"], s), fit_splines, ("degree", "n_knots"), True))
 register(Model("MultiBSplines", fit=fit_multi_splines, options=("degree", "n_knots")))
 register(Model("Messages"))
 
 
-def multi_value(p: Column, s: Column, slope: bool = False) -> Column:
-    """An array with the value, or the slope, of each component of a MultiBSplines activity."""
+def multi_value(p: Column, s: Column, slope: bool = False, pieces: Column | None = None) -> Column:
+    """An array with the value, or the slope, of each component of a MultiBSplines activity; by pieces (see with_multi_pieces)
+    where they are at hand."""
+    if pieces is not None:
+        return F.transform(pieces, lambda x: piece_value(x, s, slope))
     of = _spline_slope if slope else _spline_value
     return F.transform(F.arrays_zip(p["knots"].alias("knots"), p["coefficients"].alias("coefficients"), p["degree"].alias("degree")), lambda d: of(d["knots"], d["coefficients"], d["degree"], s))
 

@@ -65,19 +65,55 @@ def eliminate(rows: list[set[int]], columns: int) -> bool:
 
 
 def assignable(rows: list[set[int]], columns: int) -> bool:
-    """Whether every category object can have a candidate object of its own."""
-    taken: dict[int, int] = {}
-
-    def place(c: int, seen: set[int]) -> bool:
-        for i, r in enumerate(rows):
-            if c in r and i not in seen:
-                seen.add(i)
-                if i not in taken or place(taken[i], seen):
-                    taken[i] = c
-                    return True
-        return False
-
-    return all(place(c, set()) for c in range(columns))
+    """Whether every category object can have a candidate object of its own: Hopcroft and Karp's matching. Each round finds, level
+    by level, how far free candidate objects are, and then as many disjoint shortest ways to them as there are, without
+    recursion; there are no more rounds than about twice the root of the number of objects."""
+    may: list[list[int]] = [[] for _ in range(columns)]
+    for r, some in enumerate(rows):
+        for c in some:
+            may[c].append(r)
+    partner, holder = [-1] * columns, [-1] * len(rows)
+    while free := [c for c in range(columns) if partner[c] < 0]:
+        level = [-1] * columns
+        for c in free:
+            level[c] = 0
+        reached, wave = False, free
+        while wave and not reached:
+            new = []
+            for c in wave:
+                for r in may[c]:
+                    d = holder[r]
+                    if d < 0:
+                        reached = True
+                    elif level[d] < 0:
+                        level[d] = level[c] + 1
+                        new.append(d)
+            wave = new
+        if not reached:
+            return False
+        at = [0] * columns
+        for start in free:
+            way = [start]
+            while way:
+                c = way[-1]
+                if at[c] == len(may[c]):
+                    level[c] = -1
+                    way.pop()
+                    continue
+                r = may[c][at[c]]
+                d = holder[r]
+                if d < 0:
+                    # The way ends free: each object on it takes the one that it looked at.
+                    for c in way:
+                        r = may[c][at[c]]
+                        partner[c], holder[r] = r, c
+                        level[c] = -1
+                    break
+                if level[d] == level[c] + 1:
+                    way.append(d)
+                else:
+                    at[c] += 1
+    return True
 
 
 def matched(edges: DataFrame, n_own: DataFrame, n_other: DataFrame, mode: str = "reference") -> DataFrame:
@@ -115,29 +151,67 @@ def objects(tags: DataFrame, kind: str) -> DataFrame:
     return tags.filter(F.col("class").isin(kind, f"{kind}Category")).select("owner", F.col("object_uid").alias("uid"), pos.alias("pos"), F.explode("tags").alias("tag"))
 
 
+KINDS = ("Scenario", "Actor", "PhysicalElement")
+
+
+def signatures(tags: DataFrame, mode: str) -> DataFrame:
+    """owner, sig, objects: what of an owner decides about it, for each owner of tags (see contains). objects has, by class, the
+    sets of tags of its objects, without their ids; in mode `reference` in the order of the steps, pos then id, else in order
+    of themselves. sig is a digest of it. Owners that differ in names, ids or numbers only share one."""
+    pos = F.col("pos").cast("long") if "pos" in tags.columns else F.lit(0).cast("long")
+    kind = F.when(F.col("class").isin("Scenario", "ScenarioCategory"), 0).when(F.col("class").isin("Actor", "ActorCategory"), 1).when(F.col("class").isin("PhysicalElement", "PhysicalElementCategory"), 2)
+    tagged = F.when(kind.isNotNull() & (F.size("tags") > 0), F.struct(kind.alias("kind"), F.col("object_uid").alias("uid"), pos.alias("pos"), F.col("tags")))
+    # An owner's objects are those of one scenario or category. Rows of one object are one: its tags together, its least pos.
+    own = tags.groupBy("owner").agg(F.collect_list(tagged).alias("rows"))
+    named = F.array_distinct(F.transform("rows", lambda r: F.struct(r["kind"], r["uid"])))
+    of = lambda n: F.filter("rows", lambda r: (r["kind"] == n["kind"]) & r["uid"].eqNullSafe(n["uid"]))
+    whole = F.transform(named, lambda n: F.struct(n["kind"].alias("kind"), F.array_min(F.transform(of(n), lambda r: r["pos"])).alias("pos"), n["uid"].alias("uid"), F.array_sort(F.array_distinct(F.flatten(F.transform(of(n), lambda r: r["tags"])))).alias("tags")))
+    plain = F.transform(F.array_sort(whole), lambda x: F.struct(x["kind"].alias("kind"), x["tags"].alias("tags")))
+    own = own.select("owner", (plain if mode == "reference" else F.array_sort(plain)).alias("objects"))
+    return own.select("owner", F.sha2(F.to_json("objects"), 256).alias("sig"), "objects")
+
+
+def representatives(sigs: DataFrame) -> DataFrame:
+    """The rows of contains() for one owner of each signature, under the signature's name. One without objects has one row."""
+    one = sigs.groupBy("sig").agg(F.first("objects").alias("objects"))
+    x = one.select("sig", F.posexplode_outer("objects").alias("pos", "x"))
+    name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.kind") + 1)
+    return x.select(F.col("sig").alias("owner"), F.coalesce(name, F.lit(KINDS[0])).alias("class"), F.format_string("%08d", F.coalesce("pos", F.lit(0))).alias("object_uid"), F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("x.tags", F.array().cast("array<string>")).alias("tags"))
+
+
 def contains(categories: DataFrame, candidates: DataFrame, mode: str = "reference", reflexive: bool = True) -> DataFrame:
     """category, candidate: the candidates that a category comprises (scenarios) or includes (categories).
 
     Both have rows owner, class, object_uid, tags and, for the order of the reference mode, pos, with class Scenario or
     ScenarioCategory for the owner's own tags, Actor or ActorCategory, and PhysicalElement or PhysicalElementCategory; an
-    owner without tags of a class has no row of it. Every class of which a category has objects gives the pairs that it
-    allows, by an equi-join over tags; a pair stands where all classes of the category give it. Only a category that asks
-    for nothing goes with all candidates."""
+    owner without tags of a class has no row of it. Each signature of categories is decided once against each distinct
+    signature of candidates, and the pairs found go back to the owners; so the work grows with the signatures, and only the
+    answer with the pairs."""
+    if mode not in ("reference", "assignment"):
+        raise ValueError(mode)
+    own, other = signatures(categories, mode), signatures(candidates, mode)
+    found = decided(representatives(own), representatives(other), mode)
+    found = found.join(own.select("sig", F.col("owner").alias("own")), found["category"] == F.col("sig")).drop("sig")
+    found = found.join(other.select("sig", F.col("owner").alias("other")), found["candidate"] == F.col("sig"))
+    found = found.select(F.col("own").alias("category"), F.col("other").alias("candidate"))
+    return found if reflexive else found.filter("category <> candidate")
+
+
+def decided(categories: DataFrame, candidates: DataFrame, mode: str) -> DataFrame:
+    """category, candidate for each owner of the one and the other (see contains). Every class of which a category has objects
+    gives the pairs that it allows, by an equi-join over tags; a pair stands where all classes of the category give it. Only a
+    category that asks for nothing goes with all candidates."""
     asked, given = [], []
-    for kind in ("Scenario", "Actor", "PhysicalElement"):
+    for kind in KINDS:
         a, b = objects(categories, kind), objects(candidates, kind)
         wanted = a.groupBy(F.col("owner").alias("category")).agg(F.count_distinct("uid").alias("n_own"))
         edges = covered(a.select(F.col("owner").alias("category"), F.col("uid").alias("own_uid"), "tag"), b.select(F.col("owner").alias("candidate"), F.col("uid").alias("other_uid"), "tag"))
         if kind == "Scenario":
             pairs = edges.select("category", "candidate").distinct()
         else:
-            tagged = candidates.filter(F.col("class").isin(kind, f"{kind}Category") & (F.size("tags") > 0))
-            held = tagged.groupBy(F.col("owner").alias("candidate")).agg(F.count_distinct("object_uid").alias("n_other"))
-            places = lambda df, owner, side: df.groupBy(F.col("owner").alias(owner), F.col("uid").alias(f"{side}_uid")).agg(F.min("pos").alias(f"{side}_pos"))
-            if "pos" in categories.columns or "pos" in candidates.columns:
-                edges = edges.join(places(a, "category", "own"), ["category", "own_uid"]).join(places(b, "candidate", "other"), ["candidate", "other_uid"])
-            else:
-                edges = edges.withColumns({"own_pos": F.lit(0), "other_pos": F.lit(0)})
+            held = b.groupBy(F.col("owner").alias("candidate")).agg(F.count_distinct("uid").alias("n_other"))
+            # Objects of a representative are named by their place.
+            edges = edges.withColumns({"own_pos": F.lit(0), "other_pos": F.lit(0)})
             pairs = matched(edges, wanted, held, mode)
         asked.append(wanted.select("category", F.lit(kind).alias("kind")))
         given.append(pairs.select("category", "candidate"))
@@ -145,8 +219,7 @@ def contains(categories: DataFrame, candidates: DataFrame, mode: str = "referenc
     gives = given[0].unionByName(given[1]).unionByName(given[2]).groupBy("category", "candidate").agg(F.count("*").alias("m"))
     found = gives.join(asks, "category").filter("m = n").select("category", "candidate")
     open_ones = categories.select(F.col("owner").alias("category")).distinct().join(asks, "category", "left_anti")
-    found = found.unionByName(open_ones.join(candidates.select(F.col("owner").alias("candidate")).distinct()))
-    return found if reflexive else found.filter("category <> candidate")
+    return found.unionByName(open_ones.join(candidates.select(F.col("owner").alias("candidate")).distinct()))
 
 
 def derived_tags(catalog, collection: str = "scenario") -> DataFrame:

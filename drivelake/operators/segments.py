@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,24 +21,35 @@ def segments(samples: DataFrame, actor: str = "actor", t: str = "t", label: str
     return starts.select(actor, F.row_number().over(w).alias("run"), label, F.col(t).alias("t_start"), F.coalesce(F.lead(t).over(w), F.col("_last")).alias("t_end"))
 
 
-def samples_in(samples: DataFrame, runs: DataFrame, actor: str = "actor", t: str = "t", width: float | None = None) -> DataFrame:
+def samples_in(samples: DataFrame, runs: DataFrame, actor: str = "actor", t: str = "t") -> DataFrame:
     """Each sample with every run of its actor that holds its instant, both ends included, for any runs (see in_runs for
-    the samples' own). Time is cut into pieces of `width`, by default a run's mean length, and the join is by piece."""
-    width = width or mean_length(runs)
-    r = runs.select(F.col(actor).alias("_a"), "run", F.col("label").alias("run_label"), "t_start", "t_end", pieces("t_start", "t_end", width))
-    s = samples.withColumn("_s", F.floor(F.col(t) / width))
-    return s.join(r, (F.col(actor) == F.col("_a")) & (F.col("_s") == F.col("_piece")) & F.col(t).between(F.col("t_start"), F.col("t_end"))).drop("_a", "_s", "_piece")
-
-
-def mean_length(intervals: DataFrame, start: str = "t_start", end: str = "t_end") -> float:
-    """Cut by this length, the pieces of all intervals are no more than three times their number."""
-    got = intervals.agg(F.avg(F.col(end) - F.col(start))).first()[0]
-    return got if got and got > 0 else 1.0
-
-
-def pieces(start: str, end: str, width: float) -> Column:
-    """The numbers of the pieces of time that an interval touches, a row for each."""
-    return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("_piece")
+    the samples' own)."""
+    r = runs.select(F.col(actor).alias("_actor"), "run", F.col("label").alias("run_label"), "t_start", "t_end")
+    return at_instants(samples.withColumns({"_actor": F.col(actor), "_t": F.col(t)}), r, ["_actor"], "_t", how="inner").drop("_actor", "_t")
+
+
+def at_instants(instants: DataFrame, intervals: DataFrame, keys: list[str], t: str, start: str = "t_start", end: str = "t_end", how: str = "left") -> DataFrame:
+    """instants joined with the intervals of equal keys that hold them, both ends included; with how="left" an instant that none
+    holds stays, once or more often, with nulls. The two frames share no other column names.
+
+    Time is cut dyadically: an interval belongs to the least level whose pieces, of length 2 ** level, are no shorter than it, and so
+    touches two of them at most; an instant meets one piece of each level that its keys have. Very long and very short intervals
+    don't get in each other's way, nothing has to be known of their lengths, and a piece holds no more intervals than overlap
+    within twice their length."""
+    length = F.col(end) - F.col(start)
+    level = F.greatest(F.coalesce(F.ceil(F.log2(F.when(length > 0, length))), F.lit(LEAST_LEVEL)), F.lit(LEAST_LEVEL)).cast("int")
+    piece = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level")))
+    known = intervals.filter(F.col(start) <= F.col(end)).withColumn("_level", level)
+    levels = known.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
+    own = known.select("*", F.explode(F.sequence(piece(start), piece(end))).alias("_piece")).alias("own")
+    asked = instants.join(levels, keys, how).withColumn("_level", F.explode_outer("_levels")).drop("_levels").withColumn("_piece", piece(t)).alias("asked")
+    by = [*keys, "_level", "_piece"]
+    on = [F.col(f"asked.{k}") == F.col(f"own.{k}") for k in by] + [F.col(f"asked.{t}").between(F.col(f"own.{start}"), F.col(f"own.{end}"))]
+    return asked.join(own, on, how).select("asked.*", *(F.col(f"own.{c}") for c in intervals.columns if c not in keys)).drop("_level", "_piece")
+
+
+#: The level of pieces of about a millionth of a second; shorter intervals are of this level too.
+LEAST_LEVEL = -20
 
 
 def in_runs(samples: DataFrame, actor: str = "actor", t: str = "t", label: str = "label") -> DataFrame:

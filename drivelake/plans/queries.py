@@ -191,8 +191,14 @@ SELECT l_orderkey, l_linenumber, round(CASE WHEN s < 0.5 THEN 20 * (1 - 2 * s) *
 ELSE 21 * 2 * (1 - s) * (1 - s) + 19 * 2 * (1 - s) * (3 * s - 1) + 22 * (2 * s - 1) * (2 * s - 1) END, 6) AS state FROM x""")
 def state_bspline(spark, d):
     p = parameters(knots=F.array(*map(F.lit, [0.0, 0.0, 0.0, 0.5, 1.0, 1.0, 1.0])), coefficients=F.array(*map(F.lit, [20.0, 21.0, 19.0, 22.0, 0.0, 0.0, 0.0])), degree=F.lit(2))
-    own = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("s"), p.alias("p"))
-    return own.select("l_orderkey", "l_linenumber", r6(models.value(F.lit("Splines"), F.col("p"), F.col("s"))).alias("state"))
+    own = on_curves(spark, d, p, models.with_pieces)
+    return own.select("l_orderkey", "l_linenumber", r6(models.value(F.lit("Splines"), F.col("p"), F.col("s"), F.col("pieces"))).alias("state"))
+
+
+def on_curves(spark: SparkSession, d: str, p: Column, prepared) -> DataFrame:
+    """A curve for each part, put in powers once, and on it the lines of the part as instants."""
+    curves = prepared(read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), p.alias("p")))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_discount") * 10).alias("s")).join(curves, "l_partkey")
 
 
 @query(f"WITH {LINEAR} SELECT r.actor, r.run, g.i, round(f.xstart + g.i / 4.0 * (f.xend - f.xstart), 6) AS state FROM runs r JOIN fitted f ON r.actor = f.actor AND r.run = f.run CROSS JOIN (SELECT unnest(range(0, 5)) AS i) g")
@@ -217,8 +223,8 @@ LAST = f"WITH {LINEAR}, v AS (SELECT i.actor, i.t, i.run, f.xstart + {S} * (f.xe
 def state_interval_join(spark, d):
     acts = _acts(spark, d)
     asked = samples(spark, d).select(F.lit("all").alias("scenario"), "actor", F.lit("SPEED").alias("state_variable"), "t")
-    out = states.scenario_states(acts, asked)
-    return out.filter(~F.isnan("state")).select("actor", r6("t").alias("t"), r6("state").alias("state"))
+    out = states.scenario_states(acts, asked, uncovered=False)
+    return out.select("actor", r6("t").alias("t"), r6("state").alias("state"))
 
 
 @query(f"""WITH {RUNS}, q AS (SELECT DISTINCT s.actor, g.t FROM samples s CROSS JOIN (SELECT unnest(range(-2, 40)) * 86400.0 AS t) g),

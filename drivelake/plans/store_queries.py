@@ -14,6 +14,7 @@ from ..functions.vocabulary import TAGS
 from ..operators import builders, containment, states
 from ..operators.catalog import SCHEMAS, Catalog
 from ..sources import json_db
+from ..sources.staging import staged
 from . import queries as q
 from .queries import CATEGORIES, CLOSURE, FLAGS, OWN_TAGS, PRIORITY, _case, _map, parameters, query, r6, read
 
@@ -150,10 +151,15 @@ def _instants(acts: DataFrame) -> DataFrame:
     return acts.select("scenario", "actor", "state_variable").distinct().select("*", t)
 
 
+def _acts(spark, d) -> DataFrame:
+    """Every act with its parameters, put together once from the stored catalog."""
+    return staged(states.with_parameters(json_db.stored(lifted(spark, d)).acts()))
+
+
 def _store_states(spark, d, dot: bool) -> DataFrame:
-    acts = states.with_parameters(lifted(spark, d).acts())
-    out, name = states.scenario_states(acts, _instants(acts), dot=dot), "state_dot" if dot else "state"
-    return out.filter(~F.isnan(name)).select("scenario", "actor", "state_variable", "t", r6(name).alias(name))
+    acts = _acts(spark, d)
+    out, name = states.scenario_states(acts, _instants(acts), dot=dot, uncovered=False), "state_dot" if dot else "state"
+    return out.select("scenario", "actor", "state_variable", "t", r6(name).alias(name))
 
 
 @query(f"WITH {LIFT}, {_ASKED} SELECT scenario::VARCHAR AS scenario, actor::VARCHAR AS actor, state_variable, t::DOUBLE AS t, round(arg_max({_STATE}, pos), 6) AS state FROM hit GROUP BY ALL")
@@ -169,7 +175,7 @@ def store_state_dots(spark, d):
 @query(f"WITH {LIFT}, {_ASKED}, n AS (SELECT m.scenario, m.actor, m.state, m.t, count(h.t) AS n FROM moment m LEFT JOIN hit h ON h.scenario = m.scenario AND h.actor = m.actor AND h.state_variable = m.state AND h.t = m.t GROUP BY ALL), per AS (SELECT scenario, actor, state, count(*) FILTER (n = 0) AS uncovered, count(*) AS instants, max(n) AS most FROM n GROUP BY ALL) SELECT scenario::VARCHAR AS scenario, actor::VARCHAR AS actor, state AS state_variable, instants, uncovered FROM per WHERE most > 0")
 def store_states_uncovered(spark, d):
     """Instants without an act are NaN; where that holds for all of them, there is no result."""
-    acts = states.with_parameters(lifted(spark, d).acts())
+    acts = _acts(spark, d)
     out = states.scenario_states(acts, _instants(acts))
     return out.groupBy("scenario", "actor", "state_variable").agg(F.count("*").alias("instants"), F.count_if(F.isnan("state")).alias("uncovered"))
 
@@ -205,8 +211,8 @@ SELECT category, o::VARCHAR AS candidate FROM decided WHERE {{mode}} AND (catego
 
 
 def _comprises(spark, d, mode: str) -> DataFrame:
-    c = lifted(spark, d)
-    return containment.contains(containment.derived_tags(c, "scenario_category"), containment.derived_tags(c), mode)
+    c = json_db.stored(lifted(spark, d))
+    return containment.contains(staged(containment.derived_tags(c, "scenario_category")), staged(containment.derived_tags(c)), mode)
 
 
 @query(_PAIRS.replace("{mode}", "assignment"))
@@ -235,15 +241,32 @@ def json_roundtrip(spark, d):
     return reduce(DataFrame.unionByName, out)
 
 
-@query(f"""WITH {LIFT}, used AS (SELECT DISTINCT l_partkey FROM act), who AS (SELECT DISTINCT actor FROM member)
-SELECT 'scenario' AS collection, count(*) AS n FROM orders UNION ALL SELECT 'activity', count(*) FROM act UNION ALL SELECT 'event', 2 * (SELECT count(*) FROM act) + 2 * (SELECT count(*) FROM orders)
-UNION ALL SELECT 'actor', count(*) FROM who UNION ALL SELECT 'actor_category', count(DISTINCT c_nationkey) FROM who JOIN customer ON actor = c_custkey
-UNION ALL SELECT 'activity_category', count(*) FROM used UNION ALL SELECT 'model', count(DISTINCT l_partkey % 3) FROM used
-UNION ALL SELECT 'physical_element', count(DISTINCT l_suppkey) FROM act UNION ALL SELECT 'physical_element_category', count(DISTINCT s_nationkey % 5) FROM act JOIN supplier ON l_suppkey = s_suppkey""")
+@query(f"""WITH {LIFT}, used AS (SELECT DISTINCT l_partkey FROM act), who AS (SELECT DISTINCT actor FROM member), with_what AS (SELECT DISTINCT l_suppkey FROM act),
+mem AS (SELECT o, string_agg(actor::VARCHAR, ',' ORDER BY pos) AS actors FROM member GROUP BY o),
+did AS (SELECT o, string_agg(uid, ',' ORDER BY pos) AS activities, string_agg(actor || '>' || uid, ',' ORDER BY pos) AS acts FROM act GROUP BY o),
+elements AS (SELECT o, string_agg(s, ',' ORDER BY s) AS elements FROM (SELECT DISTINCT o, l_suppkey::VARCHAR AS s FROM act) x GROUP BY o)
+SELECT 'scenario' AS collection, o_orderkey::VARCHAR AS uid, 'order ' || o_orderkey AS name, {_case('o_orderpriority', PRIORITY)} AS tags, concat_ws('|', o_orderkey || ':s', o_orderkey || ':e', actors, coalesce(activities, ''), coalesce(elements, ''), coalesce(acts, '')) AS refs, NULL::DOUBLE AS v1, NULL::DOUBLE AS v2
+  FROM orders JOIN mem ON mem.o = o_orderkey LEFT JOIN did ON did.o = o_orderkey LEFT JOIN elements ON elements.o = o_orderkey
+UNION ALL SELECT 'activity', uid, l_linestatus, tag, concat_ws('|', uid || ':s', uid || ':e', l_partkey), round(x0, 6), round(x1, 6) FROM act
+UNION ALL SELECT 'event', uid || e, '', '', '', CASE WHEN e = ':s' THEN t0 ELSE t1 END, NULL FROM act CROSS JOIN (VALUES (':s'), (':e')) v(e)
+UNION ALL SELECT 'event', o_orderkey || e, '', '', '', t, NULL FROM orders CROSS JOIN (VALUES (':s', 0.0), (':e', 20.0)) v(e, t)
+UNION ALL SELECT 'actor', c_custkey::VARCHAR, c_mktsegment, CASE WHEN c_acctbal > 5000 THEN 'EgoVehicle' ELSE '' END, c_nationkey::VARCHAR, NULL, NULL FROM who JOIN customer ON actor = c_custkey
+UNION ALL SELECT DISTINCT 'actor_category', n_nationkey::VARCHAR, n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'RoadUserType_CategoryM_Minibus' ELSE 'RoadUserType_VRU_Pedestrian' END, 'Vehicle', {float(TAGS["RoadUserType_Vehicle"])}, NULL FROM who JOIN customer ON actor = c_custkey JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'activity_category', l_partkey::VARCHAR, category_name, status, (l_partkey % 3) || '|' || state, NULL, NULL FROM used JOIN cat ON l_partkey = p_partkey
+UNION ALL SELECT DISTINCT 'model', (l_partkey % 3)::VARCHAR, modelname, '', modelname, NULL, NULL FROM used JOIN cat ON l_partkey = p_partkey
+UNION ALL SELECT 'physical_element', l_suppkey::VARCHAR, s_name, CASE WHEN s_acctbal > 5000 THEN 'Lighting_Day_Cloudy' ELSE '' END, (s_nationkey % 5)::VARCHAR, NULL, NULL FROM with_what JOIN supplier ON l_suppkey = s_suppkey
+UNION ALL SELECT DISTINCT 'physical_element_category', r_regionkey::VARCHAR, r_name, '', '', NULL, NULL FROM with_what JOIN supplier ON l_suppkey = s_suppkey JOIN region ON s_nationkey % 5 = r_regionkey""")
 def json_full_shred(spark, d):
-    """Scenarios in full form, with all their parts inside, read back and taken apart: each part once."""
-    parts = json_db.shred(json_db.parse_full(json_db.full_document(lifted(spark, d), "scenario"), "scenario"), "scenario")
-    return Catalog(parts).counts().withColumnRenamed("count", "n")
+    """Scenarios in full form, with all their parts inside, read back and taken apart: each part once, with all that it holds."""
+    docs = json_db.full_document(json_db.stored(lifted(spark, d)), "scenario")
+    parts = json_db.shred(json_db.parse_full(docs, "scenario"), "scenario")
+    number = lambda c, k: F.round(F.get_json_object(c, f"$.{k}").cast("double"), 6)
+    listed = lambda c: F.coalesce(joined(F.col(c)), F.lit(""))
+    acts = F.coalesce(joined(F.transform("acts", lambda x: F.concat(x["actor"], F.lit(">"), x["activity"]))), F.lit(""))
+    refs = {"scenario": ["start_uid", "end_uid", listed("actors"), listed("activities"), listed("physical_elements"), acts], "activity": ["start_uid", "end_uid", "category_uid"], "actor": ["category_uid"], "actor_category": ["actor_type"], "activity_category": ["model_uid", "state"], "model": ["modelname"], "physical_element": ["category_uid"]}
+    values = {"activity": [number("parameters", "xstart"), number("parameters", "xend")], "event": [number("conditions", "time")], "actor_category": [F.col("actor_type_value").cast("double")]}
+    rows = lambda c, df: df.select(F.lit(c).alias("collection"), "uid", F.coalesce("name", F.lit("")).alias("name"), joined("tags").alias("tags"), F.concat_ws("|", *refs.get(c, [F.lit("")])).alias("refs"), *(v.alias(f"v{k + 1}") for k, v in enumerate([*values.get(c, []), *[F.lit(None).cast("double")] * 2][:2])))
+    return reduce(DataFrame.unionByName, (rows(c, df) for c, df in parts.items()))
 
 
 # Builders.
@@ -292,24 +315,56 @@ _CURVES = ((20.0, 21.0, 19.0, 22.0), (4.0, 8.0, 7.0, 5.0))
 _KNOTS = [0.0, 0.0, 0.0, 0.5, 1.0, 1.0, 1.0]
 
 
-def _grid(spark, d):
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_discount") * 10).alias("s"))
-
-
 @query(f"WITH x AS (SELECT *, l_discount * 10 AS s FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({_bspline(_CURVES[0], True)}, 6) AS state_dot FROM x")
 def state_dot_bspline(spark, d):
     p = parameters(knots=F.array(*map(F.lit, _KNOTS)), coefficients=F.array(*map(F.lit, [*_CURVES[0], 0.0, 0.0, 0.0])), degree=F.lit(2))
-    own = _grid(spark, d).withColumn("p", p)
-    return own.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(models.derivative(F.lit("Splines"), F.col("p"), F.col("s"))).alias("state_dot"))
+    own = q.on_curves(spark, d, p, models.with_pieces)
+    return own.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(models.derivative(F.lit("Splines"), F.col("p"), F.col("s"), F.col("pieces"))).alias("state_dot"))
 
 
 @query(f"WITH x AS (SELECT *, l_discount * 10 AS s FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({_bspline(_CURVES[0])}, 6) AS x, round({_bspline(_CURVES[1])}, 6) AS y, round({_bspline(_CURVES[1], True)}, 6) AS y_dot FROM x")
 def state_multi_splines(spark, d):
     rows = lambda v: F.array(*(F.array(*map(F.lit, x)) for x in v))
     p = F.struct(rows([_KNOTS] * 2).alias("knots"), rows([[*c, 0.0, 0.0, 0.0] for c in _CURVES]).alias("coefficients"), F.array(F.lit(2), F.lit(2)).alias("degree"))
-    own = _grid(spark, d).withColumn("p", p)
-    v, dot = models.multi_value(F.col("p"), F.col("s")), models.multi_value(F.col("p"), F.col("s"), slope=True)
-    return own.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(v[0]).alias("x"), r6(v[1]).alias("y"), r6(dot[1]).alias("y_dot"))
+    own = q.on_curves(spark, d, p, models.with_multi_pieces)
+    of = lambda k, slope=False: r6(models.piece_value(F.col("pieces")[k], F.col("s"), slope))
+    return own.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", of(0).alias("x"), of(1).alias("y"), of(1, True).alias("y_dot"))
+
+
+# Vector activities in the store: curves whose control points come from a line's numbers.
+_POINTS = (("x0", "x1", "x0 + 1", "x1 + 2"), ("x1", "x0", "3.0", "x0 + x1"))
+_VECTOR = f"""vector AS (SELECT act.*, state FROM act JOIN cat ON l_partkey = p_partkey WHERE modelname = 'Sinusoidal')"""
+
+
+def _with_vectors(catalog: Catalog) -> Catalog:
+    """The catalog with vector curves in place of its sinusoidal activities."""
+    x = F.from_json("parameters", "xstart double, xend double")
+    own = catalog["activity"].withColumns({"x0": x["xstart"], "x1": x["xend"]})
+    points = F.array(*(F.array(*map(F.expr, [*c, "0.0", "0.0", "0.0"])) for c in _POINTS))
+    p = F.struct(F.array(*[F.array(*map(F.lit, _KNOTS))] * 2).alias("knots"), points.alias("coefficients"), F.array(F.lit(2), F.lit(2)).alias("degree"))
+    curved = F.col("category_uid").cast("long") % 3 == 2
+    own = own.withColumn("parameters", F.when(curved, F.to_json(p)).otherwise(F.col("parameters"))).drop("x0", "x1")
+    model = catalog["model"].withColumn("modelname", F.when(F.col("uid") == "2", F.lit("MultiBSplines")).otherwise(F.col("modelname")))
+    return Catalog(catalog.frames | {"activity": own, "model": model})
+
+
+@query(f"""WITH {LIFT}, {_VECTOR}, x AS (SELECT uid, t0, t1, x0, x1, i / 4.0 AS s FROM vector CROSS JOIN (SELECT unnest(range(0, 5)) AS i) g)
+SELECT uid, s::DOUBLE AS s, round({_bspline(tuple(f"({p})" for p in _POINTS[0]))}, 6) AS x, round({_bspline(tuple(f"({p})" for p in _POINTS[1]))}, 6) AS y FROM x""")
+def store_vector_states(spark, d):
+    """Stored vector activities at five instants from start to end."""
+    own = _with_vectors(json_db.stored(lifted(spark, d))).hydrated("activity").select("uid", "modelname", "parameters", "t_start", "t_end")
+    return states.vector_states(own, 5).select("uid", "s", r6(F.col("state")[0]).alias("x"), r6(F.col("state")[1]).alias("y"))
+
+
+@query(f"""WITH {LIFT}, {_VECTOR}, asked AS (SELECT DISTINCT o AS scenario, actor, state FROM vector), moment AS (SELECT scenario, actor, state, i * 1.5 AS t FROM asked CROSS JOIN (SELECT unnest(range(0, 8)) AS i) g),
+hit AS (SELECT m.scenario, m.actor, m.state, m.t, v.pos, v.t0, v.t1, v.x0, v.x1, (m.t - v.t0) / nullif(v.t1 - v.t0, 0) AS s FROM moment m JOIN vector v ON v.o = m.scenario AND v.actor = m.actor AND v.state = m.state WHERE m.t BETWEEN v.t0 AND v.t1),
+top AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY scenario, actor, state, t ORDER BY pos DESC) = 1)
+SELECT scenario::VARCHAR AS scenario, actor::VARCHAR AS actor, state AS state_variable, t::DOUBLE AS t, round(({_bspline(tuple(f"({p})" for p in _POINTS[0]), True)}) / (t1 - t0), 8) AS x_dot, round(({_bspline(tuple(f"({p})" for p in _POINTS[1]), True)}) / (t1 - t0), 8) AS y_dot FROM top""")
+def store_vector_dots(spark, d):
+    """Derivatives of vector acts of whole scenarios at asked instants, the later act winning."""
+    acts = staged(states.with_vector_parameters(_with_vectors(json_db.stored(lifted(spark, d))).acts()))
+    out = states.scenario_states(acts, _instants(acts), dot=True, uncovered=False, vector=True)
+    return out.select("scenario", "actor", "state_variable", "t", F.round(F.col("state_dot")[0], 8).alias("x_dot"), F.round(F.col("state_dot")[1], 8).alias("y_dot"))
 
 
 _FLAT = f"WITH {q.SAMPLES} SELECT actor, 0.0::DOUBLE AS worst FROM samples GROUP BY actor HAVING max(t) > min(t)"
@@ -338,12 +393,12 @@ def spline3knots_residuals(spark, d):
 def splines_residuals(spark, d):
     own = models.normalised(q.samples(spark, d), ["actor"]).filter("s is not null")
     p = models.fit("Splines", q.samples(spark, d), ["actor"]).select("actor", parameters(knots=F.col("knots"), coefficients=F.col("coefficients"), degree=F.col("degree")).alias("p"))
-    return _residuals(own.join(p, "actor"), F.col("y") - models.value(F.lit("Splines"), F.col("p"), F.col("s")), _truncated(3, [0.25, 0.5, 0.75]))
+    return _residuals(own.join(models.with_pieces(p), "actor"), F.col("y") - models.value(F.lit("Splines"), F.col("p"), F.col("s"), F.col("pieces")), _truncated(3, [0.25, 0.5, 0.75]))
 
 
 @query(_FLAT)
 def multi_splines_residuals(spark, d):
     both = q.samples(spark, d).withColumn("y", F.array("y", F.col("y") * 2 + 1))
     p = models.fit("MultiBSplines", both, ["actor"], degree=2, n_knots=1).select("actor", F.struct("knots", "coefficients", "degree").alias("p"))
-    own = models.normalised(q.samples(spark, d), ["actor"]).filter("s is not null").join(p, "actor")
-    return _residuals(own, F.col("y") * 2 + 1 - models.multi_value(F.col("p"), F.col("s"))[1], _truncated(2, [0.5]))
+    own = models.normalised(q.samples(spark, d), ["actor"]).filter("s is not null").join(models.with_multi_pieces(p), "actor")
+    return _residuals(own, F.col("y") * 2 + 1 - models.piece_value(F.col("pieces")[1], F.col("s")), _truncated(2, [0.5]))
