@@ -80,6 +80,13 @@ def segment_runs(spark, d):
     return inside(spark, d).groupBy("actor", "run", "label", "t_start", "t_end").agg(F.count("*").alias("n")).select("actor", F.col("run").cast("long"), "label", r6("t_start").alias("t_start"), r6("t_end").alias("t_end"), "n")
 
 
+@query(f"WITH {INSIDE} SELECT actor, run, label, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, count(*) AS n FROM inside GROUP BY actor, run, label, t_start, t_end")
+def segment_runs_ranged(spark, d):
+    """As segment_runs, by a scan in two levels over ranges that cut through actors."""
+    out = segments.in_runs_ranged(samples(spark, d), 16).groupBy("actor", "run", F.col("run_label").alias("label"), "t_start", "t_end").agg(F.count("*").alias("n"))
+    return out.select("actor", "run", "label", r6("t_start").alias("t_start"), r6("t_end").alias("t_end"), "n")
+
+
 @query(f"WITH {INSIDE} SELECT actor, run, count(*) AS n, round(sum(y), 6) AS total FROM inside GROUP BY actor, run")
 def samples_in_runs(spark, d):
     """As segment_runs, by a join with runs that need not be the samples' own."""
