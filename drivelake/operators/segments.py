@@ -115,9 +115,10 @@ def _scan(actor: str, t: str, label: str):
     """A range's samples, in order, with the numbers and bounds of their runs as far as the range itself shows them."""
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        table = pa.Table.from_batches(batches)
         who, what = (pd.factorize(table[c].to_pandas(), use_na_sentinel=True)[0] for c in (actor, label))
         n = len(who)
         begins = np.r_[True, who[1:] != who[:-1]]

@@ -13,8 +13,8 @@ from ..functions import models
 from ..functions.vocabulary import TAGS
 from ..operators import builders, containment, states
 from ..operators.catalog import SCHEMAS, Catalog
-from ..sources import json_db
-from ..sources.staging import staged
+from ..sources import json_db, json_scan
+from ..sources.staging import new_folder, staged
 from . import queries as q
 from .queries import CATEGORIES, CLOSURE, FLAGS, OWN_TAGS, PRIORITY, _case, _map, parameters, query, r6, read
 
@@ -269,6 +269,20 @@ def json_full_shred(spark, d):
     return reduce(DataFrame.unionByName, (rows(c, df) for c, df in parts.items()))
 
 
+@query(f"""WITH {LIFT} SELECT '7' || lpad(actor::VARCHAR, 38, '0') AS uid, name, category_name, array_to_string(tags, ',') AS all_tags FROM person
+UNION ALL SELECT s_suppkey::VARCHAR, s_name, r_name, CASE WHEN s_acctbal > 5000 THEN 'Lighting_Day_Cloudy' ELSE '' END FROM supplier JOIN region ON s_nationkey % 5 = r_regionkey""")
+def load_json_db(spark, d):
+    """Actors and physical elements with their categories, written as one database file and loaded from it; actors' ids have 39
+    digits."""
+    c = lifted(spark, d)
+    long = c["actor"].withColumn("uid", F.concat(F.lit("7"), F.lpad("uid", 38, "0")))
+    path = new_folder(spark)
+    json_scan.write_json_db(Catalog(Catalog.empty(spark).frames | {"actor": long} | {k: c[k] for k in ("actor_category", "physical_element", "physical_element_category")}), path)
+    back = json_scan.load_json_db(spark, path)
+    own = lambda k: back.hydrated(k).select("uid", "name", "category_name", joined("all_tags").alias("all_tags"))
+    return own("actor").unionByName(own("physical_element"))
+
+
 # Builders.
 @query(f"WITH {LIFT} SELECT uid, t0 AS t_start, t1 AS t_end FROM a")
 def events_from_numbers(spark, d):
