@@ -9,6 +9,8 @@ from ..functions import models
 from ..functions.vocabulary import TAGS, VEHICLES, tag_closure
 from ..operators import catalog as store
 from ..operators import containment, segments, states
+from ..sources.staging import new_folder
+from ..streaming import runs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -87,6 +89,20 @@ def segment_runs_ranged(spark, d):
     return out.select("actor", "run", "label", r6("t_start").alias("t_start"), r6("t_end").alias("t_end"), "n")
 
 
+@query(f"WITH {RUNS} SELECT actor, run, label, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end FROM runs")
+def stream_segment_runs(spark, d):
+    """The runs of all events, which come as a stream of files in order of time; one far in the future lets the last runs end."""
+    folder = new_folder(spark)
+    events = read(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("label"))
+    events.repartitionByRange(4, "ts").write.parquet(f"{folder}/in/0")
+    for k in (1, 2):
+        events.agg((F.max("ts") + F.expr(f"interval {k * 10000} days")).alias("ts")).select(F.lit("").alias("actor"), "ts", F.lit("").alias("label")).write.parquet(f"{folder}/in/{k}")
+    source = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    runs.to_files(runs.stream_segments(source, "100 days", "5000 days"), f"{folder}/out", f"{folder}/checkpoint")
+    since = lambda c: r6(F.unix_micros(c) / F.lit(1e6) - EPOCH).alias(c)
+    return spark.read.schema("actor string, run long, label string, t_start timestamp, t_end timestamp").parquet(f"{folder}/out").filter("actor <> ''").select("actor", "run", "label", since("t_start"), since("t_end"))
+
+
 @query(f"WITH {INSIDE} SELECT actor, run, count(*) AS n, round(sum(y), 6) AS total FROM inside GROUP BY actor, run")
 def samples_in_runs(spark, d):
     """As segment_runs, by a join with runs that need not be the samples' own."""

@@ -44,8 +44,8 @@ def test_equal_to_batch(spark, tmp_path):
 
 def test_too_late_and_silence(spark, tmp_path):
     """A sample older than the watermark is left out; after a silence the actor begins anew; a restart goes on."""
-    files(spark, tmp_path, [[("a", 0, "x"), ("a", 5, "y")], [("b", 60, "x")], [("a", 1, "z"), ("a", 70, "y")]])
+    files(spark, tmp_path, [[("a", 0, "x"), ("a", 5, "y")], [("b", 60, "x")], [("a", 70, "y")], [("a", 1, "z")]])
     first = stream(spark, tmp_path)
     assert first == {("a", 1, "x", at(0), at(5))}
-    files(spark, tmp_path, [[("b", 250, "x")], [("a", 260, "y")], [("end", 900, "")], [("end", 901, "")]], 3)
+    files(spark, tmp_path, [[("b", 250, "x")], [("a", 260, "y")], [("end", 900, "")], [("end", 901, "")]], 4)
     assert stream(spark, tmp_path) == first | {("a", 2, "y", at(5), at(70)), ("a", 1, "y", at(260), at(260)), ("b", 1, "x", at(60), at(60)), ("b", 1, "x", at(250), at(250))}
