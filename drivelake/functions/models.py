@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 #: Every parameter that some model has; an activity's `parameters` is JSON with those of its model.
 PARAMETERS = "struct<xstart:double,xend:double,a1:double,b1:double,c1:double,d1:double,a2:double,b2:double,c2:double,d2:double,knots:array<double>,coefficients:array<double>,degree:int>"
 VECTOR_PARAMETERS = "struct<xstart:array<double>,knots:array<array<double>>,coefficients:array<array<double>>,degree:array<int>>"
@@ -354,3 +356,75 @@ def message_struct(parameters: Column) -> Column:
     """The fields that messages have, from a map of parameters."""
     fields = (x.split(":") for x in MESSAGE_PARAMETERS.removeprefix("struct<").removesuffix(">").split(","))
     return F.struct(*(parameters[f].cast(kind).alias(f) for f, kind in fields))
+
+
+def fit_nonlinear(df: DataFrame, keys: list[str], function: Callable[[dict[str, Column], Column], Column], start: dict[str, float | Column], t: str = "t", y: str = "y", rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
+    """keys, the parameters by name, rmse, rounds and converged: least squares for any function of parameters and time, for all
+    groups at once, by Gauss and Newton's steps with Levenberg and Marquardt's damping.
+
+    function makes a native column from columns of the parameters and t; start has a value, or a column of df that is the same
+    throughout a group, for each. A round evaluates the function and its differences at every sample where it lies and adds up
+    J'J and J'r natively; only these small sums, a row a group, are solved in Python and written for the next round. A step
+    that lowers the error is taken and the damping divided by ten, else undone and the damping multiplied. A group ends, as
+    converged, when a step moves no parameter by more than `tolerance` of its size or lowers the error by no more than that
+    share of it or of the values' own; and, marked as not converged, after `rounds` rounds, or when damping passes 1e12. Rows
+    with a null t or y don't count; a group without others has null parameters."""
+    names, m = list(start), len(start)
+    kinds = dict(df.dtypes)
+    own = df.withColumns({"_t": F.col(t).cast("double"), "_y": F.col(y).cast("double")}).filter("_t is not null and _y is not null")
+    first = df.groupBy(*keys).agg(F.array(*((F.first(v) if isinstance(v, Column) else F.lit(float(v))).cast("double") for v in start.values())).alias("p"))
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    state = f"{head}, p array<double>, tried array<double>, sums array<double>, damping double, n long, steps int, converged boolean"
+    now = staged(first.select(*keys, "p", F.col("p").alias("tried"), F.lit(None).cast("array<double>").alias("sums"), F.lit(1e-3).alias("damping"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("steps"), F.lit(None).cast("boolean").alias("converged")))
+    samples = staged(own.select(*keys, "_t", "_y"))
+    at = lambda p: function(dict(zip(names, p)), F.col("_t"))
+    tried = [F.col("tried")[k] for k in range(m)]
+    width = [F.greatest(F.abs(v), F.lit(1e-3)) * 1e-6 for v in tried]
+    slope = [(at([v + h if i == k else v for i, v in enumerate(tried)]) - at([v - h if i == k else v for i, v in enumerate(tried)])) / (2 * h) for k, h in enumerate(width)]
+    j, r = [F.col(f"_j{k}") for k in range(m)], F.col("_r")
+    # The error, the values' own size, J'r and the upper half of J'J.
+    sums = F.array(F.sum(r * r), F.sum(F.col("_y") * F.col("_y")), *(F.sum(x * r) for x in j), *(F.sum(j[i] * j[k]) for i in range(m) for k in range(i, m)))
+
+    def step(batches):
+        upper = np.triu_indices(m)
+        for pdf in batches:
+            rows = []
+            for x in pdf.to_dict("records"):
+                p, new, best = np.array(x["p"], float), x["new"], x["sums"]
+                done = True if new is None else None
+                if new is not None:
+                    new = np.array(new, float)
+                    better = np.isfinite(new).all() and (best is None or new[0] <= best[0])
+                    if better:
+                        moved, gained = np.array(x["tried"], float) - p, np.inf if best is None else best[0] - new[0]
+                        p, damping = np.array(x["tried"], float), max(x["damping"] / 10, 1e-12)
+                        small = best is not None and (np.abs(moved) <= tolerance * np.maximum(np.abs(p), tolerance)).all()
+                        done = True if small or gained <= tolerance * min(new[0], 1) or new[0] <= 1e-24 * new[1] else None
+                        best = new
+                    else:
+                        damping = x["damping"] * 10
+                        done = False if damping > 1e12 or best is None else None
+                    x["damping"] = damping
+                tried = p
+                if done is None:
+                    a = np.zeros((m, m))
+                    a[upper] = best[2 + m :]
+                    a = a + np.triu(a, 1).T
+                    tried = p + np.linalg.lstsq(a + x["damping"] * np.diag(np.maximum(np.diag(a), 1e-12)), best[2 : 2 + m], rcond=None)[0]
+                rows.append({**{k: x[k] for k in keys}, "p": p.tolist(), "tried": tried.tolist(), "sums": None if best is None else list(best), "damping": x["damping"], "n": int(x["count"]), "steps": x["steps"] + 1, "converged": done})
+            yield pd.DataFrame(rows)[[*keys, "p", "tried", "sums", "damping", "n", "steps", "converged"]]
+
+    ended = []
+    for _ in range(rounds):
+        here = samples.join(now.select(*keys, "tried"), keys).withColumns({"_r": F.col("_y") - at(tried), **{f"_j{k}": s for k, s in enumerate(slope)}})
+        got = here.groupBy(*keys).agg(sums.alias("new"), F.count("*").alias("count"))
+        now = staged(now.join(got, keys, "left").fillna(0, ["count"]).mapInPandas(step, state))
+        ended.append(now.filter("converged is not null"))
+        now = now.filter("converged is null")
+        if now.isEmpty():
+            break
+    out = now
+    for e in ended:
+        out = out.unionByName(e)
+    none = F.col("n") == 0
+    return out.select(*keys, *(F.when(~none, F.col("p")[k]).alias(c) for k, c in enumerate(names)), F.when(~none, F.sqrt(F.col("sums")[0] / F.col("n"))).alias("rmse"), F.col("steps").alias("rounds"), F.coalesce(F.col("converged") & ~none, F.lit(False)).alias("converged"))

@@ -273,6 +273,17 @@ def fit_shared_rmse(spark, d):
     return models.fit_shared(own.join(many, "actor"), ["actor"], [F.lit(1.0), F.col("t") / 86400]).select("actor", F.round("rmse", 4).alias("rmse"))
 
 
+@query(f"WITH {SAMPLES} SELECT actor, 3.0::DOUBLE AS level, (1 + count(*) % 3)::DOUBLE AS height, 1.5::DOUBLE AS turns, 0.4::DOUBLE AS phase, true AS converged FROM samples GROUP BY actor HAVING count(*) > 20")
+def fit_wave(spark, d):
+    """A wave over each actor's instants, whose level, height, turns and phase are found again."""
+    own = models.normalised(samples(spark, d), ["actor"]).join(samples(spark, d).groupBy("actor").count().filter("count > 20"), "actor")
+    wave = lambda p, s: p["level"] + p["height"] * F.sin(2 * F.pi() * p["turns"] * s + p["phase"])
+    known = {"level": F.lit(3.0), "height": (1 + F.col("count") % 3).cast("double"), "turns": F.lit(1.5), "phase": F.lit(0.4)}
+    own = own.withColumn("y", wave(known, F.col("s")))
+    out = models.fit_nonlinear(own, ["actor"], wave, {"level": 2.0, "height": 1.0, "turns": 1.4, "phase": 0.6}, t="s")
+    return out.select("actor", *(F.round(c, 4).alias(c) for c in known), "converged")
+
+
 @query(f"WITH {SAMPLES} SELECT actor, round(t, 6) AS t, round((t - min(t) OVER (PARTITION BY actor)) / nullif(max(t) OVER (PARTITION BY actor) - min(t) OVER (PARTITION BY actor), 0), 6) AS s FROM samples")
 def normalize_time(spark, d):
     return models.normalised(samples(spark, d), ["actor"]).select("actor", r6("t").alias("t"), r6("s").alias("s"))
