@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models
+from ..functions.sql import register_sql
 from ..functions.vocabulary import TAGS, VEHICLES, tag_closure
 from ..operators import catalog as store
 from ..operators import containment, segments, states
@@ -233,6 +234,16 @@ def grid_eval(spark, d):
     return out.select("actor", F.col("run").cast("long"), F.round(F.col("s") * 4).cast("long").alias("i"), r6("state").alias("state"))
 
 
+@query(SQL["grid_eval"])
+def grid_eval_sql(spark, d):
+    """As grid_eval, by a query in SQL over the registered functions."""
+    register_sql(spark)
+    own = inside(spark, d)
+    p = models.fit("Linear", own, KEYS).select(*KEYS, parameters(xstart=F.col("xstart"), xend=F.col("xend")).alias("p"))
+    acts = segments.segments(samples(spark, d)).join(p, KEYS).withColumn("modelname", F.lit("Linear"))
+    return spark.sql("SELECT actor, CAST(run AS BIGINT) AS run, CAST(i AS BIGINT) AS i, round(state_value(modelname, p, t), 6) AS state FROM {acts} AS a, LATERAL instants(0, 1, 5) AS g", acts=acts)
+
+
 def _acts(spark, d):
     own = inside(spark, d)
     p = models.fit("Linear", own, KEYS).select(*KEYS, parameters(xstart=F.col("xstart"), xend=F.col("xend")).alias("p"))
@@ -306,9 +317,12 @@ def _case(column: str, of: dict[str, str]) -> str:
     return "CASE " + column + "".join(f" WHEN '{k}' THEN '{v}'" for k, v in of.items()) + " END"
 
 
-@query(f"WITH {CLOSURE} SELECT sup, sub FROM closure")
+@query(f"WITH {CLOSURE}, f AS (SELECT {_case('l_returnflag', FLAGS)} AS tag FROM lineitem UNION SELECT {_case('l_linestatus', STATUS)} FROM lineitem UNION SELECT {_case('o_orderpriority', PRIORITY)} FROM orders) SELECT sup, sub FROM closure JOIN f ON sub = tag")
 def tag_closure_rows(spark, d):
-    return tag_closure(spark).select("sup", "sub")
+    """Each tag that lines and orders have, with those that cover it."""
+    li, o = read(spark, d, "lineitem"), read(spark, d, "orders")
+    some = li.select(_map("l_returnflag", FLAGS).alias("sub")).unionByName(li.select(_map("l_linestatus", STATUS).alias("sub"))).unionByName(o.select(_map("o_orderpriority", PRIORITY).alias("sub"))).distinct()
+    return tag_closure(spark).join(some, "sub").select("sup", "sub")
 
 
 @query(f"WITH {CLOSURE}, f AS (SELECT {_case('l_returnflag', FLAGS)} AS tag FROM lineitem UNION ALL SELECT {_case('l_linestatus', STATUS)} FROM lineitem) SELECT sup, count(*)::BIGINT AS n FROM f JOIN closure ON f.tag = closure.sub GROUP BY sup")
@@ -406,19 +420,27 @@ def comprises_reference(spark, d):
     return containment.contains(_categories(spark), _candidates(spark, d), "reference")
 
 
-_PAIRS = """WITH {c}, want(category, own_uid, tag) AS (VALUES {w}),
-need AS (SELECT category, own_uid, count(*) AS wanted FROM want GROUP BY ALL),
-hit AS (SELECT w.category, w.own_uid, o.category AS candidate, o.own_uid AS other_uid, count(DISTINCT w.tag) AS n FROM want w JOIN closure c ON w.tag = c.sup JOIN want o ON o.tag = c.sub GROUP BY ALL),
-edge AS (SELECT h.category, h.candidate, h.own_uid, h.other_uid FROM hit h JOIN need USING (category, own_uid) WHERE h.n = need.wanted),
-degree AS (SELECT category, candidate, own_uid, count(*) AS n, min(other_uid) AS one FROM edge GROUP BY ALL),
-size AS (SELECT category, count(*) AS n_own FROM need GROUP BY ALL),
-pair AS (SELECT d.category, d.candidate, count(*) AS objects, count(DISTINCT CASE WHEN d.n = 1 THEN d.one ELSE d.own_uid END) AS free FROM degree d GROUP BY ALL)
-SELECT p.category, p.candidate FROM pair p JOIN size s USING (category) WHERE p.objects = s.n_own AND p.free = s.n_own"""
+def part_categories(spark, d):
+    """Categories lifted from parts: of each brand what its small, middle and large parts show, of each type kinds above those."""
+    p = read(spark, d, "part").withColumn("k", F.col("p_size") % 3)
+    kinds = lambda some: F.element_at(F.array(*map(F.lit, some)), F.col("k") + 1)
+    own = p.select(F.col("p_brand").alias("owner"), kinds(FINE).alias("tag")).unionByName(p.filter("k < 2").select(F.concat(F.lit("all "), "p_type").alias("owner"), kinds(COARSE).alias("tag")))
+    return own.distinct().select("owner", F.lit("ActorCategory").alias("class"), F.concat_ws(":", "owner", "tag").alias("object_uid"), F.array("tag").alias("tags"))
+
+
+FINE, COARSE = ("RoadUserType_CategoryM_Bus", "RoadUserType_VRU_Cyclist", "RoadUserType_CategoryN_LCV"), ("RoadUserType_Vehicle", "RoadUserType_VRU")
+_LIFTED = "SELECT DISTINCT p_brand AS category, list_extract([{fine}], p_size % 3 + 1) AS tag FROM part UNION SELECT DISTINCT 'all ' || p_type, list_extract([{coarse}], p_size % 3 + 1) FROM part WHERE p_size % 3 < 2".format(fine=_LIST(FINE), coarse=_LIST(COARSE))
 
 
-@query(_PAIRS.format(c=CLOSURE, w=_WANTED))
+# Each object has one tag, all of a category differ, and neither of two kinds above others covers the other: so a category
+# includes another just where each of its objects covers some object there, and where one covers two or more, others can have
+# their own.
+@query(f"""WITH {CLOSURE}, want AS ({_LIFTED}), size AS (SELECT category, count(*) AS n FROM want GROUP BY category),
+hit AS (SELECT DISTINCT w.category, w.tag, o.category AS candidate FROM want w JOIN closure c ON w.tag = c.sup JOIN want o ON o.tag = c.sub),
+pair AS (SELECT category, candidate, count(*) AS n FROM hit GROUP BY ALL)
+SELECT p.category, p.candidate FROM pair p JOIN size s USING (category) WHERE p.n = s.n""")
 def includes_pairs(spark, d):
-    own = _categories(spark, with_own=False)
+    own = part_categories(spark, d)
     return containment.contains(own, own, "assignment")
 
 

@@ -98,10 +98,19 @@ def hydrate_scenario(spark, d):
     return h.select("uid", "t_start", "t_end", F.size("actors").cast("long").alias("n_actors"), pair("actors", "name", "category_name").alias("actors"), F.size("activities").cast("long").alias("n_activities"), pair("activities", "category_name", "modelname").alias("activities"), r6(busy).alias("busy"), names("physical_elements", "name").alias("elements"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {len(some)}::BIGINT, '" + ",".join(f"object {i}:{'+'.join(t)}" for i, t in enumerate(some)) + "')" for c, some in CATEGORIES.items()) + ") v(uid, n_actors, actors)")
+@query(f"""WITH {LIFT} SELECT category_name AS uid, count(*) AS n_activities, string_agg(p_partkey || ':' || modelname || ':' || state || ':' || status, ',' ORDER BY p_partkey::VARCHAR) AS activities,
+  (SELECT count(*) FROM nation) AS n_actors, (SELECT string_agg(n_name || ':' || CASE WHEN n_nationkey % 2 = 0 THEN 'RoadUserType_CategoryM_Minibus' ELSE 'RoadUserType_VRU_Pedestrian' END, ',' ORDER BY n_nationkey::VARCHAR) FROM nation) AS actors FROM cat GROUP BY category_name""")
 def hydrate_category(spark, d):
-    h = lifted(spark, d).hydrated("scenario_category")
-    return h.select("uid", F.size("actor_categories").cast("long").alias("n_actors"), joined(F.transform("actor_categories", lambda m: F.concat(m["name"], F.lit(":"), F.array_join(m["tags"], "+")))).alias("actors"))
+    """Scenario categories lifted from brands: a brand's parts as activity categories, all nations as actor categories."""
+    c = lifted(spark, d)
+    listed = lambda df: F.array_sort(F.collect_list(df))
+    nations = read(spark, d, "nation").agg(listed(F.col("n_nationkey").cast("string")).alias("actor_categories"))
+    brands = read(spark, d, "part").groupBy("p_brand").agg(listed(F.col("p_partkey").cast("string")).alias("activity_categories")).join(F.broadcast(nations))
+    own = _fill(brands.select(F.col("p_brand").alias("uid"), F.col("p_brand").alias("name"), "activity_categories", "actor_categories"), "scenario_category")
+    h = Catalog(c.frames | {"scenario_category": own}).hydrated("scenario_category")
+    did = joined(F.transform("activity_categories", lambda m: F.concat_ws(":", m["uid"], m["modelname"], m["state"], F.array_join(m["tags"], "+"))))
+    who = joined(F.transform("actor_categories", lambda m: F.concat(m["name"], F.lit(":"), F.array_join(m["tags"], "+"))))
+    return h.select("uid", F.size("activity_categories").cast("long").alias("n_activities"), did.alias("activities"), F.size("actor_categories").cast("long").alias("n_actors"), who.alias("actors"))
 
 
 @query(f"WITH {LIFT} SELECT uid, category_name, state, modelname, t0 AS t_start, t1 AS t_end, round(t1 - t0, 6) AS duration, tag || ',' || status AS all_tags FROM a JOIN cat ON l_partkey = p_partkey")

@@ -73,6 +73,21 @@ def test_model_of_ones_own(spark):
         del models.MODELS["Peak"]
 
 
+def test_functions_in_sql(spark):
+    """States and slopes are those of the columns' functions; what is no model raises."""
+    from drivelake.functions.sql import STATES, register_sql
+
+    register_sql(spark)
+    values = {"xstart": 2.0, "xend": 5.0, **{f"{c}{k}": float(i + k) for i, c in enumerate("abcd") for k in (1, 2)}}
+    p = spark.createDataFrame([(m, values) for m in STATES], "modelname string, v map<string,double>").select("modelname", F.from_json(F.to_json("v"), P).alias("p"))
+    out = spark.sql("SELECT modelname, p, t, state_value(modelname, p, t) AS a, state_slope(modelname, p, t) AS b FROM {p} AS p, LATERAL instants(-0.5, 1.5, 9) AS g", p=p)
+    got = out.select("a", "b", models.value(F.col("modelname"), F.col("p"), F.col("t")).alias("c"), models.derivative(F.col("modelname"), F.col("p"), F.col("t")).alias("d")).collect()
+    assert len(got) == 36 and all(math.isclose(r["a"], r["c"]) and math.isclose(r["b"], r["d"], abs_tol=1e-12) for r in got)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM instants(3, 4, 1)").collect()] == [(0, 3.0)]
+    with pytest.raises(Exception, match="Messages"):
+        spark.sql("SELECT state_value('Messages', p, 0.5) FROM {p}", p=p).collect()
+
+
 def test_spline_with_endpoints(spark):
     """With endpoints the curve goes through the values at the least and greatest time, in whatever order the rows come."""
     rows = [("k", i / 10, math.sin(3 * i / 10)) for i in range(11)]
