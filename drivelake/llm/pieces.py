@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import gc
 import re
 from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
@@ -175,16 +176,22 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         if model not in _loaded:
             _loaded[model] = Pieces(model)
         own = _loaded[model]
-        for b in batches:
-            for x in batch_pieces(b, "text", 2 << 20):
-                texts = [t or "" for t in x.column(1).to_pylist()]
-                ids = [own.encode(t) for t in texts]
-                decoded = [own.decode(i) for i in ids]
-                if check:
-                    for k in own.differing(texts, ids, decoded):
-                        raise RuntimeError(f"ids or text of {x.column(0)[k]} differ from the library's")
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
-        own.older = {}  # the worker may live on with other tasks
+        gc.disable()  # nothing here makes cycles, and collections would walk through all that is remembered
+        try:
+            for b in batches:
+                for x in batch_pieces(b, "text", 4 << 20):
+                    at: dict[str, int] = {}
+                    where = pa.array([at.setdefault(t or "", len(at)) for t in x.column(1).to_pylist()])
+                    texts = list(at)  # equal ones once
+                    ids = [own.encode(t) for t in texts]
+                    decoded = [own.decode(i) for i in ids]
+                    if check:
+                        for k in own.differing(texts, ids, decoded):
+                            raise RuntimeError(f"ids or text of {x.column(0)[where.index(k).as_py()]} differ from the library's")
+                    yield pa.RecordBatch.from_arrays([x.column(0), pa.array(ids, pa.list_(pa.int32())).take(where), pa.array(decoded, pa.string()).take(where)], ["doc_id", "ids", "decoded"])
+        finally:
+            gc.enable()
+            own.older = {}  # the worker may live on with other tasks
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
