@@ -152,13 +152,15 @@ def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", t
 
 
 def recognised(docs: DataFrame, model: Centroids | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs, unchanged, whose text is neither `und` nor too far from every centroid."""
+    """The rows of docs, unchanged and with all columns whatever their names, whose text is neither `und` (null, empty or
+    without a letter) nor too far from every centroid; without a model those with a letter. Repeated rows all stay or all
+    go; an empty table gives an empty one; very long texts are read whole."""
 
     def keep(batches):
         for b in batches:
             for x in pieces(b, text_col, *PIECE):
                 tf, letter = counts(x.column(x.schema.get_field_index(text_col)))
-                far = model.predict(tf)[2] if model else ~letter
+                far = model.predict(tf)[2] if model else np.zeros(len(tf), bool)
                 yield x.filter(pa.array(letter & ~far))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -174,6 +174,43 @@ def test_language_accuracy(spark):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.97
 
 
+def plain_trigrams(text):
+    """Counts of hashed trigrams, a byte at a time."""
+    code, b, out = [0], (text or "").encode(), Counter()
+    for k, c in enumerate(b):
+        upper = k and b[k - 1] == 0xC3 and 0x80 <= c <= 0x9E and c != 0x97
+        code.append(c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else c - 101 + 32 * bool(upper) if c >= 128 else 0)
+    code.append(0)
+    for x, y, z in zip(code, code[1:], code[2:]):
+        if y:
+            h = (x * 0x9E3779B1 ^ y * 0x85EBCA77 ^ z * 0xC2B2AE3D) * 0x27D4EB2F % 2**32
+            out[(h ^ h >> 15) % langid.DIM] += 1
+    return out
+
+
+def test_language_by_hand(spark):
+    """Each row's language and score by cosines with every centroid, computed text by text; and its rejection."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.fit(docs.filter("doc_id % 2 = 0"))
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "12 ..."), (-4, "ÄÖÜ straße"), (-5, "日本"), (-6, "a")], "doc_id long, text string")
+    every = docs.select("doc_id", "text").filter("doc_id < 300").unionByName(odd)
+    out = {r["doc_id"]: r for r in langid.identify(every, model).collect()}
+    for d in every.collect():
+        tf, got = plain_trigrams(d["text"]), out[d["doc_id"]]
+        if not any(c.isalpha() for c in d["text"] or ""):
+            assert (got["lang_pred"], got["score"], got["rejected"]) == ("und", 0.0, True)
+            continue
+        v = {k: math.log1p(n) * float(model.idf[k]) for k, n in tf.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * float(c[k]) for k, x in v.items()) / norm for c in model.centre]
+        assert math.isclose(got["score"], max(cos), abs_tol=1e-5) and max(c for c, o in zip(cos, model.owner) if model.langs[o] == got["lang_pred"]) > max(cos) - 1e-5
+        least = model.least[min(int(math.log2(sum(tf.values()))), 8)]
+        assert abs(max(cos) - least) < 1e-5 or got["rejected"] == (max(cos) < least)
+    kept = {r["doc_id"] for r in langid.recognised(every, model).collect()}
+    assert kept == {k for k, r in out.items() if not r["rejected"]}
+    assert {r["doc_id"] for r in langid.recognised(odd, None).collect()} == {-4, -5, -6}
+
+
 def test_line_dedup(spark):
     passage = "\n".join(f"line {k} of a passage that more than one of the documents has" for k in range(6))
     docs = [(1, f"one\n\n{passage}\nend"), (2, f"two\n{passage}\n \nlast"), (3, "one\nshort"), (4, "one\nother"), (5, f"x\n{passage}\ny\n{passage}"), (6, None), (7, "")]
