@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +13,8 @@ from .common import stored
 
 #: Bytes that end a piece become a line end, a tab a space.
 _CUT = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
-#: Rows of a block: an item's number and count, and in the block's first row the items in turn.
-WORDS = pa.schema([("block", pa.int64()), ("item", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("c", pa.int64()), ("stream", pa.binary())])
-PAIRS = pa.schema([("block", pa.int64()), ("item", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("c", pa.int64()), ("stream", pa.binary())])
-#: Blocks of a task are fewer than two to this power.
-BLOCK_BITS = 24
+BLOCK = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("stream", pa.binary())])
+PAIRS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("stream", pa.binary())])
 
 
 class _Numbers(dict):
@@ -41,20 +36,13 @@ def block_of(data: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [w.decode() for w in list(numbers)[2:]], np.bincount(ids[ids >= 0], minlength=len(numbers) - 2), ids
 
 
-def _rows(schema: pa.Schema, block: int, *columns, stream: np.ndarray | None) -> pa.RecordBatch:
-    n = len(columns[-1])
-    data = [np.full(n, block), np.arange(n), *columns, [None if stream is None else stream.tobytes(), *[None] * (n - 1)]]
-    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(data, schema)], schema=schema)
-
-
 def blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int) -> DataFrame:
-    """block, item, lang, word, c, stream: the texts in blocks of one language and about block_bytes, each with its own
-    numbering of words, a row for each. Long texts are cut between pieces."""
+    """lang, words, counts, stream: the texts in blocks of one language and about block_bytes, each with its own numbering of
+    words. Long texts are cut between pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
-        numbers = count(TaskContext.get().partitionId() << BLOCK_BITS)
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             data, at = b"\n".join(held.pop(lang)), 0
@@ -66,7 +54,7 @@ def blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int) -> D
                 words, counts, ids = block_of(data[at:to])
                 at = to + 1
                 if words:
-                    yield _rows(WORDS, next(numbers), [lang] * len(words), words, counts, stream=ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([lang], [words], [counts], [ids.tobytes()]), BLOCK)], schema=BLOCK)
 
         for b in batches:
             for lang, text in zip(b.column(0), b.column(1)):
@@ -81,7 +69,7 @@ def blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int) -> D
             yield from flush(lang)
 
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    return own.mapInArrow(run, "block long, item int, lang string, word string, c long, stream binary")
+    return own.mapInArrow(run, "lang string, words array<string>, counts array<long>, stream binary")
 
 
 def named_pairs(stream: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,58 +78,58 @@ def named_pairs(stream: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.n
     a, b = stream[:-1], stream[1:]
     ok = (a >= 0) & (b >= 0)
     ok[ok] = (names[a[ok]] >= 0) & (names[b[ok]] >= 0)
-    found, number, times = np.unique(a[ok].astype(np.int64) * len(names) + b[ok], return_inverse=True, return_counts=True)
+    found, number, count = np.unique(a[ok].astype(np.int64) * len(names) + b[ok], return_inverse=True, return_counts=True)
     out = np.full(len(a), -1, np.int32)
     out[ok] = number
-    return names[found // max(len(names), 1)], names[found % max(len(names), 1)], times, out
-
+    return names[found // max(len(names), 1)], names[found % max(len(names), 1)], count, out
 
-def frequent(level: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    """keys, f and id of the items of a level that occur min_count times or more in all; id is the item's global name."""
-    counted = level.groupBy(*keys).agg(F.sum("c").alias("f")).filter(F.col("f") >= min_count)
-    return stored(counted.withColumn("id", F.monotonically_increasing_id()), "zstd")
 
-
-def next_level(level: DataFrame, keys: list[str], named: DataFrame, last: bool) -> DataFrame:
-    """The blocks of one level as those of the next: items become pairs of adjacent items that have names; of the last level
-    without the pairs in turn. Only a block's distinct items meet the names, one row each, so that no item has more rows
-    than there are blocks."""
-    names = level.select("block", "item", *keys).join(named.select(*keys, "id"), keys).groupBy("block").agg(F.collect_list("item").alias("items"), F.collect_list("id").alias("ids"))
+def next_level(level: DataFrame, keys: list[str], names: DataFrame, last: bool) -> DataFrame:
+    """The blocks of one level as those of the next: items become pairs of items that have names. Only a block's distinct
+    items meet the names, one row each, so that no item has more rows than there are blocks."""
+    items = F.posexplode(F.arrays_zip(*(["words"] if keys == ["lang", "word"] else keys))).alias("item", "x")
+    x = F.col("x.words").alias("word") if keys == ["lang", "word"] else None
+    rows = level.select("block", "lang", items).select("block", "item", *(["lang", x] if x is not None else [F.col(f"x.{k}").alias(k) for k in keys]))
+    per_block = rows.join(names.select(*keys, "id"), keys).groupBy("block").agg(F.collect_list("item").alias("items"), F.collect_list("id").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, stream, items, ids in zip(*(b.column(i) for i in range(4))):
-                stream = np.frombuffer(stream.as_buffer(), np.int32)
-                name = np.full(int(stream.max()) + 1, -1, np.int64)
+            for block, lang, size, stream, items, ids in zip(*(b.column(i) for i in range(6))):
+                name = np.full(size.as_py(), -1, np.int64)
                 name[items.values.to_numpy()] = ids.values.to_numpy()
-                left, right, n, pairs = named_pairs(stream, name)
+                left, right, count, pairs = named_pairs(np.frombuffer(stream.as_buffer(), np.int32), name)
                 if len(left):
-                    yield _rows(PAIRS, block.as_py(), left, right, n, stream=None if last else pairs)
+                    rows = ([block.as_py()], [lang.as_py()], [left], [right], [count], [None if last else pairs.tobytes()])
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, PAIRS)], schema=PAIRS)
 
-    own = level.filter("stream is not null").select("block", "stream").join(names, "block")
-    return own.mapInArrow(run, "block long, item int, left long, right long, c long, stream binary")
+    own = level.select("block", "lang", F.size("counts").alias("size"), "stream").join(per_block, "block")
+    return own.mapInArrow(run, "block long, lang string, left array<long>, right array<long>, counts array<long>, stream binary")
 
 
-def named_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 8 << 20) -> tuple[list[DataFrame], DataFrame]:
+def named_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 4 << 20) -> tuple[list[DataFrame], DataFrame]:
     """For k = 1 to max_words a frame of the phrases of k words that occur min_count times or more, and the number of words of
     each language. A phrase has an id, f (its occurrences), phrase, the ids left and right of its first and last k - 1 words
     (parent pointers), and heads and tails, the occurrences of its first and last 1 to k - 1 words.
 
     A phrase of k words is a pair of adjacent phrases of k - 1, and is as rare as either at least; so only pairs of phrases
     that have a name are counted, in blocks and then globally, and those that are frequent get names of their own."""
-    level = stored(blocks(docs, text_col, lang_col, block_bytes), "zstd")
-    total = level.groupBy("lang").agg(F.sum("c").alias("n"))
-    none, keys = F.array().cast("array<bigint>"), ["lang", "word"]
-    named = frequent(level, keys, min_count)
-    out = [named.select("id", "lang", "f", F.col("word").alias("phrase"), none.alias("heads"), none.alias("tails"))]
+    level = stored(blocks(docs, text_col, lang_col, block_bytes).withColumn("block", F.monotonically_increasing_id()))
+    counted = level.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
+    counted = stored(counted)
+    total = counted.groupBy("lang").agg(F.sum("f").alias("n"))
+    none = F.array().cast("array<bigint>")
+    frequent = counted.filter(F.col("f") >= min_count)
+    out = [stored(frequent.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f", F.col("word").alias("phrase"), none.alias("heads"), none.alias("tails")))]
+    keys = ["lang", "word"]
     for k in range(2, max_words + 1):
-        level = next_level(level, keys, named, k == max_words)
-        level = level if k == max_words else stored(level, "zstd")
-        keys = ["left", "right"]
-        named = frequent(level, keys, min_count)
+        level = next_level(level, keys, out[-1], k == max_words)
+        level = level if k == max_words else stored(level)
+        pair = level.select(F.explode(F.arrays_zip("left", "right", "counts")).alias("x")).groupBy("x.left", "x.right").agg(F.sum("x.counts").alias("f")).filter(F.col("f") >= min_count)
         a = out[-1].select(F.col("id").alias("left"), "lang", F.concat("heads", F.array("f")).alias("heads"), F.col("phrase").alias("start"))
         b = out[-1].select(F.col("id").alias("right"), F.concat("tails", F.array("f")).alias("tails"), F.substring_index("phrase", " ", -1).alias("end"))
-        out.append(stored(named.join(a, "left").join(b, "right").select("id", "lang", "left", "right", "f", F.concat_ws(" ", "start", "end").alias("phrase"), "heads", "tails")))
+        pair = pair.join(a, "left").join(b, "right").select(F.monotonically_increasing_id().alias("id"), "lang", "left", "right", "f", F.concat_ws(" ", "start", "end").alias("phrase"), "heads", "tails")
+        out.append(stored(pair))
+        keys = ["left", "right"]
     return out, total
 
 
@@ -170,7 +158,7 @@ def best(rows: DataFrame, top: int, per_bucket: int = 100_000) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
 
 
-def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, top: int = 2000, contained_pct: int = 50, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 8 << 20) -> DataFrame:
+def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, top: int = 2000, contained_pct: int = 50, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 4 << 20) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases of 2 to max_words words that occur at least
     min_count times, by score, then a, both descending, then phrase in order of its bytes.
 
