@@ -317,12 +317,12 @@ def _case(column: str, of: dict[str, str]) -> str:
     return "CASE " + column + "".join(f" WHEN '{k}' THEN '{v}'" for k, v in of.items()) + " END"
 
 
-@query(f"WITH {CLOSURE}, f AS (SELECT {_case('l_returnflag', FLAGS)} AS tag FROM lineitem UNION SELECT {_case('l_linestatus', STATUS)} FROM lineitem UNION SELECT {_case('o_orderpriority', PRIORITY)} FROM orders) SELECT sup, sub FROM closure JOIN f ON sub = tag")
+@query(f"WITH {CLOSURE}, f AS (SELECT tag, count(*) AS n FROM (SELECT {_case('l_returnflag', FLAGS)} AS tag FROM lineitem UNION ALL SELECT {_case('l_linestatus', STATUS)} FROM lineitem UNION ALL SELECT {_case('o_orderpriority', PRIORITY)} FROM orders) x GROUP BY tag) SELECT sup, sub, coalesce(n, 0)::BIGINT AS n FROM closure LEFT JOIN f ON sub = tag")
 def tag_closure_rows(spark, d):
-    """Each tag that lines and orders have, with those that cover it."""
+    """The whole closure of tags: each tag with every one that it covers, and how many lines and orders have that one."""
     li, o = read(spark, d, "lineitem"), read(spark, d, "orders")
-    some = li.select(_map("l_returnflag", FLAGS).alias("sub")).unionByName(li.select(_map("l_linestatus", STATUS).alias("sub"))).unionByName(o.select(_map("o_orderpriority", PRIORITY).alias("sub"))).distinct()
-    return tag_closure(spark).join(some, "sub").select("sup", "sub")
+    some = li.select(_map("l_returnflag", FLAGS).alias("sub")).unionByName(li.select(_map("l_linestatus", STATUS).alias("sub"))).unionByName(o.select(_map("o_orderpriority", PRIORITY).alias("sub"))).groupBy("sub").agg(F.count("*").alias("n"))
+    return tag_closure(spark).join(some, "sub", "left").select("sup", "sub", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query(f"WITH {CLOSURE}, f AS (SELECT {_case('l_returnflag', FLAGS)} AS tag FROM lineitem UNION ALL SELECT {_case('l_linestatus', STATUS)} FROM lineitem) SELECT sup, count(*)::BIGINT AS n FROM f JOIN closure ON f.tag = closure.sub GROUP BY sup")
