@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,43 +55,65 @@ PIECES = "struct<starts:array<double>,c:array<array<double>>,d:array<array<doubl
 
 
 def power_form(knots: np.ndarray, coefficients: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """starts, c and d (see PIECES) of a B-spline. The derivative of a spline is one of the coefficients' differences, and c has
-    its values at each start over the factorials. Coefficients beyond the basis are ignored; an interval without length, which
-    no value falls in, has zeros."""
+    """starts, c and d (see PIECES) of a B-spline."""
+    starts, c, d = power_forms(knots, np.asarray(coefficients, float)[None], degree)
+    return starts, c[0], d[0]
+
+
+def power_forms(knots: np.ndarray, coefficients: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """starts, and c and d (see PIECES) of each of many B-splines on the same knots, a row of coefficients each. The derivative
+    of a spline is one of the coefficients' differences, and c has its values at each start over the factorials. Coefficients
+    beyond the basis are ignored; an interval without length, which no value falls in, has zeros."""
     n = len(knots) - degree - 1
     at = np.arange(degree, n)
-    c, t, w, factorial = np.zeros((len(at), degree + 1)), knots, np.asarray(coefficients[:n], float), 1.0
+    t, w, factorial = knots, coefficients[:, :n], 1.0
+    c = np.zeros((len(w), len(at), degree + 1))
     long = knots[at + 1] > knots[at]
     for k in range(degree + 1):
         if k:
-            gap = t[degree - k + 2 : degree - k + 2 + len(w) - 1] - t[1 : len(w)]
-            w = np.where(gap > 0, (degree - k + 1) * (w[1:] - w[:-1]) / np.where(gap > 0, gap, 1), 0)
+            m = w.shape[1]
+            gap = t[degree - k + 2 : degree - k + 2 + m - 1] - t[1:m]
+            w = np.where(gap > 0, (degree - k + 1) * (w[:, 1:] - w[:, :-1]) / np.where(gap > 0, gap, 1), 0)
             t, factorial = t[1:-1], factorial * k
         p = degree - k
         # de Boor's triangle at the start of each interval, for all of them at once.
-        d = np.stack([w[at - k - p + j] for j in range(p + 1)], 1)
+        d = np.stack([w[:, at - k - p + j] for j in range(p + 1)], 2)
         for r in range(1, p + 1):
             for j in range(p, r - 1, -1):
                 lo, hi = t[at - k + j - p], t[at - k + 1 + j - r]
                 a = np.where(hi > lo, (knots[at] - lo) / np.where(hi > lo, hi - lo, 1), 0)
-                d[:, j] = (1 - a) * d[:, j - 1] + a * d[:, j]
-        c[:, degree - k] = np.where(long, d[:, p] / factorial, 0)
-    return knots[at], c, c[:, :-1] * np.arange(degree, 0, -1) if degree else np.zeros((len(at), 1))
-
-
-def _spline_pieces(knots: pd.Series, coefficients: pd.Series, degree: pd.Series) -> pd.DataFrame:
-    """PIECES of each row's B-spline, null where a parameter is: once an activity, in place of a recursion at each instant."""
-    known: dict = {}
-
-    def one(t, c, p) -> tuple:
-        if t is None or c is None or p is None or p != p:
-            return None, None, None
-        key = (np.asarray(t, float).tobytes(), np.asarray(c, float).tobytes(), int(p))
-        if key not in known:
-            known[key] = tuple(x.tolist() for x in power_form(np.asarray(t, float), np.asarray(c, float), int(p)))
-        return known[key]
-
-    return pd.DataFrame([one(*x) for x in zip(knots, coefficients, degree)], columns=["starts", "c", "d"])
+                d[:, :, j] = (1 - a) * d[:, :, j - 1] + a * d[:, :, j]
+        c[:, :, degree - k] = np.where(long, d[:, :, p] / factorial, 0)
+    return knots[at], c, c[:, :, :-1] * np.arange(degree, 0, -1) if degree else np.zeros((len(c), len(at), 1))
+
+
+def _lists(values: pa.Array, size: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size), pa.int32()), values)
+
+
+def _pieces_of(knots: pa.Array, coefficients: pa.Array, degree: pa.Array) -> pa.Array:
+    """PIECES of each row's B-spline, null where a parameter is. Those on the same knots are put in powers together, and Arrow takes
+    their numbers as they lie."""
+    kind = pa.struct([("starts", pa.list_(pa.float64())), ("c", pa.list_(pa.list_(pa.float64()))), ("d", pa.list_(pa.list_(pa.float64())))])
+    ok = np.flatnonzero((knots.is_valid().to_numpy(False) & coefficients.is_valid().to_numpy(False) & degree.is_valid().to_numpy(False)).astype(bool))
+    if not len(ok):
+        return pa.nulls(len(knots), kind)
+    kt, kv = knots.offsets.to_numpy(), knots.values.to_numpy(False).astype(float)
+    ct, cv = coefficients.offsets.to_numpy(), coefficients.values.to_numpy(False).astype(float)
+    grouped: dict = {}
+    for i, p in zip(ok.tolist(), degree.take(pa.array(ok)).to_pylist()):
+        grouped.setdefault((kv[kt[i] : kt[i + 1]].tobytes(), p), []).append(i)
+    found, place, done = [], np.full(len(knots), -1), 0
+    for (raw, p), rows in grouped.items():
+        t, rows = np.frombuffer(raw), np.array(rows)
+        n = len(t) - p - 1
+        starts, c, d = power_forms(t, cv[ct[rows][:, None] + np.arange(n)], p)
+        k = len(starts)
+        some = [_lists(pa.array(np.tile(starts, len(rows))), k), *(_lists(_lists(pa.array(x.reshape(-1)), x.shape[2]), k) for x in (c, d))]
+        found.append(pa.StructArray.from_arrays(some, fields=list(kind)))
+        place[rows] = np.arange(done, done + len(rows))
+        done += len(rows)
+    return pa.concat_arrays(found).take(pa.array(place, mask=place < 0))
 
 
 def piece_value(pieces: Column, s: Column, slope: bool = False) -> Column:
@@ -102,22 +125,27 @@ def piece_value(pieces: Column, s: Column, slope: bool = False) -> Column:
 
 def with_pieces(df: DataFrame, p: str = "p") -> DataFrame:
     """df with `pieces`, the PIECES of the splines in its struct of parameters p, or null for other models."""
-    return df.withColumn("pieces", F.pandas_udf(_spline_pieces, PIECES)(F.col(f"{p}.knots"), F.col(f"{p}.coefficients"), F.col(f"{p}.degree")))
+    return df.withColumn("pieces", F.arrow_udf(_spline_pieces, PIECES)(F.col(f"{p}.knots"), F.col(f"{p}.coefficients"), F.col(f"{p}.degree")))
 
 
-def with_multi_pieces(df: DataFrame, p: str = "p") -> DataFrame:
-    """df with `pieces`, an array with the PIECES of each component of a vector model."""
-    return df.withColumn("pieces", F.pandas_udf(_multi_pieces, f"array<{PIECES}>")(F.col(f"{p}.knots"), F.col(f"{p}.coefficients"), F.col(f"{p}.degree")))
-
+def _spline_pieces(knots: pa.Array, coefficients: pa.Array, degree: pa.Array) -> pa.Array:
+    return _pieces_of(knots, coefficients, degree)
 
-def _multi_pieces(knots: pd.Series, coefficients: pd.Series, degree: pd.Series) -> pd.Series:
-    def one(t, c, p):
-        if t is None or c is None or p is None:
-            return None
-        each = (power_form(np.asarray(a, float), np.asarray(b, float), int(n)) for a, b, n in zip(t, c, p))
-        return [dict(zip(("starts", "c", "d"), (x.tolist() for x in v))) for v in each]
 
-    return pd.Series([one(*x) for x in zip(knots, coefficients, degree)])
+def with_multi_pieces(df: DataFrame, p: str = "p") -> DataFrame:
+    """df with `pieces`, an array with the PIECES of each component of a vector model."""
+    return df.withColumn("pieces", F.arrow_udf(_multi_pieces, f"array<{PIECES}>")(F.col(f"{p}.knots"), F.col(f"{p}.coefficients"), F.col(f"{p}.degree")))
+
+
+def _multi_pieces(knots: pa.Array, coefficients: pa.Array, degree: pa.Array) -> pa.Array:
+    """An array over each row's components; as many as the shortest of its three parameters has."""
+    ok = knots.is_valid().to_numpy(False).astype(bool) & coefficients.is_valid().to_numpy(False).astype(bool) & degree.is_valid().to_numpy(False).astype(bool)
+    own = [x.offsets.to_numpy() for x in (knots, coefficients, degree)]
+    size = np.where(ok, np.minimum.reduce([x[1:] - x[:-1] for x in own]), 0)
+    bounds = np.r_[0, np.cumsum(size)]
+    inner = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
+    each = [x.values.take(pa.array(np.repeat(o[:-1], size) + inner)) for x, o in zip((knots, coefficients, degree), own)]
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _pieces_of(*each), mask=pa.array(~ok))
 
 
 def _cubic(p: Column, side: str, s: Column) -> Column:

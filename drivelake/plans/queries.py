@@ -220,8 +220,9 @@ def state_bspline(spark, d):
 
 
 def on_curves(spark: SparkSession, d: str, p: Column, prepared) -> DataFrame:
-    """A curve for each part, put in powers once, and on it the lines of the part as instants."""
-    curves = prepared(read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), p.alias("p")))
+    """A curve for each part, put in powers once, and on it the lines of the part as instants. Curves are far larger than Spark takes
+    them to be from the table's size, so that they must not be sent to every task."""
+    curves = prepared(read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), p.alias("p"))).hint("merge")
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_discount") * 10).alias("s")).join(curves, "l_partkey")
 
 
