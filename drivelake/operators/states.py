@@ -32,20 +32,26 @@ def activity_states(activities: DataFrame, n: int = 100) -> DataFrame:
     return with_pieces(activities).select("*", s).withColumns({"state": of(value), "state_dot": of(derivative) / F.when(length != 0, length)}).drop("pieces")
 
 
-def scenario_states(acts: DataFrame, instants: DataFrame, dot: bool = False, uncovered: bool = True, vector: bool = False) -> DataFrame:
+def scenario_states(acts: DataFrame, instants: DataFrame | list[float], dot: bool = False, uncovered: bool = True, vector: bool = False) -> DataFrame:
     """scenario, actor, state_variable, t and state (or state_dot) for each instant.
 
     acts: scenario, actor, state_variable, act_pos, modelname, p, t_start, t_end; those without both ends are left out.
-    instants: scenario, actor, state_variable, t. Both ends of an act belong to it; where acts meet, the later in the
-    scenario's order wins. An instant that no act covers has NaN, or with uncovered=False no row. An actor without any act of
-    that variable has no row, nor has one none of whose acts covers any of the asked instants. With vector, p is that of
-    with_vector_parameters, the state an array over the components, and null where no act covers an instant.
+    instants: scenario, actor, state_variable, t; or a list of numbers, which are asked of every actor and variable with acts:
+    then each act gives its own instants, without a join, and what is shuffled grows with those covered. Both ends of an act
+    belong to it; where acts meet, the later in the scenario's order wins. An instant that no act covers has NaN, or with
+    uncovered=False no row. An actor without any act of that variable has no row, nor has one none of whose acts covers any of
+    the asked instants. With vector, p is that of with_vector_parameters, the state an array over the components, and null where no act covers an instant.
     """
     keys, name = ["scenario", "actor", "state_variable"], "state_dot" if dot else "state"
     known = acts.filter(F.col("t_start").isNotNull() & F.col("t_end").isNotNull()).select(*keys, "act_pos", "modelname", "p", "t_start", "t_end")
     known = (with_multi_pieces if vector else with_pieces)(known)
-    asked = instants.select(*keys, "t").distinct()
-    met = at_instants(asked, known, keys, "t", how="left" if uncovered else "inner")
+    given = not isinstance(instants, DataFrame)
+    if given:
+        every = F.array(*(F.lit(float(t)) for t in sorted(set(instants)))).cast("array<double>")
+        met = known.withColumn("t", F.explode(F.filter(every, lambda t: t.between(F.col("t_start"), F.col("t_end")))))
+    else:
+        asked = instants.select(*keys, "t").distinct()
+        met = at_instants(asked, known, keys, "t", how="left" if uncovered else "inner")
     s = normal_time(F.col("t"), F.col("t_start"), F.col("t_end"))
     length = F.col("t_end") - F.col("t_start")
     length = F.when(length != 0, length)
@@ -58,8 +64,13 @@ def scenario_states(acts: DataFrame, instants: DataFrame, dot: bool = False, unc
     won = met.groupBy(*keys, "t").agg(F.max_by(F.struct(v.alias("v")), "act_pos").alias("w"), F.count("act_pos").alias("n"))
     if not uncovered:
         return won.select(*keys, "t", F.col("w.v").alias(name))
-    some = won.filter("n > 0").select(*keys).distinct()
     none = F.lit(None) if vector else F.lit(float("nan"))
+    if given:
+        # An actor and a variable have no more rows here than there are instants.
+        per = won.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("t", F.struct("w.v")))).alias("found"))
+        at = per.select(*keys, F.explode(every).alias("t"), "found").withColumn("w", F.try_element_at("found", F.col("t")))
+        return at.select(*keys, "t", F.when(F.col("w").isNull(), none).otherwise(F.col("w.v")).alias(name))
+    some = won.filter("n > 0").select(*keys).distinct()
     return won.join(some, keys, "left_semi").select(*keys, "t", F.when(F.col("n") == 0, none).otherwise(F.col("w.v")).alias(name))
 
 

@@ -1,8 +1,11 @@
 """What keeps work in proportion to the input: whole results, and plans without steps that grow faster."""
 
-from oracle import SMALL
+from oracle import SMALL, spark_rows
+from pyspark.sql import functions as F
 
 from drivelake.functions.vocabulary import TAGS, covers
+from drivelake.operators import containment, states
+from drivelake.operators.catalog import append_missing
 from drivelake.plans import queries, store_queries
 
 
@@ -21,3 +24,52 @@ def test_curves_are_not_broadcast(spark):
     """A curve is hundreds of bytes a part, of which Spark's estimate from the table knows nothing."""
     for name in ("state_multi_splines", "state_dot_bspline", "state_bspline"):
         assert "Broadcast" not in plan(queries.QUERIES[name](spark, SMALL)), name
+
+
+def test_listed_instants(spark):
+    """Instants in a list give what a frame of them gives, without a join; later acts win, uncovered ones are NaN."""
+    acts = spark.createDataFrame([("s", "a", "SPEED", 0, "Linear", 0.0, 2.0, 0.0, 4.0), ("s", "a", "SPEED", 1, "Constant", 9.0, None, 4.0, 6.0), ("s", "b", "SPEED", 0, "Constant", 1.0, None, 50.0, 60.0), ("s", "c", "SPEED", 0, "Linear", 1.0, 2.0, 3.0, 3.0)], "scenario string, actor string, state_variable string, act_pos int, modelname string, x0 double, x1 double, t_start double, t_end double")
+    acts = acts.withColumn("p", queries.parameters(xstart=F.col("x0"), xend=F.col("x1"))).drop("x0", "x1")
+    ts = [3.0, 0.0, 4.0, 7.0, 3.0]
+    frame = acts.select("scenario", "actor", "state_variable").distinct().crossJoin(spark.createDataFrame([(t,) for t in ts], "t double"))
+    for uncovered in (True, False):
+        for dot in (True, False):
+            listed = states.scenario_states(acts, ts, dot, uncovered)
+            assert spark_rows(listed) == spark_rows(states.scenario_states(acts, frame, dot, uncovered)) and "Join" not in plan(listed)
+    assert len(spark_rows(states.scenario_states(acts, ts))) == 8
+
+
+def test_objects_by_sets(spark):
+    """Objects with one set of tags are decided once; tags from outside the vocabulary cover nothing, and count as asked."""
+    own = spark.createDataFrame([("c", "1", "RoadUserType_Vehicle"), ("c", "1", "Weather_Rain"), ("c", "2", "nowhere"), ("d", "1", "Weather_Rain")], "category string, own_uid string, tag string")
+    some = [("s", f"{k}", t) for k in range(3) for t in ("RoadUserType_CategoryM_Bus", "Weather_Rain_Light", "nowhere")] + [("t", "7", "Weather_Rain"), ("t", "7", "Weather_Rain")]
+    got = containment.covered(own, spark.createDataFrame(some, "candidate string, other_uid string, tag string"))
+    assert sorted(map(tuple, got.collect())) == sorted([(c, "s", "1", f"{k}") for c in "cd" for k in range(3)] + [("d", "t", "1", "7")])
+
+
+def test_signatures_are_short(spark):
+    """Tags are kept by number, others as they are, and come back as they were."""
+    tags = ["RoadUserType_CategoryM_Bus", "a,b;c:\u00e9", "x1"]
+    df = spark.createDataFrame([("o", "Actor", "1", 0, tags), ("o", "Scenario", "o", 0, ["Weather_Rain"]), ("p", "Actor", "1", 0, [])], "owner string, class string, object_uid string, pos int, tags array<string>")
+    sigs = containment.signatures(df, "reference")
+    assert max(len(r["objects"]) for r in sigs.collect()) < 60
+    back = {(r["class"], r["pos"]): set(r["tags"]) for r in containment.representatives(sigs.filter("owner = 'o'")).collect()}
+    assert back == {("Scenario", 0): {"Weather_Rain"}, ("Actor", 1): set(tags)}
+    assert [(r["class"], r["tags"]) for r in containment.representatives(sigs.filter("owner = 'p'")).collect()] == [("Scenario", [])]
+
+
+def test_appended_members(spark):
+    """Members stay as they are, also those there twice; a null name is no member's."""
+    members = spark.createDataFrame([("o", 0, "x"), ("o", 3, "x"), ("q", 5, "y"), ("q", 6, None)], "owner string, pos int, uid string")
+    acts = spark.createDataFrame([("o", 2, "z"), ("o", 1, "w"), ("o", 0, "x"), ("q", 0, None), ("r", 4, "k"), ("r", 4, "k")], "owner string, pos int, actor string")
+    out = append_missing(members, acts, "actor")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("o", 0, "x"), ("o", 3, "x"), ("o", 4, "w"), ("o", 5, "z"), ("q", 5, "y"), ("q", 6, None), ("q", 7, None), ("r", 0, "k")], key=str)
+    assert "Join" not in plan(out)
+
+
+def test_one_shuffle_of_lines(spark):
+    """Scenarios, activities and events come from orders that were put together with their lines once."""
+    c = store_queries.lifted(spark, SMALL)
+    for k in ("scenario", "activity", "event"):
+        assert "Exchange" not in plan(c[k]), k
+    assert "t_start" not in c.hydrated("activity", times=False).columns
