@@ -54,10 +54,21 @@ def first_of_each(rows: DataFrame, key: str = "uid", order: str = "pos") -> Data
 
 def append_missing(members: DataFrame, acts: DataFrame, column: str) -> DataFrame:
     """members (owner, pos, uid) and, after them, what the acts of an owner name and its members lack, in acts' order."""
-    named = acts.groupBy("owner", F.col(column).alias("uid")).agg(F.min("pos").alias("p")).join(members, ["owner", "uid"], "left_anti")
-    last = members.groupBy("owner").agg(F.max("pos").alias("m"))
-    w = Window.partitionBy("owner").orderBy("p")
-    return members.select("owner", "pos", "uid").unionByName(named.join(last, "owner", "left").select("owner", (F.coalesce("m", F.lit(-1)) + F.row_number().over(w)).alias("pos"), "uid"))
+    kind, none = dict(members.dtypes), F.lit(None)
+    pos = F.col("pos").cast(kind["pos"])
+    # A null name is no member's. All that is known of an owner meets once; no join and no other shuffle follows.
+    act = acts.select("owner", F.col(column).alias("uid"), none.cast(kind["pos"]).alias("pos"), pos.alias("p"), F.col(column).isNull().alias("lost"))
+    every = members.select("owner", "uid", "pos", none.cast(kind["pos"]).alias("p"), F.lit(False).alias("lost")).unionByName(act)
+    per = every.repartition(many_tasks(members.sparkSession), "owner").groupBy("owner", "uid", "lost").agg(F.collect_list("pos").alias("own"), F.min("p").alias("p"))
+    w = Window.partitionBy("owner")
+    new = F.coalesce(F.max(F.array_max("own")).over(w), F.lit(-1)) + F.row_number().over(w.orderBy(F.size("own") > 0, "p"))
+    return per.withColumn("new", new).select("owner", F.explode(F.when(F.size("own") > 0, F.transform("own", lambda x: x.cast("long"))).otherwise(F.array(F.col("new").cast("long")))).alias("pos"), "uid")
+
+
+def many_tasks(spark: SparkSession) -> int:
+    """A number of partitions for rows that are short and compress well: of these Spark would join many partitions into tasks of
+    one size on disk, whose rows need far more memory. A number that is given stays."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
 
 
 def resolve_acts(acts: DataFrame, actors: DataFrame, activities: DataFrame, strict: bool = False) -> DataFrame:

@@ -462,8 +462,9 @@ SELECT owner, count(*) AS n, count(*) FILTER (NOT own) AS added FROM (SELECT own
 def missing_members_append(spark, d):
     acts = _order_acts(spark, d)
     m = read(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("owner"), F.col("l_partkey").alias("uid")).agg(F.min("l_linenumber").alias("pos"))
-    every = store.append_missing(m, acts, "actor").join(m.select("owner", "uid", F.lit(1).alias("own")), ["owner", "uid"], "left")
-    return every.groupBy("owner").agg(F.count("*").alias("n"), (F.count("*") - F.count("own")).alias("added"))
+    # m has a member once, so that those of an owner that aren't its own were added.
+    every = store.append_missing(m, acts, "actor").select("owner", F.lit(1).alias("n"), F.lit(0).alias("own")).unionByName(m.select("owner", F.lit(0).alias("n"), F.lit(1).alias("own")))
+    return every.groupBy("owner").agg(F.sum("n").alias("n"), (F.sum("n") - F.sum("own")).alias("added"))
 
 
 def _customer_items(spark, d):
