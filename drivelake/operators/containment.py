@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vocabulary import tag_closure
+from ..functions.vocabulary import TAGS, tag_closure
+from ..sources.staging import staged
 
 
 def derived_actor_tags(actors: DataFrame, acts: DataFrame, activity_tags: DataFrame, kind: str = "Actor") -> DataFrame:
@@ -13,9 +14,10 @@ def derived_actor_tags(actors: DataFrame, acts: DataFrame, activity_tags: DataFr
 
     actors: owner, pos, uid, name, tags; acts: owner, actor, activity; activity_tags: activity, tags. Actors without tags
     are left out; of several with a name, the second and later get its number in the key."""
-    of_acts = acts.join(activity_tags, "activity").select(F.col("owner"), F.col("actor").alias("uid"), F.explode("tags").alias("tag"))
-    own = actors.select("owner", "uid", F.explode("tags").alias("tag"))
-    tags = own.unionByName(of_acts).groupBy("owner", "uid").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    of_acts = acts.join(activity_tags, "activity").select("owner", F.col("actor").alias("uid"), "tags")
+    # An act's tags stay together, so that a row an act is shuffled, not one a tag.
+    every = actors.select("owner", "uid", "tags").unionByName(of_acts).filter(F.size("tags") > 0)
+    tags = every.groupBy("owner", "uid").agg(F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("tags"))))).alias("tags")).filter(F.size("tags") > 0)
     w = Window.partitionBy("owner", "name").orderBy("pos")
     tagged = actors.select("owner", "pos", "uid", "name").join(tags, ["owner", "uid"]).withColumn("i", F.row_number().over(w))
     suffix = F.when(F.col("i") > 1, F.col("i").cast("string")).otherwise(F.lit(""))
@@ -35,9 +37,15 @@ def covered(own: DataFrame, candidate: DataFrame) -> DataFrame:
     with the closure of tags stands for the comparison of names."""
     wanted = own.groupBy("category", "own_uid").agg(F.count_distinct("tag").alias("wanted"))
     closure = tag_closure(own.sparkSession)
-    hits = own.join(F.broadcast(closure), own["tag"] == closure["sup"]).select("category", "own_uid", F.col("tag").alias("own_tag"), "sub").join(candidate, F.col("sub") == candidate["tag"])
-    n = hits.groupBy("category", "candidate", "own_uid", "other_uid").agg(F.size(F.collect_set("own_tag")).alias("n"))
-    return n.join(wanted, ["category", "own_uid"]).filter("n = wanted").select("category", "candidate", "own_uid", "other_uid")
+    # An object is decided by its set of tags: each set once, and what it has goes back to the objects. One shuffle, by
+    # candidate, also serves who groups the result by candidates.
+    objects = candidate.repartition("candidate").groupBy("candidate", "other_uid").agg(F.array_sort(F.collect_set("tag")).alias("set"))
+    sets = candidate.groupBy("candidate", "other_uid").agg(F.array_sort(F.collect_set("tag")).alias("set")).select("set").distinct()
+    hits = own.join(F.broadcast(closure), own["tag"] == closure["sup"]).select("category", "own_uid", F.col("tag").alias("own_tag"), "sub").join(sets.select("set", F.explode("set").alias("has")), F.col("sub") == F.col("has"))
+    n = hits.groupBy("category", "own_uid", "set").agg(F.size(F.collect_set("own_tag")).alias("n"))
+    # Written, as only then it is known whether the sets are few.
+    found = staged(n.join(wanted, ["category", "own_uid"]).filter("n = wanted").select("category", "own_uid", "set"))
+    return objects.join(found, "set").select("category", "candidate", "own_uid", "other_uid")
 
 
 def eliminate(rows: list[set[int]], columns: int) -> bool:
@@ -154,29 +162,42 @@ def objects(tags: DataFrame, kind: str) -> DataFrame:
 KINDS = ("Scenario", "Actor", "PhysicalElement")
 
 
+def _coded(tag: Column) -> Column:
+    """A tag as its place in the vocabulary; one from elsewhere as x and its letters' numbers."""
+    places = F.create_map(*(F.lit(x) for k, t in enumerate(TAGS) for x in (t, str(k))))
+    return F.coalesce(F.try_element_at(places, tag), F.concat(F.lit("x"), F.hex(tag)))
+
+
+def _decoded(code: Column) -> Column:
+    names = F.array(*map(F.lit, TAGS))
+    return F.when(code.startswith("x"), F.decode(F.unhex(F.substr(code, F.lit(2))), "UTF-8")).otherwise(F.try_element_at(names, code.cast("int") + 1))
+
+
 def signatures(tags: DataFrame, mode: str) -> DataFrame:
     """owner, sig, objects: what of an owner decides about it, for each owner of tags (see contains). objects has, by class, the
-    sets of tags of its objects, without their ids; in mode `reference` in the order of the steps, pos then id, else in order
-    of themselves. sig is a digest of it. Owners that differ in names, ids or numbers only share one."""
+    sets of tags of its objects, without their ids, as a short text (see representatives); in mode `reference` in the order of
+    the steps, pos then id, else in order of themselves. sig is a digest of it. Owners that differ in names, ids or numbers
+    only share one."""
     pos = F.col("pos").cast("long") if "pos" in tags.columns else F.lit(0).cast("long")
     kind = F.when(F.col("class").isin("Scenario", "ScenarioCategory"), 0).when(F.col("class").isin("Actor", "ActorCategory"), 1).when(F.col("class").isin("PhysicalElement", "PhysicalElementCategory"), 2)
-    tagged = F.when(kind.isNotNull() & (F.size("tags") > 0), F.struct(kind.alias("kind"), F.col("object_uid").alias("uid"), pos.alias("pos"), F.col("tags")))
+    tagged = F.when(kind.isNotNull() & (F.size("tags") > 0), F.struct(kind.alias("kind"), F.col("object_uid").alias("uid"), pos.alias("pos"), F.transform("tags", _coded).alias("tags")))
     # An owner's objects are those of one scenario or category. Rows of one object are one: its tags together, its least pos.
-    own = tags.groupBy("owner").agg(F.collect_list(tagged).alias("rows"))
+    own = tags.select("owner", tagged.alias("row")).groupBy("owner").agg(F.collect_list("row").alias("rows"))
     named = F.array_distinct(F.transform("rows", lambda r: F.struct(r["kind"], r["uid"])))
     of = lambda n: F.filter("rows", lambda r: (r["kind"] == n["kind"]) & r["uid"].eqNullSafe(n["uid"]))
     whole = F.transform(named, lambda n: F.struct(n["kind"].alias("kind"), F.array_min(F.transform(of(n), lambda r: r["pos"])).alias("pos"), n["uid"].alias("uid"), F.array_sort(F.array_distinct(F.flatten(F.transform(of(n), lambda r: r["tags"])))).alias("tags")))
-    plain = F.transform(F.array_sort(whole), lambda x: F.struct(x["kind"].alias("kind"), x["tags"].alias("tags")))
-    own = own.select("owner", (plain if mode == "reference" else F.array_sort(plain)).alias("objects"))
-    return own.select("owner", F.sha2(F.to_json("objects"), 256).alias("sig"), "objects")
+    plain = F.transform(F.array_sort(whole), lambda x: F.concat(x["kind"].cast("string"), F.lit(":"), F.array_join(x["tags"], ",")))
+    own = own.select("owner", F.array_join(plain if mode == "reference" else F.array_sort(plain), ";").alias("objects"))
+    return own.select("owner", F.sha2("objects", 256).alias("sig"), "objects")
 
 
 def representatives(sigs: DataFrame) -> DataFrame:
     """The rows of contains() for one owner of each signature, under the signature's name. One without objects has one row."""
-    one = sigs.groupBy("sig").agg(F.first("objects").alias("objects"))
-    x = one.select("sig", F.posexplode_outer("objects").alias("pos", "x"))
-    name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.kind") + 1)
-    return x.select(F.col("sig").alias("owner"), F.coalesce(name, F.lit(KINDS[0])).alias("class"), F.format_string("%08d", F.coalesce("pos", F.lit(0))).alias("object_uid"), F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("x.tags", F.array().cast("array<string>")).alias("tags"))
+    one = sigs.groupBy("sig").agg(F.max("objects").alias("objects"))
+    x = one.select("sig", F.posexplode(F.split("objects", ";")).alias("pos", "x"))
+    name = F.try_element_at(F.array(*map(F.lit, KINDS)), F.substr("x", F.lit(1), F.lit(1)).try_cast("int") + 1)
+    codes = F.filter(F.split(F.substr("x", F.lit(3)), ","), lambda c: c != "")
+    return x.select(F.col("sig").alias("owner"), F.coalesce(name, F.lit(KINDS[0])).alias("class"), F.format_string("%08d", "pos").alias("object_uid"), "pos", F.transform(codes, _decoded).alias("tags"))
 
 
 def contains(categories: DataFrame, candidates: DataFrame, mode: str = "reference", reflexive: bool = True) -> DataFrame:
@@ -189,8 +210,10 @@ def contains(categories: DataFrame, candidates: DataFrame, mode: str = "referenc
     answer with the pairs."""
     if mode not in ("reference", "assignment"):
         raise ValueError(mode)
-    own, other = signatures(categories, mode), signatures(candidates, mode)
-    found = decided(representatives(own), representatives(other), mode)
+    # Short texts, written once; every class of objects and the way back to the owners read them.
+    coded = lambda tags: staged(signatures(tags, mode).select("owner", "objects")).select("owner", F.sha2("objects", 256).alias("sig"), "objects")
+    own, other = coded(categories), coded(candidates)
+    found = decided(staged(representatives(own)), staged(representatives(other)), mode)
     found = found.join(own.select("sig", F.col("owner").alias("own")), found["category"] == F.col("sig")).drop("sig")
     found = found.join(other.select("sig", F.col("owner").alias("other")), found["candidate"] == F.col("sig"))
     found = found.select(F.col("own").alias("category"), F.col("other").alias("candidate"))
@@ -231,7 +254,7 @@ def derived_tags(catalog, collection: str = "scenario") -> DataFrame:
     plural = {"actor": "actor_categories" if full else "actors", "physical_element": "physical_element_categories" if full else "physical_elements"}
     df = catalog[collection]
     own = derived_own_tags(df.select(F.col("uid").alias("owner"), F.lit(0).cast("long").alias("pos"), "uid", "name", "tags"), f"Scenario{more}")
-    tagged = lambda c: catalog.hydrated(c).select("uid", "name", (F.col("tags") if full else F.col("all_tags")).alias("tags"))
+    tagged = lambda c: catalog.hydrated(c, times=False).select("uid", "name", (F.col("tags") if full else F.col("all_tags")).alias("tags"))
 
     def members(kind: str) -> DataFrame:
         some = df.select(F.col("uid").alias("owner"), F.posexplode(plural[kind]).alias("pos", "uid"))
