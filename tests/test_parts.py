@@ -4,9 +4,10 @@ import json
 import random
 from itertools import permutations
 
+from pyspark.sql import functions as F
 
 from drivelake.operators import containment
-from drivelake.operators.catalog import Catalog
+from drivelake.operators.catalog import SCHEMAS, Catalog
 from drivelake.sources import json_db
 
 
@@ -90,3 +91,49 @@ def test_matching():
     n = 2000
     assert containment.assignable([{i, i + 1} if i + 1 < n else {i} for i in range(n)], n)
     assert not containment.assignable([{i, min(i + 1, n - 1)} for i in range(n - 1)], n)
+
+
+def test_derived_tags_in_documents(spark):
+    """A document's derived tags come from its own parts, and are what the catalog's are: names that occur twice, missing
+    categories and models, acts of activities that aren't listed, actors without tags."""
+    named = "uid string, name string, tags array<string>"
+    frame = lambda more, *rows: spark.createDataFrame(list(rows), named + more)
+    full = {
+        "event": frame(", conditions string", ("e1", None, [], '{"time": 1}')), "model": frame(", description string, modelname string, default_options string", ("m", "m", [], "", "Linear", "{}")),
+        "activity_category": frame(", description string, model_uid string, state string", ("k", "k", ["cat"], "", "m", "SPEED"), ("l", "l", ["lost"], "", "none", "SPEED")),
+        "activity": frame(", start_uid string, end_uid string, category_uid string, parameters string", ("1", "x", ["a"], "e1", None, "k", "{}"), ("2", "y", ["b", "a"], "e1", "e1", "l", "{}"), ("3", "z", None, None, None, "k", "{}"), ("4", "far", ["c"], None, None, "k", "{}")),
+        "actor_category": frame(", description string, actor_type string, actor_type_value int", ("car", "car", [], "", "Vehicle", 1), ("van", "van", ["v", None], "", "Vehicle", 1)),
+        "physical_element_category": frame(", description string", ("wall", "wall", ["w"], "")),
+    }
+    actor = ", properties string, category_uid string, initial_states array<struct<state_variable:string,value:array<double>>>, desired_states array<struct<state_variable:string,value:array<double>>>"
+    full["actor"] = frame(actor, *((u, n, t, None, c, [], []) for u, n, t, c in (("p", "one", ["t"], "car"), ("q", "one", [], "car"), ("r", "one", ["u"], "van"), ("s", "two", [], "car"), ("t", "one", ["t"], "gone"))))
+    full["physical_element"] = frame(", properties string, category_uid string", *((u, n, t, None, c) for u, n, t, c in (("5", "same", ["f"], "wall"), ("6", "same", ["g"], "wall"), ("7", "other", [], "gone"))))
+    scenario = ", start_uid string, end_uid string, physical_elements array<string>, actors array<string>, activities array<string>, acts array<struct<actor:string,activity:string>>"
+    full["scenario"] = frame(scenario, ("A", "first", ["own"], "e1", "gone", ["5", "6", "7"], ["p", "q", "r", "s", "t", "p"], ["1", "2", "3"], [("q", "1"), ("q", "2"), ("p", "4"), ("s", "2"), ("t", "1"), ("r", "3"), ("none", "1")]), ("B", "bare", [], None, None, [], [], [], []), ("C", "null", ["own"], None, None, None, ["q"], ["1"], None))
+    category = ", description string, image string, physical_element_categories array<string>, actor_categories array<string>, activity_categories array<string>, acts array<struct<actor:string,activity:string>>"
+    full["scenario_category"] = frame(category, ("Z", "z", ["own"], "", "", ["wall"], ["car", "van"], ["k"], [("car", "k"), ("van", "l")]))
+    c = Catalog(Catalog.empty(spark).frames | full)
+    for collection in ("scenario", "scenario_category"):
+        docs = {r["uid"]: json.loads(r["doc"]) for r in json_db.full_document(c, collection).collect()}
+        want = {u: {} for u in docs}
+        for r in containment.derived_tags(c, collection).collect():
+            want[r["owner"]][r["key"]] = r["tags"]
+        assert {u: d["derived_tags"] for u, d in docs.items()} == want and any(want.values())
+    a = {r["uid"]: json.loads(r["doc"]) for r in json_db.full_document(c, "scenario").collect()}["A"]
+    assert (a["start"]["id"], a["end"], [x["id"] for x in a["activities"]], [x["id"] for x in a["actors"]]) == ("e1", None, ["1", "2", "3"], ["p", "q", "r", "s", "t", "p"])
+    assert a["derived_tags"]["one3::Actor"] == ["u", "v"] and len(a["derived_tags"]["one::Actor"]) == 3
+
+
+def test_few_shuffles_of_documents(spark):
+    """Parts of a scenario meet it in one shuffle, with no other for its derived tags; events without names aren't met at all."""
+    c = Catalog.empty(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        items = lambda k: spark.range(9).select(*(F.col("id").cast("string").alias(x) if x == "uid" else F.expr(f"if(id < 0, null, cast(null as {t}))").alias(x) for x, t in (f.split(" ", 1) for f in SCHEMAS[k].split(", "))))
+        c = Catalog({k: items(k) for k in c.frames})
+        assert n(json_db.full_document(c, "scenario")) <= 22
+        nameless = c["event"].withColumn("name", F.lit(None).cast("string"))
+        assert "Join" not in json_db.document(Catalog(c.frames | {"event": nameless, "activity_category": nameless}), "activity")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
