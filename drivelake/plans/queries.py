@@ -95,10 +95,12 @@ def stream_segment_runs(spark, d):
     """The runs of all events, which come as a stream of files in order of time; one far in the future lets the last runs end."""
     folder = new_folder(spark)
     events = read(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("label"))
-    events.repartitionByRange(4, "ts").write.parquet(f"{folder}/in/0")
+    # As many files as there are cores, so that neither writing nor reading them is left to a few tasks; half of them at a time.
+    files = max(4, spark.sparkContext.defaultParallelism)
+    events.repartitionByRange(files, "ts").write.parquet(f"{folder}/in/0")
     for k in (1, 2):
         events.agg((F.max("ts") + F.expr(f"interval {k * 10000} days")).alias("ts")).select(F.lit("").alias("actor"), "ts", F.lit("").alias("label")).write.parquet(f"{folder}/in/{k}")
-    source = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    source = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", (files + 1) // 2).parquet(f"{folder}/in")
     runs.to_files(runs.stream_segments(source, "100 days", "5000 days"), f"{folder}/out", f"{folder}/checkpoint")
     since = lambda c: r6(F.unix_micros(c) / F.lit(1e6) - EPOCH).alias(c)
     return spark.read.schema("actor string, run long, label string, t_start timestamp, t_end timestamp").parquet(f"{folder}/out").filter("actor <> ''").select("actor", "run", "label", since("t_start"), since("t_end"))

@@ -29,8 +29,9 @@ def stream_segments(samples: DataFrame, delay: str, silence: str, actor: str = "
         waiting, labels, run, now, since, until, seen = state.get if state.exists else ([], [], 0, None, None, None, -(2**63))
         pending = list(zip(waiting, labels))
         for f in frames:
-            new = zip(f["ts"].astype("datetime64[us]").astype("int64").tolist(), f["label"].where(f["label"].notna(), None).tolist())
-            pending += [x for x in new if x[0] > seen]
+            # An actor has few samples a batch, so that what counts is a call's own cost.
+            new = zip(f["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist(), f["label"].tolist())
+            pending += [(t, what if isinstance(what, str) else None) for t, what in new if t > seen]
         passed = state.getCurrentWatermarkMs() * 1000
         order = lambda x: (x[0], x[1] is not None, x[1] or "")  # noqa: E731  (nulls first, as in a sort)
         ready, pending = sorted((x for x in pending if x[0] <= passed), key=order), [x for x in pending if x[0] > passed]
@@ -52,7 +53,8 @@ def stream_segments(samples: DataFrame, delay: str, silence: str, actor: str = "
             state.update(([t for t, _ in pending], [x for _, x in pending], run, now, since, until, passed))
             wake = min((t for t, _ in pending), default=until + quiet if run else passed)
             state.setTimeoutTimestamp(max(wake // 1000, passed // 1000) + 1)
-        yield pd.DataFrame(out, columns=["actor", "run", "label", "t_start", "t_end"])
+        if out:
+            yield pd.DataFrame(out, columns=["actor", "run", "label", "t_start", "t_end"])
 
     found = own.groupBy("actor").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return found.select("actor", "run", "label", *(F.timestamp_micros(c).alias(c) for c in ("t_start", "t_end")))

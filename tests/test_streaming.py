@@ -3,9 +3,11 @@
 import datetime as dt
 import random
 
+from oracle import SMALL
 from pyspark.sql import functions as F
 
 from drivelake.operators import segments
+from drivelake.plans import queries
 from drivelake.streaming import runs
 
 SCHEMA = "actor string, ts timestamp, label string"
@@ -49,3 +51,12 @@ def test_too_late_and_silence(spark, tmp_path):
     assert first == {("a", 1, "x", at(0), at(5))}
     files(spark, tmp_path, [[("b", 250, "x")], [("a", 260, "y")], [("end", 900, "")], [("end", 901, "")]], 4)
     assert stream(spark, tmp_path) == first | {("a", 2, "y", at(5), at(70)), ("a", 1, "y", at(260), at(260)), ("b", 1, "x", at(60), at(60)), ("b", 1, "x", at(250), at(250))}
+
+
+def test_files_of_all_cores(spark, tmp_path, monkeypatch):
+    """Events are written and read by as many tasks as there are cores, and give the same runs."""
+    monkeypatch.setattr(queries, "new_folder", lambda spark: str(tmp_path))
+    got = queries.stream_segment_runs(spark, SMALL)
+    assert len(list((tmp_path / "in" / "0").glob("*.parquet"))) == spark.sparkContext.defaultParallelism
+    own = segments.segments(queries.samples(spark, SMALL))
+    assert got.count() == own.count()
