@@ -92,9 +92,11 @@ class Ids:
                 self.known[c] = data[a:b]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if any(c in t for c in ODD) else t.split() for t in texts]
+        own = list(dict.fromkeys(texts))  # equal ones once
+        chunks = [None if any(c in t for c in ODD) else t.split() for t in own]
         self.learn(set().union(*(c for c in chunks if c)))
-        return [self.encode(t) if c is None else b"".join(map(self.known.__getitem__, c)) for t, c in zip(texts, chunks)]
+        ids = {t: self.encode(t) if c is None else b"".join(map(self.known.__getitem__, c)) for t, c in zip(own, chunks)}
+        return [ids[t] for t in texts]
 
 
 _ids: dict[str, Ids] = {}

@@ -152,3 +152,16 @@ def test_a_tokenizer_that_splits_words(tmp_path):
     t.save(str(tmp_path / "t.json"))
     own = packing.Ids(str(tmp_path / "t.json"))
     assert own(["abc ab c", "abcc x"]) == [own.encode("abc ab c"), own.encode("abcc x")]
+
+
+def test_equal_texts_are_tokenized_once():
+    """Equal texts of a batch are encoded once, and each has its ids."""
+    import public_tokenizers
+
+    from drivelake.llm.packing import Ids
+
+    ids, asked = Ids(public_tokenizers.path("word_bpe_49k.json")), []
+    plain = ids.encode
+    ids.encode = lambda t: asked.append(t) or plain(t)
+    odd = "a\x1cb c"
+    assert ids([odd, "a b", "", odd, "a b"]) == [plain(t) for t in (odd, "a b", "", odd, "a b")] and asked == [odd]
