@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 
 import numpy as np
@@ -14,6 +16,33 @@ from .common import pieces, stored
 
 ODD = "\x1c\x1d\x1e\x1f"
 MARKS = ".,!|?;:#$%&*"
+#: A Latin-1 word and the marks after it. These letters are in every normal form, and lower case takes each to one letter.
+WORD = re.compile(f"([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]*)").fullmatch
+
+
+def bare(tokenizer) -> tuple:
+    """The tokenizer without its normal forms, whether these take words to lower case, and of each id whether it ends a word.
+    None in place of the tokenizer where its normal forms do more to Latin-1 words than that, or ids don't tell ends: they do in
+    a vocabulary with a mark of its own for the end of a word, in which every byte has a piece with the mark."""
+    from tokenizers import Tokenizer
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    rules = json.loads(tokenizer.to_str())
+    forms, model, vocab = rules["normalizer"] or {"type": "Sequence", "normalizers": []}, rules["model"], tokenizer.get_vocab()
+    forms = forms["normalizers"] if forms["type"] == "Sequence" else [forms]
+    kinds = {f["type"] for f in forms if f != {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}}
+    mark = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not mark or not all(isinstance(m, list) for m in model["merges"]) or not kinds <= {"NFC", "Lowercase"} or not all(c + mark in vocab for c in ByteLevel.alphabet()):
+        return None, False, None
+    ends = np.zeros(1 + max(vocab.values()), bool)
+    ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
+    rules["normalizer"] = None
+    out = Tokenizer.from_str(json.dumps(rules))
+    asked = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    # Without its own memory of words, as each is asked for once.
+    out.model = BPE(vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]], cache_capacity=0, **{k: model[k] for k in asked if model.get(k) is not None})
+    return out, "Lowercase" in kinds, ends
 
 
 class Ids:
@@ -28,6 +57,7 @@ class Ids:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.bare, self.lowers, self.ends = bare(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -43,21 +73,24 @@ class Ids:
     def learn(self, chunks: set[str]) -> None:
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        split, new = [], self.unknown(chunks)
+        split = []
         words, others = set(), set()
-        for c in new:
-            core = c.rstrip(MARKS)
-            if core.isascii() and core.isalpha():
-                words.add(core)
-                if len(core) < len(c):
-                    split.append((c, core))
-                    others.add(c[len(core) :])
-            else:
+        for c in self.unknown(chunks):
+            if not (m := WORD(c)):
                 others.add(c)
+                continue
+            core, tail = m.groups()
+            low = core.lower() if self.lowers else core
+            words.add(low)
+            if low != c:
+                split.append((c, low, tail))
+                if tail:
+                    others.add(tail)
         self.learn_words(list(self.unknown(words)))
         self.learn_others(list(self.unknown(others)))
-        for c, core in split:  # marks after letters are a token run of their own
-            self.known[c] = self.known[core] + self.known[c[len(core) :]]
+        known = self.known
+        for c, low, tail in split:  # marks after letters are a token run of their own
+            known[c] = known[low] + known[tail] if tail else known[low]
 
     def learn_others(self, chunks: list[str]) -> None:
         """ids of any chunks, many in one text with a bar between them; those with a bar of their own one by one."""
@@ -78,14 +111,19 @@ class Ids:
                 self.known[c] = np.array(x.ids, "<u4").tobytes()
 
     def learn_words(self, words: list[str]) -> None:
-        """ids of ASCII words, many in one text: each is one word to the tokenizer."""
+        """ids of Latin-1 words, many in one text: each is one word to the tokenizer. Where it can be told by the ids which end
+        a word, neither normal forms nor places are asked of it."""
         for i in range(0, len(words), 5000):
             some = words[i : i + 5000]
-            x = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, word = np.array(x.ids, "<u4"), np.array(x.word_ids)
+            if self.bare:
+                ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                cut = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            else:
+                x = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+                ids, word = np.array(x.ids, "<u4"), np.array(x.word_ids)
+                cut = (4 * np.flatnonzero(np.diff(word, prepend=-1, append=-1))).tolist()
             data = ids.tobytes()
-            cut = (4 * np.flatnonzero(np.diff(word, prepend=-1, append=-1))).tolist()
-            if len(cut) != len(some) + 1:  # not one word each to this tokenizer
+            if len(cut) != len(some) + 1 or cut[-1] != len(data):  # not one word each to this tokenizer
                 self.learn_others(some)
                 continue
             for c, a, b in zip(some, cut[:-1], cut[1:]):

@@ -165,3 +165,22 @@ def test_equal_texts_are_tokenized_once():
     ids.encode = lambda t: asked.append(t) or plain(t)
     odd = "a\x1cb c"
     assert ids([odd, "a b", "", odd, "a b"]) == [plain(t) for t in (odd, "a b", "", odd, "a b")] and asked == [odd]
+
+
+def test_words_in_any_case_are_learned_once():
+    """Latin-1 words are asked of the tokenizer once, in lower case and without the marks after them; ids stay the tokenizer's."""
+    import random
+
+    from drivelake.llm.packing import Ids
+    from drivelake.llm.queries import tokenizer_path
+
+    own, asked = Ids(tokenizer_path()), []
+    plain = own.learn_words
+    own.learn_words = lambda words: (asked.extend(words), plain(words))
+    texts = ["Größe größe, GRÖSSE grösse!! Größe.", "größe don't ÀÉ àé;", "Ā Σς İx ﬁ x́ ª1 a×b"]
+    assert own(texts) == [own.encode(t) for t in texts]
+    assert sorted(asked) == sorted(["größe", "grösse", "àé"])
+    r = random.Random(3)
+    letters = "abzAZßÀéÿªµº×÷ĀΣσςİ̇́'s.,!|?;:#$%&*19 \x1c日"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(1, 40))) for _ in range(5000)]
+    assert own(texts) == [own.encode(t) for t in texts]
