@@ -82,3 +82,30 @@ def test_rows_that_differ_are_found(own):
     assert own.differing(texts, ids, texts) == []
     assert own.differing(texts, [ids[0], [5], ids[2][::-1]], texts) == [1, 2]
     assert own.differing(texts, ids, ["one two", "", "tree of them"]) == [2]
+
+
+def test_chunks_are_compared_once():
+    """Each chunk is compared with the library when it is merged; a wrong one, or a text that isn't its own, has texts compared whole."""
+    own, seen = pieces.Pieces(tokenizer_path(PIECES)), []
+    plain = own.differing
+    own.differing = lambda texts, *rest: seen.extend(texts) or plain(texts, *rest)
+
+    def some(texts, spoil=lambda text: text):
+        own.merged = []
+        seen.clear()
+        ids = [own.encode(t) for t in texts]
+        return own.suspect(texts, ids, [spoil(own.decode(i)) for i in ids])
+
+    assert some([t or "" for t in TEXTS]) == [] and sum(map(len, seen)) < sum(len(t or "") for t in TEXTS)
+    assert some(["word word", " a  b"]) == [] and seen == []
+    assert some(["word", "", "a b"], str.upper) == [0, 2]
+    own.merging = lambda chunk: own.agenda(chunk)[::-1]
+    assert some(["word word", "unheard things"]) == [0, 1]
+
+
+def test_short_chunks_merge_as_the_agenda_has_it(own):
+    r = random.Random(8)
+    signs, some = "abeéß日本x😀.,'thein\r　", sorted(own.rank)
+    for n in range(4000):
+        chunk = "".join(r.choice(signs if n % 2 else some) for _ in range(r.randrange(1, 90)))
+        assert own.merging(chunk) == own.agenda(chunk), repr(chunk)
