@@ -17,6 +17,18 @@ BLOCK = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("co
 PAIRS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("stream", pa.binary())])
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """How many ids there are and their bytes, the lowest of all first, in zstd: a stream is written and shuffled once a level."""
+    planes = np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(ids).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
+
+
 class _Numbers(dict):
     """Numbers words as they are asked for."""
 
@@ -54,7 +66,7 @@ def blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int) -> D
                 words, counts, ids = block_of(data[at:to])
                 at = to + 1
                 if words:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([lang], [words], [counts], [ids.tobytes()]), BLOCK)], schema=BLOCK)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([lang], [words], [counts], [packed(ids)]), BLOCK)], schema=BLOCK)
 
         for b in batches:
             for lang, text in zip(b.column(0), b.column(1)):
@@ -97,9 +109,9 @@ def next_level(level: DataFrame, keys: list[str], names: DataFrame, last: bool)
             for block, lang, size, stream, items, ids in zip(*(b.column(i) for i in range(6))):
                 name = np.full(size.as_py(), -1, np.int64)
                 name[items.values.to_numpy()] = ids.values.to_numpy()
-                left, right, count, pairs = named_pairs(np.frombuffer(stream.as_buffer(), np.int32), name)
+                left, right, count, pairs = named_pairs(unpacked(stream.as_py()), name)
                 if len(left):
-                    rows = ([block.as_py()], [lang.as_py()], [left], [right], [count], [None if last else pairs.tobytes()])
+                    rows = ([block.as_py()], [lang.as_py()], [left], [right], [count], [None if last else packed(pairs)])
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, PAIRS)], schema=PAIRS)
 
     own = level.select("block", "lang", F.size("counts").alias("size"), "stream").join(per_block, "block")

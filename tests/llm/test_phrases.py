@@ -92,6 +92,16 @@ def test_block():
     assert (left.tolist(), right.tolist(), n.tolist(), pairs.tolist()) == ([70, 80], [80, 70], [2, 1], [0, 1, 0, -1, -1, -1])
 
 
+def test_streams_are_short(spark):
+    """A block's stream comes back as it was, in less than half of its four bytes a word."""
+    for ids in ([-1], [0, 70_000, -1, 2**31 - 1], np.random.default_rng(1).zipf(1.5, 50_000).clip(max=90_000)):
+        assert phrases.unpacked(phrases.packed(np.array(ids, np.int32))).tolist() == list(ids)
+    r = random.Random(9)
+    docs = frame(spark, [(" ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(500)), "en") for _ in range(100)], 1)
+    for b in phrases.blocks(docs, "text", "lang", 4 << 20).collect():
+        assert len(b["stream"]) < 2 * sum(b["counts"])
+
+
 def test_empty(spark):
     assert phrases.collocations(spark.createDataFrame([], DOCS)).collect() == []
     assert phrases.collocations(frame(spark, [("one two", "en")] * 9)).collect() == []
