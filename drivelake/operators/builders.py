@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from .catalog import append_missing
 
 
-def uid_of(*columns: Column | str) -> Column:
-    """An id made from what it stands for, so that reruns give the same: 60 bits of a SHA-256, as decimal text."""
-    return F.conv(F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, 15), 16, 10)
+def _number(t: str) -> Column:
+    """The number as a double; -0.0 is 0.0."""
+    return F.col(t).cast("double") + F.lit(0.0)
+
+
+def event_uid(uid: str, t: str) -> Column:
+    """The id of an item's event at a number: both as text, so that reruns give the same, and no two of different items or
+    numbers are equal."""
+    return F.when(F.col(t).isNotNull(), F.concat_ws(":", F.col(uid).cast("string"), _number(t).cast("string")))
 
 
 def events_at(df: DataFrame, times: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """df with a uid for each number of a time, and the events that these stand for. times: column of numbers, by the name of
     the uid's column. A null number has no event; equal numbers of one item share one."""
-    out = df
-    for uid, t in times.items():
-        out = out.withColumn(uid, F.when(F.col(t).isNotNull(), uid_of("uid", F.col(t).cast("double").alias("time"))))
-    each = F.explode(F.array(*(F.struct(F.col(u).alias("uid"), F.col(t).cast("double").alias("time")) for u, t in times.items()))).alias("e")
+    out = df.withColumns({uid: event_uid("uid", t) for uid, t in times.items()})
+    each = F.explode(F.array(*(F.struct(F.col(u).alias("uid"), _number(t).alias("time")) for u, t in times.items()))).alias("e")
     events = out.select(each).select("e.*").filter("uid is not null").distinct()
     return out, events.select("uid", F.lit("").alias("name"), F.array().cast("array<string>").alias("tags"), F.to_json(F.struct("time")).alias("conditions"))
 

@@ -4,8 +4,8 @@ from oracle import SMALL, spark_rows
 from pyspark.sql import functions as F
 
 from drivelake.functions.vocabulary import TAGS, covers
-from drivelake.operators import containment, states
-from drivelake.operators.catalog import append_missing
+from drivelake.operators import builders, containment, states
+from drivelake.operators.catalog import Catalog, append_missing, time_of
 from drivelake.plans import queries, store_queries
 
 
@@ -73,3 +73,29 @@ def test_one_shuffle_of_lines(spark):
     for k in ("scenario", "activity", "event"):
         assert "Exchange" not in plan(c[k]), k
     assert "t_start" not in c.hydrated("activity", times=False).columns
+
+
+def test_events_from_numbers(spark):
+    """Items meet their events by two joins alone; what the empty catalog had is no part of the plan, and no id is hashed."""
+    p = plan(store_queries.events_from_numbers(spark, SMALL))
+    assert p.count("LeftOuter") == 2 and not any(x in p for x in ("LeftAnti", "Union", "sha2")), p
+    assert all("LocalTableScan <empty>" in plan(df) for df in Catalog.empty(spark).frames.values())
+
+
+def test_ids_of_events(spark):
+    """An event has one id for each item and number, and no other; times come back as they were, also of unusual numbers."""
+    nan, far = float("nan"), 1704067200.123456
+    rows = [("a", 1.0, 11.0), ("a:1", 1.0, 1.0), ("b", -0.0, 0.0), ("c", None, nan), ("d", far, 1e300), ("", 2.0, float("inf")), ("a", 1.0, 11.0), (None, 5.5, None)]
+    own, events = builders.events_at(spark.createDataFrame(rows, "uid string, t0 double, t1 double"), {"start_uid": "t0", "end_uid": "t1"})
+    assert events.count() == events.select("uid").distinct().count() == 10
+    back = Catalog.empty(spark).add("event", events)._times(own)
+    assert back.columns == ["end_uid", "start_uid", "uid", "t0", "t1", "t_start", "t_end"]
+    assert spark_rows(back.select("uid", "t_start", "t_end")) == spark_rows(own.select("uid", F.col("t0").alias("t_start"), F.col("t1").alias("t_end")))
+
+
+def test_time_of_conditions(spark):
+    """What the pattern reads and what it leaves to the JSON parser give the same times."""
+    some = ['{"time":3.9}', '{"time":-0.0}', '{"time":1.704067200123456E9}', '{"time":1.0E-5}', '{"time":7}', '{"time": 7}', '{"time":"3.5"}', '{"time":"NaN"}', '{"time":null}', '{"time":1,"x":2}', '{"x":1,"time":2}', '{"time":1d}', '{"time":01}', '{"time":3.9}\n', '{"time":12345678901234567890}', "{}", "", "no", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(some)], "i int, conditions string")
+    got = df.select("i", time_of("conditions").alias("t"), F.get_json_object("conditions", "$.time").cast("double").alias("by_parser")).collect()
+    assert [str(r["t"]) for r in got] == [str(r["by_parser"]) for r in got]
