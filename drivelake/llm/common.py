@@ -33,16 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def store(df: DataFrame) -> str:
+#: For rows of megabytes: a row group ends after so few rows, as readers take up to 4096 of a row group at once, whatever their size.
+LARGE_ROWS = {"parquet.block.row.count.limit": "4"}
+
+
+def store(df: DataFrame, **options: str) -> str:
     """Where df has been written as Parquet, in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: lineage ends there, and lost executors lose nothing."""
-    return df.sparkSession.read.schema(df.schema).parquet(store(df))
+def stored(df: DataFrame, large_rows: bool = False) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again: lineage ends there, and lost executors lose nothing. With
+    large_rows, memory to read it doesn't grow with the rows that a task wrote."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, **(LARGE_ROWS if large_rows else {})))
 
 
 def part(column: str | Column, n: int) -> Column:

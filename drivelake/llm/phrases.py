@@ -125,7 +125,7 @@ def named_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, text
 
     A phrase of k words is a pair of adjacent phrases of k - 1, and is as rare as either at least; so only pairs of phrases
     that have a name are counted, in blocks and then globally, and those that are frequent get names of their own."""
-    level = stored(blocks(docs, text_col, lang_col, block_bytes).withColumn("block", F.monotonically_increasing_id()))
+    level = stored(blocks(docs, text_col, lang_col, block_bytes).withColumn("block", F.monotonically_increasing_id()), large_rows=True)
     counted = level.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
     counted = stored(counted)
     total = counted.groupBy("lang").agg(F.sum("f").alias("n"))
@@ -135,7 +135,7 @@ def named_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, text
     keys = ["lang", "word"]
     for k in range(2, max_words + 1):
         level = next_level(level, keys, out[-1], k == max_words)
-        level = level if k == max_words else stored(level)
+        level = level if k == max_words else stored(level, large_rows=True)
         pair = level.select(F.explode(F.arrays_zip("left", "right", "counts")).alias("x")).groupBy("x.left", "x.right").agg(F.sum("x.counts").alias("f")).filter(F.col("f") >= min_count)
         a = out[-1].select(F.col("id").alias("left"), "lang", F.concat("heads", F.array("f")).alias("heads"), F.col("phrase").alias("start"))
         b = out[-1].select(F.col("id").alias("right"), F.concat("tails", F.array("f")).alias("tails"), F.substring_index("phrase", " ", -1).alias("end"))

@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from drivelake.llm import phrases
+from drivelake.llm import common, phrases
 
 DOCS = "doc_id long, text string, lang string, word string, id int"
 
@@ -106,3 +107,21 @@ def test_empty(spark):
     assert phrases.collocations(spark.createDataFrame([], DOCS)).collect() == []
     assert phrases.collocations(frame(spark, [("one two", "en")] * 9)).collect() == []
     assert phrases.collocations(frame(spark, [("one two", "en")] * 10)).select(F.col("phrase")).collect()[0][0] == "one two"
+
+
+def test_levels_are_read_a_few_blocks_at_a_time(spark, monkeypatch):
+    """Readers take up to 4096 rows of a row group at once, so a level's row groups have few blocks, however many a task writes."""
+    levels = []
+
+    def stored(df, **options):
+        out = common.stored(df, **options)
+        levels.extend([out] if "stream" in df.columns else [])
+        return out
+
+    monkeypatch.setattr(phrases, "stored", stored)
+    docs = spark.createDataFrame([("a b c d e. " * 40, "en")] * 60, "text string, lang string").coalesce(1)
+    names, _ = phrases.named_phrases(docs, block_bytes=400)
+    assert sorted((r["phrase"], r["f"]) for r in names[2].collect()) == [("a b c", 2400), ("b c d", 2400), ("c d e", 2400)]
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for df in levels for f in df.inputFiles()]
+    assert len(levels) == 2 and sum(m.num_rows for m in files) > 60
+    assert max(m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)) <= 4
