@@ -90,16 +90,26 @@ def time_of(conditions: str) -> Column:
     return F.coalesce(F.regexp_extract(conditions, _ONLY_TIME, 1).try_cast("double"), F.get_json_object(conditions, "$.time").cast("double"))
 
 
+def first_with(items: str, uid: Column) -> Column:
+    """The first of an array of items that has that uid; null where there is none."""
+    return F.get(F.filter(items, lambda x: x["uid"] == uid), 0)
+
+
 def by_name(members: DataFrame, name: str) -> DataFrame:
     """Each owner's first member of that name."""
     return first_of_each(members.filter(F.col("name") == name), "owner", "pos")
 
 
 class Catalog:
-    """Ten frames, one for each collection. Every change gives a new catalog; nothing is cached, so nothing is stale."""
+    """Ten frames, one for each collection. Every change gives a new catalog; nothing is cached, so nothing is stale.
 
-    def __init__(self, frames: dict[str, DataFrame]) -> None:
-        self.frames = frames
+    near has the rows of scenario, and with each, as far as they were stored along with it, activities and events as the collections
+    have them: near_activities, structs of all columns, and near_events, structs of uid and conditions. As an id is there once
+    in a collection, what is found near needn't be looked for elsewhere; where anything isn't near, all is joined by ids (see
+    all_near, which needn't look where whole says so). A catalog that was changed has no near."""
+
+    def __init__(self, frames: dict[str, DataFrame], near: DataFrame | None = None, whole: bool | None = None) -> None:
+        self.frames, self.near, self._all_near = frames, near, whole
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Catalog:
@@ -145,15 +155,38 @@ class Catalog:
             raise KeyError(f"{lost['refers_to']} {lost['missing']}")
         return self.hydrated(collection).filter(F.col("uid") == uid)
 
+    def all_near(self) -> bool:
+        """Whether all activities that scenarios list or act, and the events of both, are near; found out once."""
+        if self._all_near is None and self.near is not None:
+            some = lambda *c: F.array_compact(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in c)))
+            each = lambda c, f: F.transform(c, lambda x: x[f])
+            activities = F.array_except(some(F.col("activities"), each("acts", "activity")), some(each("near_activities", "uid")))
+            events = F.array_except(some(F.array("start_uid", "end_uid"), each("near_activities", "start_uid"), each("near_activities", "end_uid")), some(each("near_events", "uid")))
+            self._all_near = self.near.filter((F.size(activities) > 0) | (F.size(events) > 0)).isEmpty()
+        return bool(self._all_near)
+
+    def near_activities(self, column: str) -> DataFrame:
+        """owner, pos and the hydrated activity of each of a scenario's acts, with their actor, or activities, from what is near:
+        only their categories are joined. A look goes through the scenario's own parts."""
+        own = self.near.select(F.col("uid").alias("owner"), "near_activities", "near_events", F.posexplode(column).alias("pos", "_r"))
+        own = own.withColumn("_a", first_with("near_activities", F.col("_r.activity") if column == "acts" else F.col("_r")))
+        own = own.withColumns({f"_{x}": first_with("near_events", F.col(f"_a.{x}_uid")) for x in ("start", "end")})
+        # As a generator's output, so that a filter of times doesn't repeat what they are made of.
+        times = F.inline(F.array(F.struct(*(time_of(f"_{x}.conditions").alias(f"t_{x}") for x in ("start", "end")))))
+        return self._with_category(own.select("owner", "pos", *(["_r.actor"] if column == "acts" else []), "_a.*", times))
+
     def acts(self) -> DataFrame:
         """scenario, actor, state_variable, act_pos, modelname, parameters, t_start, t_end of every act of every scenario."""
+        last = ("scenario", "actor", "state_variable", "act_pos", "modelname", "parameters", "t_start", "t_end")
+        if self.all_near():
+            return self.near_activities("acts").withColumnsRenamed({"owner": "scenario", "pos": "act_pos", "state": "state_variable"}).select(*last)
         a = self["scenario"].select(F.col("uid").alias("scenario"), F.posexplode("acts").alias("act_pos", "act")).select("scenario", "act_pos", "act.actor", "act.activity")
         h = self.hydrated("activity", times=False)
         # The events of both ends are met in one join, and their times meet the rest where that comes together by activity.
         refs = self["activity"].select("uid", F.explode(F.array(*(F.struct(F.lit(x).alias("end"), F.col(f"{x}_uid").alias("event")) for x in ("start", "end")))).alias("e")).select("uid", "e.end", "e.event")
         times = refs.join(self._event_times(), "event").groupBy(F.col("uid").alias("activity")).agg(*(F.max(F.when(F.col("end") == x, F.col("time"))).alias(f"t_{x}") for x in ("start", "end")))
         h = h.select(F.col("uid").alias("activity"), F.col("state").alias("state_variable"), "modelname", "parameters")
-        return a.join(h, "activity").join(times, "activity", "left").select("scenario", "actor", "state_variable", "act_pos", "modelname", "parameters", "t_start", "t_end")
+        return a.join(h, "activity").join(times, "activity", "left").select(*last)
 
     def hydrated(self, collection: str, times: bool = True, only: dict[str, list[str]] | None = None) -> DataFrame:
         """The items with what they refer to; of activities and scenarios, with times=False, without the times of their events. only has, by column, which fields of members are
@@ -168,21 +201,31 @@ class Catalog:
         if collection == "activity_category":
             return df.join(self["model"].select(F.col("uid").alias("model_uid"), "modelname", "default_options"), "model_uid")
         if collection == "activity":
-            c = self.hydrated("activity_category").select(F.col("uid").alias("category_uid"), F.col("name").alias("category_name"), F.col("tags").alias("category_tags"), "state", "modelname")
-            out = df.join(c, "category_uid").withColumn("all_tags", F.concat("tags", "category_tags"))
+            out = self._with_category(df)
             return out if not times else self._times(out).withColumn("duration", F.col("t_end") - F.col("t_start"))
         if collection == "scenario":
-            out = self._times(df) if times else df
+            near = self.all_near()
+            out = df if not times else self._near_times() if near else self._times(df)
             for column, kind, fields in (("actors", "actor", ["uid", "name", "category_name", "actor_type", "all_tags"]), ("activities", "activity", ["uid", "name", "category_name", "state", "modelname", "parameters", "t_start", "t_end", "all_tags"]), ("physical_elements", "physical_element", ["uid", "name", "category_name", "all_tags"])):
-                out = self._members(out, column, self.hydrated(kind), (only or {}).get(column, fields))
+                met = self.near_activities(column) if near and kind == "activity" else self._met(df, column, self.hydrated(kind))
+                out = self._members(out, column, met, (only or {}).get(column, fields))
             return out
         if collection == "scenario_category":
             out = df
             for column, kind, fields in (("actor_categories", "actor_category", ["uid", "name", "tags", "actor_type"]), ("activity_categories", "activity_category", ["uid", "name", "tags", "state", "modelname"]), ("physical_element_categories", "physical_element_category", ["uid", "name", "tags"])):
-                out = self._members(out, column, self.hydrated(kind), (only or {}).get(column, fields))
+                out = self._members(out, column, self._met(df, column, self.hydrated(kind)), (only or {}).get(column, fields))
             return out
         return df
 
+    def _with_category(self, activities: DataFrame) -> DataFrame:
+        c = self.hydrated("activity_category").select(F.col("uid").alias("category_uid"), F.col("name").alias("category_name"), F.col("tags").alias("category_tags"), "state", "modelname")
+        return activities.join(c, "category_uid").withColumn("all_tags", F.concat("tags", "category_tags"))
+
+    def _near_times(self) -> DataFrame:
+        """The scenarios with t_start and t_end, of the events near them."""
+        own = self.near.withColumns({f"_{x}": first_with("near_events", F.col(f"{x}_uid")) for x in ("start", "end")})
+        return own.select(*self["scenario"].columns, *(time_of(f"_{x}.conditions").alias(f"t_{x}") for x in ("start", "end")))
+
     def _times(self, df: DataFrame) -> DataFrame:
         """df with t_start and t_end, the times of its start and end events; null where one has none."""
         # Conditions are parsed where an item has met its event, not for every event in each join.
@@ -194,10 +237,15 @@ class Catalog:
         return self["event"].select(F.col("uid").alias("event"), time_of("conditions").alias("time"))
 
     @staticmethod
-    def _members(df: DataFrame, column: str, of: DataFrame, fields: list[str]) -> DataFrame:
-        """df with structs of those fields in place of a column's ids, in their order. An owner's members are its own."""
-        some = df.select(F.col("uid").alias("owner"), F.posexplode(column).alias("pos", "uid")).join(of.select("uid", *(f for f in fields if f != "uid")), "uid")
-        per = some.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("_m"))
+    def _met(df: DataFrame, column: str, of: DataFrame) -> DataFrame:
+        """owner, pos and the columns of each item that a column of df lists."""
+        return df.select(F.col("uid").alias("owner"), F.posexplode(column).alias("pos", "uid")).join(of, "uid")
+
+    @staticmethod
+    def _members(df: DataFrame, column: str, met: DataFrame, fields: list[str]) -> DataFrame:
+        """df with structs of those fields of met (owner, pos and others) in place of a column's ids, in their order. An owner's
+        members are its own."""
+        per = met.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("_m"))
         joined = df.join(per, df["uid"] == per["owner"], "left").drop("owner")
         plain = F.transform(F.coalesce("_m", F.array().cast(per.schema["_m"].dataType)), lambda m: F.struct(*(m[f].alias(f) for f in fields)))
         return joined.withColumn(column, plain).drop("_m")

@@ -47,6 +47,8 @@ def scenario_states(acts: DataFrame, instants: DataFrame | list[float], dot: boo
     known = (with_multi_pieces if vector else with_pieces)(known)
     given = not isinstance(instants, DataFrame)
     if given:
+        # Acts are shuffled before their instants are laid out; what follows groups by scenario and more, and needs no other shuffle.
+        known = known.repartition("scenario")
         every = F.array(*(F.lit(float(t)) for t in sorted(set(instants)))).cast("array<double>")
         met = known.withColumn("t", F.explode(F.filter(every, lambda t: t.between(F.col("t_start"), F.col("t_end")))))
     else:

@@ -310,8 +310,8 @@ STATUS = {"F": "RoadUserType_CategoryM_Bus", "O": "RoadUserType_VRU_Cyclist"}
 PRIORITY = {"1-URGENT": "Weather_Rain_Heavy", "2-HIGH": "Weather_Rain_Light", "3-MEDIUM": "Weather_Snow_Light", "4-NOT SPECIFIED": "Lighting_Day_Cloudy", "5-LOW": "Lighting_Dark_Streetlights"}
 
 
-def _map(column: str, of: dict[str, str]) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for kv in of.items() for x in kv)), F.col(column))
+def _map(column: str | Column, of: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in of.items() for x in kv)), F.col(column) if isinstance(column, str) else column)
 
 
 def _case(column: str, of: dict[str, str]) -> str:

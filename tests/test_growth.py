@@ -99,3 +99,26 @@ def test_time_of_conditions(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(some)], "i int, conditions string")
     got = df.select("i", time_of("conditions").alias("t"), F.get_json_object("conditions", "$.time").cast("double").alias("by_parser")).collect()
     assert [str(r["t"]) for r in got] == [str(r["by_parser"]) for r in got]
+
+
+def test_near_parts(spark):
+    """What is near a scenario is as the collections have it; where some isn't near, all is joined by ids, with the same rows."""
+    for c in (store_queries.lifted(spark, SMALL), store_queries._with_vectors(store_queries.lifted(spark, SMALL))):
+        known = c["scenario"].select(F.explode("activities").alias("uid"))
+        assert spark_rows(c.near.select(F.inline("near_activities"))) == spark_rows(c["activity"].join(known, "uid", "left_semi"))
+        ends = c["scenario"].select(F.explode(F.array("start_uid", "end_uid")).alias("uid")).unionByName(known.select(F.explode(F.array(F.concat("uid", F.lit(":s")), F.concat("uid", F.lit(":e")))).alias("uid")))
+        assert spark_rows(c.near.select(F.inline("near_events"))) == spark_rows(c["event"].join(ends, "uid", "left_semi").select("uid", "conditions"))
+        assert spark_rows(c.near.select(*c["scenario"].columns)) == spark_rows(c["scenario"])
+    assert c.all_near() and Catalog(c.frames, c.near).all_near() and not Catalog(c.frames).all_near()
+    away = Catalog(c.frames, c.near.withColumn("near_events", F.slice("near_events", 1, 3)))
+    assert not away.all_near()
+    expected = [spark_rows(f(c)) for f in (Catalog.acts, lambda x: x.hydrated("scenario"), containment.derived_tags)]
+    for other in (away, Catalog(c.frames)):
+        assert [spark_rows(f(other)) for f in (Catalog.acts, lambda x: x.hydrated("scenario"), containment.derived_tags)] == expected
+
+
+def test_acts_meet_categories_only(spark):
+    """Acts meet their categories and then their scenario: no event, and no activity's id, is shuffled; states need no other shuffle."""
+    for name in ("store_states", "store_state_dots", "store_states_uncovered", "store_vector_dots"):
+        p = plan(queries.QUERIES[name](spark, SMALL))
+        assert p.count("Exchange hashpartitioning(scenario") == 1 and not any(f"hashpartitioning({x}" in p for x in ("event", "activity", "uid")), p
