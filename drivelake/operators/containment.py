@@ -9,17 +9,20 @@ from ..functions.vocabulary import TAGS, tag_closure
 from ..sources.staging import staged
 
 
-def derived_actor_tags(actors: DataFrame, acts: DataFrame, activity_tags: DataFrame, kind: str = "Actor") -> DataFrame:
+def derived_actor_tags(actors: DataFrame, acts: DataFrame, activity_tags: DataFrame | None, kind: str = "Actor") -> DataFrame:
     """owner, class, key, object_uid, pos, tags: an actor's own tags and those of the activities it performs, each once.
 
-    actors: owner, pos, uid, name, tags; acts: owner, actor, activity; activity_tags: activity, tags. Actors without tags
-    are left out; of several with a name, the second and later get its number in the key."""
-    of_acts = acts.join(activity_tags, "activity").select("owner", F.col("actor").alias("uid"), "tags")
-    # An act's tags stay together, so that a row an act is shuffled, not one a tag.
-    every = actors.select("owner", "uid", "tags").unionByName(of_acts).filter(F.size("tags") > 0)
-    tags = every.groupBy("owner", "uid").agg(F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("tags"))))).alias("tags")).filter(F.size("tags") > 0)
+    actors: owner, pos, uid, name, tags; acts: owner, actor, activity; activity_tags: activity, tags, or None where acts have
+    their tags. Actors without tags are left out; of several with a name, the second and later get its number in the key."""
+    of_acts = (acts if activity_tags is None else acts.join(activity_tags, "activity")).select("owner", F.col("actor").alias("uid"), "tags")
+    # An act's tags stay together, so that a row an act is shuffled, not one a tag. All of an owner meets once: who an actor is
+    # comes along, so that neither a join nor another shuffle follows.
+    own = actors.select("owner", "uid", "tags", F.struct("pos", "name").alias("who"))
+    every = own.unionByName(of_acts.withColumn("who", F.lit(None).cast(own.schema["who"].dataType))).filter(F.col("owner").isNotNull() & F.col("uid").isNotNull())
+    tags = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("tags")))))
+    per = every.repartition("owner").groupBy("owner", "uid").agg(tags.alias("tags"), F.collect_list("who").alias("who")).filter(F.size("tags") > 0)
     w = Window.partitionBy("owner", "name").orderBy("pos")
-    tagged = actors.select("owner", "pos", "uid", "name").join(tags, ["owner", "uid"]).withColumn("i", F.row_number().over(w))
+    tagged = per.select("owner", "uid", "tags", F.inline("who")).withColumn("i", F.row_number().over(w))
     suffix = F.when(F.col("i") > 1, F.col("i").cast("string")).otherwise(F.lit(""))
     return tagged.select("owner", F.lit(kind).alias("class"), F.concat("name", suffix, F.lit(f"::{kind}")).alias("key"), F.col("uid").alias("object_uid"), F.col("pos").cast("long").alias("pos"), "tags")
 
@@ -180,12 +183,12 @@ def signatures(tags: DataFrame, mode: str) -> DataFrame:
     only share one."""
     pos = F.col("pos").cast("long") if "pos" in tags.columns else F.lit(0).cast("long")
     kind = F.when(F.col("class").isin("Scenario", "ScenarioCategory"), 0).when(F.col("class").isin("Actor", "ActorCategory"), 1).when(F.col("class").isin("PhysicalElement", "PhysicalElementCategory"), 2)
-    tagged = F.when(kind.isNotNull() & (F.size("tags") > 0), F.struct(kind.alias("kind"), F.col("object_uid").alias("uid"), pos.alias("pos"), F.transform("tags", _coded).alias("tags")))
+    tagged = F.when(kind.isNotNull() & (F.size("tags") > 0), F.struct(kind.alias("kind"), F.col("object_uid").alias("uid"), pos.alias("pos"), F.array_join(F.transform("tags", _coded), ",").alias("tags")))
     # An owner's objects are those of one scenario or category. Rows of one object are one: its tags together, its least pos.
     own = tags.select("owner", tagged.alias("row")).groupBy("owner").agg(F.collect_list("row").alias("rows"))
     named = F.array_distinct(F.transform("rows", lambda r: F.struct(r["kind"], r["uid"])))
     of = lambda n: F.filter("rows", lambda r: (r["kind"] == n["kind"]) & r["uid"].eqNullSafe(n["uid"]))
-    whole = F.transform(named, lambda n: F.struct(n["kind"].alias("kind"), F.array_min(F.transform(of(n), lambda r: r["pos"])).alias("pos"), n["uid"].alias("uid"), F.array_sort(F.array_distinct(F.flatten(F.transform(of(n), lambda r: r["tags"])))).alias("tags")))
+    whole = F.transform(named, lambda n: F.struct(n["kind"].alias("kind"), F.array_min(F.transform(of(n), lambda r: r["pos"])).alias("pos"), n["uid"].alias("uid"), F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(of(n), lambda r: F.split(r["tags"], ","))), lambda c: c != ""))).alias("tags")))
     plain = F.transform(F.array_sort(whole), lambda x: F.concat(x["kind"].cast("string"), F.lit(":"), F.array_join(x["tags"], ",")))
     own = own.select("owner", F.array_join(plain if mode == "reference" else F.array_sort(plain), ";").alias("objects"))
     return own.select("owner", F.sha2("objects", 256).alias("sig"), "objects")
@@ -260,8 +263,11 @@ def derived_tags(catalog, collection: str = "scenario") -> DataFrame:
         some = df.select(F.col("uid").alias("owner"), F.posexplode(plural[kind]).alias("pos", "uid"))
         return some.join(tagged(name(kind)), "uid").select("owner", F.col("pos").cast("long").alias("pos"), "uid", "name", "tags")
 
-    acts = df.select(F.col("uid").alias("owner"), F.explode("acts").alias("act")).select("owner", "act.actor", "act.activity")
-    did = tagged(name("activity")).select(F.col("uid").alias("activity"), "tags")
+    if not full and catalog.all_near():
+        acts, did = catalog.near_activities("acts").select("owner", "actor", F.col("all_tags").alias("tags")), None
+    else:
+        acts = df.select(F.col("uid").alias("owner"), F.explode("acts").alias("act")).select("owner", "act.actor", "act.activity")
+        did = tagged(name("activity")).select(F.col("uid").alias("activity"), "tags")
     actors = derived_actor_tags(members("actor"), acts, did, f"Actor{more}")
     return own.unionByName(actors).unionByName(derived_own_tags(members("physical_element"), f"PhysicalElement{more}"))
 

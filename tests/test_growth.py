@@ -122,3 +122,13 @@ def test_acts_meet_categories_only(spark):
     for name in ("store_states", "store_state_dots", "store_states_uncovered", "store_vector_dots"):
         p = plan(queries.QUERIES[name](spark, SMALL))
         assert p.count("Exchange hashpartitioning(scenario") == 1 and not any(f"hashpartitioning({x}" in p for x in ("event", "activity", "uid")), p
+
+
+def test_derived_tags_meet_once(spark):
+    """An owner's actors and acts meet in one shuffle, without a join; who is listed twice is there twice, who isn't listed not at all."""
+    actors = spark.createDataFrame([("o", 0, "1", "n", ["a"]), ("o", 1, "2", "n", []), ("o", 2, "1", "n", ["a"]), ("o", 3, "3", "n", []), ("p", 0, "1", None, None)], "owner string, pos int, uid string, name string, tags array<string>")
+    acts = spark.createDataFrame([("o", "2", ["b", None, "a"]), ("o", "2", ["b"]), ("o", "9", ["c"]), ("p", "1", ["d"])], "owner string, actor string, tags array<string>")
+    out = containment.derived_actor_tags(actors, acts, None)
+    p = plan(out)
+    assert p.count("Exchange") == 1 and "Join" not in p, p
+    assert sorted((r["owner"], str(r["key"]), r["object_uid"], r["pos"], ",".join(r["tags"])) for r in out.collect()) == [("o", "n2::Actor", "2", 1, "a,b"), ("o", "n3::Actor", "1", 2, "a"), ("o", "n::Actor", "1", 0, "a"), ("p", "None", "1", 0, "d")]
